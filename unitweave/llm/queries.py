@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import pii, token_counts
+from unitweave.llm import mixing, pii, token_counts, warc
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.archives(_table(spark, sf_dir, "pages")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,5 +33,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_token_counts, op10_pii)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_mixing, op7_warc, op9_token_counts, op10_pii)}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL}
