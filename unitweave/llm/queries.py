@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import mixing, pii, token_counts, warc
+from unitweave.llm import decontaminate, mixing, pii, token_counts, warc
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(_table(spark, sf_dir, "documents"))
+    return decontaminate.digest(decontaminate.search(index, _table(spark, sf_dir, "benchmark")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_warc, op9_token_counts, op10_pii)}
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op6_mixing, op7_warc, op9_token_counts, op10_pii)}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL}
