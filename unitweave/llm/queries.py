@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import decontaminate, mixing, pii, token_counts, warc
+from unitweave.llm import decontaminate, language_id, mixing, pii, token_counts, toxicity, warc
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.search(index, _table(spark, sf_dir, "benchmark")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(toxicity.sample(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic"))
+    return toxicity.scored(docs, model)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.learn(language_id.sample(docs, "doc_id", "text", "lang")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_mixing, op7_warc, op9_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op6_mixing, op7_warc, op9_token_counts, op10_pii)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL}
