@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import decontaminate, language_id, mixing, pii, token_counts, toxicity, warc
+from unitweave.llm import decontaminate, embeddings, language_id, mixing, pii, token_counts, toxicity, warc
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.archives(_table(spark, sf_dir, "pages")))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op6_mixing, op7_warc, op9_token_counts, op10_pii)}
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii)}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL}
