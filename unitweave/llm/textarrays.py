@@ -119,7 +119,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.n
     out = np.zeros(n, np.uint64)
     left = first[1:][row] - np.arange(n)  # words from here to the end of the row
     with np.errstate(over="ignore"):
-        for j in range(size):
+        for j in range(min(size, n)):
             m = _SHINGLE[j % 5] ^ np.uint64(2 * (j // 5) << 8)
             out[: n - j] += hashes[j:] * m if j == 0 else np.where(left[: n - j] > j, hashes[j:] * m, np.uint64(0))
     short = (count < size)[row]
