@@ -52,11 +52,11 @@ def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs:
     return out
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """Per row: doc, source, size in words and its place in the seeded order."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, *more: str) -> DataFrame:
+    """Per row: doc, source, size in words and its place in the seeded order; and more columns."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size.alias("size"), key.alias("place"))
+    return docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size.alias("size"), key.alias("place"), *more)
 
 
 def plan(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> list[tuple]:
@@ -74,12 +74,10 @@ def plan(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights:
     return out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """Per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), whole (repetitions in full)
-    and part (words of one more repetition)."""
-    spark = docs.sparkSession
-    sizes = stored(sized(docs, id_col, text_col, source_col, seed), "sizes")
-    schema = T.StructType([T.StructField("source", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("budget", T.LongType())])
+def _decided(rows: DataFrame, sizes: DataFrame, source_kind: T.DataType, share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
+    """``rows`` (with doc, source, size and place) and source_size, target, whole and part."""
+    spark = rows.sparkSession
+    schema = T.StructType([T.StructField("source", source_kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("budget", T.LongType())])
     planned = plan(sizes, share, max_epochs, weights)
     plans = spark.createDataFrame(planned, schema)
     few = F.broadcast if len(planned) <= BROADCAST_SOURCES else lambda x: x
@@ -88,22 +86,45 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before).withColumnRenamed("source", "s")
     sums = sums.join(few(plans), F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    # The one bucket of each source that the budget ends in: its name, and the words before it.
-    edge = sums.where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget"))).select("s", F.col("bucket").alias("edge"), F.col("before"))
-    every = plans.join(few(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
-    last = sums.where(F.col("before") + F.col("words") <= F.col("budget")).groupBy(F.col("s").alias("t")).agg(F.max("bucket").alias("last"))
-    every = every.join(few(last), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
-    rows = sizes.join(few(every), sizes["source"].eqNullSafe(F.col("s")))
-    full = bucket <= F.coalesce(F.col("last"), F.lit(""))
+    # The one bucket of each source that the budget ends in, the words before it, and the last bucket that is in whole.
+    here = (F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget"))
+    ends = sums.groupBy("s").agg(F.max(F.when(here, F.col("bucket"))).alias("edge"), F.max(F.when(here, F.col("before"))).alias("before"), F.max(F.when((F.col("before") + F.col("words") <= F.col("budget")) & (F.col("budget") > 0), F.col("bucket"))).alias("last"))
+    every = plans.join(few(ends), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
+    joined = rows.join(few(every), rows["source"].eqNullSafe(F.col("s"))).drop("s")
     on_edge = F.coalesce(bucket == F.col("edge"), F.lit(False))
+    easy = joined.where(~on_edge).withColumn("part", F.when(bucket <= F.col("last"), F.col("size")).otherwise(F.lit(0)).cast("long"))
+    ordered = Window.partitionBy("source", bucket).orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("size").over(ordered), F.lit(0)) + F.col("before")
+    hard = joined.where(on_edge).withColumn("part", F.least(F.greatest(F.col("budget") - earlier, F.lit(0)), F.col("size")).cast("long"))
+    return easy.unionByName(hard).drop("edge", "before", "last", "budget")
 
-    def result(frame: DataFrame, part: Column) -> DataFrame:
-        return frame.select(F.col("doc").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), "whole", part.alias("part"))
 
-    easy = result(rows.where(~on_edge), F.when(full & (F.col("budget") > 0), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    ordered = Window.partitionBy("source", bucket).orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    hard = rows.where(on_edge).withColumn("earlier", F.coalesce(F.sum("size").over(ordered), F.lit(0)) + F.col("before"))
-    return easy.unionByName(result(hard, F.least(F.greatest(F.col("budget") - F.col("earlier"), F.lit(0)), F.col("size")).cast("long")))
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """Per row of ``docs``: id, size, source_size, target, taken (words, repeats counted), whole (repetitions in full)
+    and part (words of one more repetition)."""
+    sizes = stored(sized(docs, id_col, text_col, source_col, seed), "sizes")
+    done = _decided(sizes, sizes, docs.schema[source_col].dataType, share, max_epochs, weights)
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return done.select(F.col("doc").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "whole", "part")
+
+
+def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with repetition (1, 2), size (words of the
+    document), taken (words of this repetition), source_size and target. The one repetition in part of a source is cut
+    after its words, and n_chars, where there is such a column, follows."""
+    sizes = stored(sized(docs, id_col, text_col, source_col, seed), "sizes")
+    extra = sized(docs.withColumn("_row", F.struct(*docs.columns)), id_col, text_col, source_col, seed, "_row")
+    done = _decided(extra, sizes, docs.schema[source_col].dataType, share, max_epochs, weights)
+    done = done.withColumn("repetition", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("whole") + 1, F.lit(1).cast("long"))), lambda i: (i <= F.col("whole")) | (F.col("part") > 0))))
+    in_part = (F.col("repetition") > F.col("whole")) & (F.col("part") < F.col("size"))
+    text = F.col(f"_row.{text_col}")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    shown = F.when(in_part, cut).otherwise(text)
+    columns = {c: F.col(f"_row.{c}") for c in docs.columns} | {text_col: shown}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(in_part, F.length(cut).cast("long")).otherwise(F.col("_row.n_chars"))
+    taken = F.when(F.col("repetition") > F.col("whole"), F.col("part")).otherwise(F.col("size"))
+    return done.select(*(c.alias(n) for n, c in columns.items()), "repetition", "size", taken.alias("taken"), "source_size", "target")
 
 
 #: What ``mixed`` returns for the contract's numbers, from its definition alone: the fixed point of the clamping is

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import decontaminate, embeddings, language_id, mixing, near_duplicates, pii, token_counts, toxicity, warc
+from unitweave.llm import decontaminate, embeddings, language_id, mixing, near_duplicates, pii, repeats, token_counts, toxicity, warc
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_near_duplicates, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_near_duplicates, op5_repeats, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL}
