@@ -262,7 +262,7 @@ def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
             for k in range(len(w) - width + 1):
                 if tuple(w[k : k + width]) in grams:
                     hit.update(range(k, k + width))
-                    found.add(str(item))
+                    found.update(() if item is None else (str(item),))
         out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
 
