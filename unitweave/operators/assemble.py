@@ -25,8 +25,8 @@ def overlap_added(frags: DataFrame, hop: int, size: int, overlap: int) -> DataFr
         raise ValueError("the tapers of a fragment overlap each other")
     whole = size + overlap
     weight = V.taper(F.col("pos"), F.lit(whole), overlap)
-    rows = frags.select("utt", (F.col("step") * hop + F.col("pos")).alias("pos"), F.posexplode(F.transform("v", lambda x: x * weight)).alias("d", "x"))
-    out = rows.groupBy("utt", "pos", "d").agg(F.sum("x").alias("value"))
+    rows = frags.withColumn("_w", weight).select("utt", (F.col("step") * hop + F.col("pos")).alias("_at"), F.posexplode(F.transform("v", lambda x: x * F.col("_w"))).alias("d", "x"))
+    out = rows.groupBy("utt", F.col("_at").alias("pos"), "d").agg(F.sum("x").alias("value"))
     ends = frags.groupBy("utt").agg((F.max("step") * hop + whole).alias("_n"))
     half = overlap // 2
     return out.join(ends, "utt").where((F.col("pos") >= half) & (F.col("pos") < F.col("_n") - half)).select("utt", (F.col("pos") - half).alias("pos"), "d", "value")

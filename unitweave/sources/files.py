@@ -130,10 +130,10 @@ def wave_bytes(waves: DataFrame, normalise: bool = False) -> DataFrame:
 def read_marks(spark: SparkSession, path: str, skip_bad: bool = True, pattern: str | None = None, drop_last: bool = False) -> DataFrame:
     """(utt, pm_ix, t_sec, voiced) from EST text files: the columns after the header's end. Files whose times fall are
     left out, or fail."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.filter(F.split(F.regexp_replace("value", r"(?s)^.*?EST_Header_End\s*", ""), r"\r?\n"), lambda x: F.trim(x) != "")).alias("pm_ix", "line"))
+    rows = reader.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.filter(F.split(F.regexp_replace("value", r"(?s)^.*?EST_Header_End\s*", ""), r"\r?\n"), lambda x: F.trim(x) != "")).alias("pm_ix", "line"))
     parts = F.split(F.trim("line"), r"\s+")
     rows = rows.select("utt", "pm_ix", parts[0].cast("double").alias("t_sec"), F.try_element_at(parts, F.lit(2)).try_cast("int").alias("voiced"))
     from unitweave.operators.series import monotonic
@@ -155,10 +155,10 @@ def read_labels(spark: SparkSession, path: str, pattern: str, files: str | None
     has five groups. Times become frames of 5 ms."""
     from unitweave.functions.labels import quinphone
 
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if files:
         reader = reader.option("pathGlobFilter", files)
-    lines = reader.text(path).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("seq", "line"))
+    lines = reader.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("seq", "line"))
     parts = F.split(F.trim("line"), r"\s+", 3)
     label = parts[2]
     phones = quinphone(label, pattern)
@@ -167,7 +167,7 @@ def read_labels(spark: SparkSession, path: str, pattern: str, files: str | None
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     """(utt, seq, tokens): lines of Festival utterances whose eighth token is ``ph1``."""
-    lines = spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    lines = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("utt"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
     return lines.withColumn("tokens", F.split(F.trim("line"), r"\s+")).where(F.try_element_at("tokens", F.lit(8)) == "ph1").select("utt", "seq", "tokens")
 
 
