@@ -115,7 +115,7 @@ def _kind_spans(kind: str, text: Column, digit: Column | None = None) -> Column:
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - REACH, F.lit(0))
         near = F.lower(F.substring(text, first + 1, s["start"] - first))
-        lift = F.when(F.regexp(near, F.lit(rf"\b(?:{CONTEXT[kind]})")), 0.1).otherwise(0.0)
+        lift = F.when(F.regexp(near, F.lit(rf"(?:^|[^a-z0-9])(?:{CONTEXT[kind]})")), 0.1).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(1.0), F.lit(SCORE[kind]) + lift).alias("score"))
     return F.when(hint(kind, text, digit), F.transform(placed, scored)).otherwise(F.array().cast(_SPAN))
 
@@ -159,3 +159,41 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     done = F.aggregate(F.col("_pii_spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     found = found.withColumn("_pii_spans", spans)
     return found.withColumn(text_col, F.when(F.size("_pii_spans") > 0, done).otherwise(text)).select(*columns)
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL: positions from the lengths of the pieces between matches and of the matches. Its
+    regular expressions have no lookaround, so an account number takes the sign before it along, and what follows is
+    looked at afterwards."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    moved = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
+    valid = {
+        "email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({digits}, CAST(length({digits}) - i AS INTEGER), 1) AS INTEGER) ELSE CAST(substr({digits}, CAST(length({digits}) - i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr({digits}, CAST(length({digits}) - i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"NOT regexp_matches(substr(text, CAST(b + length(m) + 1 AS INTEGER), 1), '[A-Za-z0-9]') AND length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split({moved}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: CASE WHEN x < 58 THEN (a * 10 + x - 48) % 97 ELSE (a * 100 + x - 55) % 97 END, CAST(0 AS BIGINT)) = 1",
+    }
+    parts = []
+    for n, k in enumerate(KINDS):
+        skip = "CASE WHEN regexp_matches(m0, '^[A-Z]{2}[0-9]{2}') THEN 0 ELSE 1 END" if k == "iban" else "0"
+        parts.append(
+            f"{k}0 AS (SELECT doc_id, r, text, string_split_regex(text, '{plain[k]}') AS g, regexp_extract_all(text, '{plain[k]}') AS x FROM d WHERE regexp_matches(text, '{plain[k]}')),"
+            f" {k}1 AS (SELECT doc_id, r, text, x[i] AS m0, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(x[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS b0 FROM {k}0, unnest(range(1, len(x) + 1)) AS u(i)),"
+            f" {k}2 AS (SELECT doc_id, r, text, substr(m0, 1 + {skip}) AS m, b0 + {skip} AS b FROM {k}1),"
+            f" {k} AS (SELECT doc_id, r, {n} AS n, '{k}' AS kind, b, b + length(m) AS e, least(1.0, {SCORE[k]} + CASE WHEN regexp_matches(lower(substr(text, CAST(greatest(b - {REACH}, 0) + 1 AS INTEGER), CAST(b - greatest(b - {REACH}, 0) AS INTEGER))), '(?:^|[^a-z0-9])(?:{CONTEXT[k]})') THEN 0.1 ELSE 0 END) AS score FROM {k}2 WHERE {valid[k]})"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM {k}" for k in KINDS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
+    span = "kind || ':' || b || ':' || e"
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents), {', '.join(parts)}, s AS ({every}) "
+        f"SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY n, b) FILTER (WHERE n < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY n, b), '') AS spans,"
+        " coalesce(string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY n, b), '') AS scores FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.doc_id, d.r"
+    )
+
+
+SQL = _sql()

@@ -62,4 +62,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_near_duplicates, op5_repeats, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii)}
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL, "op10_pii": pii.SQL}
