@@ -261,5 +261,29 @@ def test_nothing_outside_imports_the_training_data_subpackage():
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
 
 
+def test_settings():
+    from unitweave.plans.config import Settings, stale
+
+    a = Settings.of({"streams": [["mag", 3], ["lf0", 1]], "join_cost_weight": 0.2})
+    b = Settings.of({"streams": [["mag", 3], ["lf0", 1]], "join_cost_weight": 0.3})
+    assert a.name != b.name and stale(a, a) == [] and stale(a, b) == ["weighted", "candidates"]
+    for bad in ({"nonsense": 1}, {"join_cost_weight": 2}, {"streams": [["a", 1]], "target_weights": [1, 2]}):
+        with pytest.raises(ValueError):
+            Settings.of(bad)
+
+
+def test_edges_levels_and_records(spark, tmp_path):
+    t = track(spark, [0, 0, 5, 0, 7, 0])
+    assert column(series.edges_replaced(t, "utt", "ix", "f0", F.col("f0") <= 0, -10.0), "value_out", "ix") == [-10, -10, 5, 0, 7, -10]
+    assert series.run_text(t.withColumn("v", (F.col("f0") > 0).cast("int")), "utt", "ix", "v").first().text == "0*2 1*1 0*1 1*1 0*1"
+    s = spark.createDataFrame([("u", 0, 0.3), ("u", 1, -0.3), ("z", 0, 0.0)], "utt string, pos long, value double")
+    out = {(r.utt, r.pos): r.value for r in assemble.level_normalised(s).collect()}
+    assert out[("u", 0)] == pytest.approx(10**-1.3) and out[("z", 0)] == 0.0
+    for i in range(2):
+        tables.record_run(spark, f"{tmp_path}/runs", f"r{i}", {"w": i}, i / 2)
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+    assert [r.unit_id for r in search.every_nth_unit(spark, 7, 3).orderBy("step").collect()] == [0, 3, 6]
+
+
 def test_hann_of_one():
     assert vectors.hann(1) == [1.0] and math.isclose(sum(vectors.window_weights("bartlett", 3)), 1.0)

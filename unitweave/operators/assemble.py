@@ -77,3 +77,9 @@ def snr_mixed(signal: DataFrame, noise: DataFrame, snr_db: float) -> DataFrame:
     both = signal.select("utt", "pos", F.col("value").alias("s")).join(noise.select("utt", "pos", F.col("value").alias("n")), ["utt", "pos"])
     w = both.groupBy("utt").agg(F.sqrt(F.try_divide(F.sum(F.col("s") * F.col("s")), F.sum(F.col("n") * F.col("n")) * F.lit(10 ** (snr_db / 10)))).alias("gain"))
     return both.join(w, "utt").select("utt", "pos", (F.col("s") + F.col("n") * F.coalesce("gain", F.lit(0.0))).alias("value"))
+
+
+def level_normalised(signal: DataFrame, level_db: float = -26.0) -> DataFrame:
+    """(utt, pos, value): signals scaled to a root mean square at ``level_db`` of full scale 1; silence stays."""
+    gain = signal.groupBy("utt").agg(F.try_divide(F.lit(10 ** (level_db / 20)), F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("_g"))
+    return signal.join(gain, "utt").select("utt", "pos", (F.col("value") * F.coalesce("_g", F.lit(1.0))).alias("value"))

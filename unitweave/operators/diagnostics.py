@@ -94,3 +94,20 @@ def voiced_duration(df: DataFrame, utt: str, ix: str, f0: str, unvoiced_ms: floa
     first = F.min(ix).over(Window.partitionBy(utt))
     ms = F.when(F.col(f0) <= 0, F.lit(unvoiced_ms)).when(F.col(ix) > first, F.try_divide(F.lit(1000.0), F.col(f0))).otherwise(F.lit(0.0))
     return df.withColumn("_ms", ms).groupBy(utt).agg(F.sum("_ms").alias("ms"))
+
+
+def wave_statistics(samples: DataFrame, utt: str, value: Column, first: int = 100) -> DataFrame:
+    """(mean, std) of companded samples of the first utterances by name: the reference's own limit (0: all)."""
+    from unitweave.functions.scalars import mu_law
+
+    rows = samples
+    if first:
+        rows = samples.join(samples.select(utt).distinct().orderBy(utt).limit(first), utt, "left_semi")
+    y = mu_law(value)
+    return rows.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"))
+
+
+def stream_factors(sums: DataFrame, stream: str, total: str) -> DataFrame:
+    """(stream, factor): root of the largest stream's sum over a stream's own. A row for each stream."""
+    largest = sums.agg(F.max(total).alias("_max"))
+    return sums.crossJoin(F.broadcast(largest)).select(stream, F.sqrt(F.try_divide(F.col("_max"), F.col(total))).alias("factor"))  # one row on the right

@@ -35,7 +35,8 @@ def greedy_search(units: DataFrame, targets: DataFrame, start: list[float] | Non
     to (the last chosen unit's cur, the target vector); of equally near ones the least id.
 
     units (unit_id, prev, target, cur), targets (utt, step, target). A column ``held`` of targets (array of unit ids)
-    keeps those units out. The first state is ``start``, zeros if none is given. cost is the squared distance."""
+    keeps those units out. The first state is ``start``, zeros if none is given; a column ``begin`` of targets gives an
+    utterance its own (on its first step, where not null). cost is the squared distance."""
     first = units.select(F.size("prev").alias("j"), F.size("target").alias("t")).first()
     if first is None:
         return targets.select("utt", F.col("step").cast("long"), F.lit(None).cast("long").alias("unit_id"), F.lit(None).cast("double").alias("cost")).limit(0)
@@ -47,14 +48,15 @@ def greedy_search(units: DataFrame, targets: DataFrame, start: list[float] | Non
 
 def _greedy_local(units: DataFrame, targets: DataFrame, begin: list[float]) -> DataFrame:
     held = targets.sparkSession.sparkContext.broadcast(_arrays(units))
-    keep_out = "held" in targets.columns
+    keep_out, own = "held" in targets.columns, "begin" in targets.columns
     utt = targets.schema["utt"].dataType
     schema = T.StructType([T.StructField("utt", utt), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, prev, target, cur = held.value
         pdf = pdf.sort_values("step")
-        state, out = np.array(begin), []
+        given = pdf.begin.iloc[0] if own else None
+        state, out = np.array(begin if given is None else given, float), []
         for row in pdf.itertuples():
             cost = ((prev - state) ** 2).sum(1) + ((target - np.asarray(row.target, float)) ** 2).sum(1)
             if keep_out and row.held is not None and len(row.held):
@@ -75,17 +77,18 @@ def _greedy_steps(units: DataFrame, targets: DataFrame, begin: list[float]) -> D
     spark = units.sparkSession
     units = units.select("unit_id", *(F.col(c).cast("array<double>").alias(c) for c in ("prev", "target", "cur"))).persist()
     names = sorted(r.utt for r in targets.select("utt").distinct().collect())
-    keep_out, out = "held" in targets.columns, []
+    keep_out, own, out = "held" in targets.columns, "begin" in targets.columns, []
     for k in range(0, len(names), TOGETHER):
         part = targets.where(F.col("utt").isin(names[k : k + TOGETHER]))
         rows: dict = {}
         for r in part.collect():
-            rows.setdefault(r.utt, []).append((r.step, np.array(r.target, float), set(r.held or []) if keep_out else set()))
-        state = {u: np.array(begin) for u in rows}
+            rows.setdefault(r.utt, []).append((r.step, np.array(r.target, float), set(r.held or []) if keep_out else set(), r.begin if own else None))
+        state = {}
         for u in rows:
             rows[u].sort(key=lambda x: x[0])
+            state[u] = np.array(rows[u][0][3] or begin, float)
         for n in range(max(map(len, rows.values()), default=0)):
-            queries = spark.sparkContext.broadcast([(u, state[u], *x[n][1:]) for u, x in rows.items() if n < len(x)])
+            queries = spark.sparkContext.broadcast([(u, state[u], *x[n][1:3]) for u, x in rows.items() if n < len(x)])
 
             def look(batches: Iterator[pd.DataFrame], queries=queries) -> Iterator[pd.DataFrame]:
                 best: dict = {}
@@ -254,3 +257,8 @@ def next_samples(units: DataFrame, frames: DataFrame, context: int) -> DataFrame
         return pd.DataFrame(out, columns=schema.names)
 
     return frames.groupBy("utt").applyInPandas(run, schema)
+
+
+def every_nth_unit(spark, n: int, size: int = 1) -> DataFrame:
+    """(step, unit_id): contiguous units 0, size, 2 size, ... below n, a path to check assembly with."""
+    return spark.range(0, n, size).select((F.col("id") / size).cast("long").alias("step"), F.col("id").alias("unit_id"))

@@ -197,3 +197,22 @@ def lagged_contexts(df: DataFrame, utt: str, ix: str, vector: str, lags: Sequenc
     """Vectors of earlier rows, one after the other; zeros before the start."""
     zeros = F.array_repeat(F.lit(0.0), width)
     return df.withColumn(name, F.concat(*(F.coalesce(F.lag(vector, k).over(_track(utt, ix)), zeros) for k in lags)))
+
+
+def edges_replaced(df: DataFrame, utt: str, ix: str, value: str, marked: Column, by: float, name: str = "value_out") -> DataFrame:
+    """Marked rows that lead or end an utterance get another value; those between stay."""
+    w = _track(utt, ix)
+    other = (~marked).cast("int")
+    before, after = F.sum(other).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(other).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(name, F.when((before == 0) | (after == 0), F.lit(by)).otherwise(F.col(value)))
+
+
+def run_text(df: DataFrame, utt: str, ix: str, value: str) -> DataFrame:
+    """(utt, text): stretches of equal values as ``value*length``, in order, for display."""
+    each = runs(df, utt, ix, value)
+    listed = F.array_sort(F.collect_list(F.struct("run", F.concat_ws("*", F.col(value).cast("string"), F.col("length").cast("string")).alias("t"))))
+    return each.groupBy(utt).agg(F.array_join(F.transform(listed, lambda x: x["t"]), " ").alias("text"))  # an utterance's runs
+
+
+#: Named predicates on a value, instead of evaluated text.
+PREDICATES = {"voiced": lambda x: x > 0, "unvoiced": lambda x: x <= 0, "sentinel": lambda x: x == UNVOICED}

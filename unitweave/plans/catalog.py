@@ -513,3 +513,82 @@ def patch_index(spark, d):
     g = search.ngrams(t, "doc", "ix", "token", 3)
     at = g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc.conv_id", "doc.turn", "ix")).alias("at")).where("n > 1")
     return at.select("gram", "n", "at.conv_id", "at.turn", "at.ix")
+
+
+# --- further windows, joins and sums ----------------------------------------------------------------------------
+
+
+@_query(f"WITH {_TR}, m AS (SELECT *, sum(CAST(f0 > 0 AS INTEGER)) OVER (PARTITION BY utt ORDER BY ix) AS a, sum(CAST(f0 > 0 AS INTEGER)) OVER (PARTITION BY utt ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM t) SELECT utt, ix, CASE WHEN a = 0 OR z = 0 THEN -10.0 ELSE f0 END AS f0 FROM m")
+def silent_edges(spark, d):
+    out = series.edges_replaced(_tracks(spark, d), "utt", "ix", "f0", F.col("f0") <= 0, -10.0)
+    return out.select("utt", "ix", F.col("value_out").alias("f0"))
+
+
+@_query("SELECT round(avg(ln(1 + 255 * abs(value) / 1000) / ln(256)), 9) AS mean, round(stddev_pop(ln(1 + 255 * abs(value) / 1000) / ln(256)), 9) AS std FROM events")
+def wave_mean_std(spark, d):
+    out = diagnostics.wave_statistics(_t(spark, d, "events"), "user_id", F.col("value") / 1000, 0)
+    return out.select(*(_r(F.col(c), 9).alias(c) for c in ("mean", "std")))
+
+
+@_query("WITH s AS (SELECT l_returnflag AS stream, sum(l_quantity) AS total FROM lineitem GROUP BY 1) SELECT stream, round(sqrt((SELECT max(total) FROM s) / total), 9) AS factor FROM s")
+def stream_factors(spark, d):
+    s = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("stream")).agg(F.sum("l_quantity").alias("total"))
+    return diagnostics.stream_factors(s, "stream", "total").select("stream", _r(F.col("factor"), 9).alias("factor"))
+
+
+@_query(f"WITH {_E}, a AS (SELECT label AS utt, vec_id AS pos, v[1] AS x FROM e), g AS (SELECT utt, pow(10, -1.3) / sqrt(avg(x * x)) AS g FROM a GROUP BY utt) SELECT utt, pos, round(x * g, 9) AS value FROM a JOIN g USING (utt)")
+def level_normalise(spark, d):
+    s = _vectors(spark, d).select(F.col("label").alias("utt"), F.col("vec_id").alias("pos"), F.col("v")[0].alias("value"))
+    return assemble.level_normalised(s).select("utt", "pos", _r(F.col("value"), 9).alias("value"))
+
+
+@_query(f"WITH {_TR}, g AS (SELECT utt, ix, CAST(f0 > 0 AS INTEGER) AS v, ix - row_number() OVER (PARTITION BY utt, f0 > 0 ORDER BY ix) AS g FROM t), r AS (SELECT utt, v, min(ix) AS s, count(*) AS n FROM g GROUP BY utt, v, g) SELECT utt, string_agg(v || '*' || n, ' ' ORDER BY s) AS text FROM r GROUP BY utt")
+def run_text(spark, d):
+    return series.run_text(_tracks(spark, d).withColumn("v", (F.col("f0") > 0).cast("int")), "utt", "ix", "v")
+
+
+@_query(f"WITH RECURSIVE {_VITERBI}, g AS (SELECT utt, step, unit_id, unit_id - step AS g FROM vp), n AS (SELECT *, CASE WHEN lag(unit_id) OVER (PARTITION BY utt ORDER BY step) = unit_id - 1 THEN 0 ELSE 1 END AS new FROM g), r AS (SELECT *, sum(new) OVER (PARTITION BY utt ORDER BY step) AS run FROM n) SELECT utt, CAST(run AS BIGINT) AS run, min(unit_id) AS first_id, max(unit_id) AS last_id, count(*) AS length FROM r GROUP BY utt, run")
+def contiguous_runs(spark, d):
+    return diagnostics.contiguous_runs(_viterbi(spark, d)).withColumn("run", F.col("run").cast("long"))
+
+
+@_query(f"WITH RECURSIVE {_VITERBI} SELECT vp.utt, step, e.label || ' ' || unit_id || ' ' || (unit_id + 1) AS line FROM vp JOIN e ON e.vec_id = unit_id")
+def selection_trace(spark, d):
+    e = _vectors(spark, d).select(F.col("vec_id").alias("unit_id"), F.col("label").cast("string").alias("src"), F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("end"))
+    return diagnostics.trace(_viterbi(spark, d).join(e, "unit_id"))
+
+
+@_query(f"WITH {_CANDIDATES}, p AS (SELECT DISTINCT a.id AS f, b.id AS t FROM c a JOIN c b ON b.utt = a.utt AND b.step = a.step + 1) SELECT f AS from_id, t AS to_id, round(CASE WHEN t = f + 1 THEN 0.0 ELSE list_distance(x.v, y.v) END, 6) AS cost FROM p JOIN e x ON x.vec_id = f JOIN e y ON y.vec_id = t")
+def join_cost_table(spark, d):
+    e = _vectors(spark, d).select(F.col("vec_id").alias("unit_id"), F.col("v").alias("start"), F.col("v").alias("end"))
+    return search.join_costs(search.candidate_pairs(_candidates(spark, d)), e).withColumn("cost", _r(F.col("cost")))
+
+
+@_query(f"WITH {_E}, x AS (SELECT vec_id, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM e) SELECT vec_id, CAST(128 AS INTEGER) AS width, round(v[1] + b[64], 6) AS edge FROM x WHERE b IS NOT NULL")
+def frame_pairs(spark, d):
+    out = features.frame_pairs(_vectors(spark, d), "label", "vec_id", "v")
+    return out.select("vec_id", F.size("v").alias("width"), _r(F.col("v")[0] + F.element_at("v", -1)).alias("edge"))
+
+
+@_query(f"WITH {_E}, x AS (SELECT vec_id, v, coalesce(lag(v, 2) OVER w, first_value(v) OVER w) AS a, lead(v, 2) OVER w AS b, last_value(v) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, round(a[1], 6) AS first, round(coalesce(b, z)[64], 6) AS last FROM x")
+def natural_contexts(spark, d):
+    out = features.natural_contexts(_vectors(spark, d), "label", "vec_id", "v")
+    return out.select("vec_id", _r(F.col("context")[0]).alias("first"), _r(F.element_at("context", -1)).alias("last"))
+
+
+@_query(f"WITH {_E} SELECT vec_id, round(coalesce(lag(v[1], 10) OVER w, 0.0), 6) AS lag10, round(coalesce(lag(v[64], 20) OVER w, 0.0), 6) AS lag20 FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)")
+def lagged_contexts(spark, d):
+    out = series.lagged_contexts(_vectors(spark, d), "label", "vec_id", "v", (10, 20), DIM)
+    return out.select("vec_id", _r(F.col("context")[0]).alias("lag10"), _r(F.element_at("context", -1)).alias("lag20"))
+
+
+@_query("WITH h AS (SELECT a.conv_id AS from_id, b.conv_id AS to_id FROM (SELECT DISTINCT conv_id FROM conversations) a JOIN (SELECT DISTINCT conv_id FROM conversations) b ON b.conv_id = a.conv_id + 1) SELECT * FROM h")
+def adjacent_conversations(spark, d):
+    return joins.successors(_t(spark, d, "conversations").select("conv_id").distinct(), "conv_id").select("from_id", "to_id")
+
+
+@_query(f"WITH {_HALVES}, n AS (SELECT a.unit_id, b.phone FROM u a LEFT JOIN u b ON b.unit_id = a.unit_id + 1) SELECT a.unit_id AS from_id, c.unit_id AS to_id, c.unit_id = a.unit_id + 1 AS natural FROM u a JOIN n USING (unit_id) JOIN u c ON c.phone = CASE WHEN a.half = 'L' THEN a.phone ELSE n.phone END AND c.half <> a.half AND c.unit_id <> a.unit_id WHERE a.unit_id % 100 = 0")
+def transitions_of(spark, d):
+    """Transitions of the stated query set, every unit whose id is divisible by 100, against all units."""
+    u = _halves(spark, d)
+    return joins.transitions_of(u.where("unit_id % 100 = 0").select("unit_id"), u)

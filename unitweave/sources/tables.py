@@ -53,3 +53,8 @@ def batches(names: DataFrame, utt: str, held_out: float = 0.05, seed: int = 1234
     """(training, validation) names by a hash."""
     share = F.pmod(F.xxhash64(F.lit(seed), utt), F.lit(10_000)) < int(held_out * 10_000)
     return names.where(~share), names.where(share)
+
+
+def record_run(spark: SparkSession, path: str, name: str, settings: dict, result: float) -> None:
+    """Appends a row (name, settings, result) to a table of tuning runs."""
+    spark.createDataFrame([(name, json.dumps(settings, sort_keys=True, default=str), float(result))], "name string, settings string, result double").write.mode("append").parquet(path)

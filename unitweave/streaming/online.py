@@ -22,16 +22,11 @@ def attach(targets: DataFrame, units: DataFrame, state: str, checkpoint: str) ->
         spark = batch.sparkSession
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
         there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        begun = None
         if there:
             past = spark.read.option("basePath", state).schema("utt string, step long, unit_id long, cost double, batch long").parquet(state).where(F.col("batch") < batch_id)
             last = past.join(batch.select("utt").distinct(), "utt", "left_semi").groupBy("utt").agg(F.max_by("unit_id", "step").alias("unit_id"))
-            begun = last.join(units.select("unit_id", "cur"), "unit_id").select("utt", "cur")
-        fresh = batch if begun is None else batch.join(begun.select("utt"), "utt", "left_anti")
-        out = greedy_search(units, fresh)
-        if begun is not None:
-            for r in begun.collect():  # the utterances that go on in this batch
-                out = out.unionByName(greedy_search(units, batch.where(F.col("utt") == r.utt), start=list(r.cur)))
+            batch = batch.join(last.join(units.select("unit_id", F.col("cur").alias("begin")), "unit_id").select("utt", "begin"), "utt", "left")
+        out = greedy_search(units, batch)
         out.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return targets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
