@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitweave.llm import decontaminate, mixing, near_duplicates, pii, toxicity
-from unitweave.llm.scratch import stored
+from unitweave.llm.scratch import small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot train the dictionaries of the first stage.
@@ -31,12 +31,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
+    small_batches(spark)
     model = toxicity.learn(toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic"))
     return toxicity.keep_ordinary(docs.select(*COLUMNS), model)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that of the least id."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = near_duplicates.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
     return _without(docs, gone)
@@ -44,6 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     index = decontaminate.build_index(docs)
     found = decontaminate.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -52,12 +55,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; n_chars follows."""
+    small_batches(spark)
     done = pii.redacted(docs.select(*COLUMNS))
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each repetition of a document in the mix; the last can be a part of it."""
+    small_batches(spark)
     return mixing.repetitions(docs.select(*COLUMNS))
 
 

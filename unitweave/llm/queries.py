@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from unitweave.llm import decontaminate, embeddings, language_id, mixing, near_duplicates, pii, repeats, token_counts, toxicity, warc
+from unitweave.llm.scratch import small_batches
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of texts of a few MB: Spark's default of 10,000 rows costs tens of MB in the JVM and again in each
+    worker. A setting that someone chose stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a scratch table."""
     path = f"{shared_dir(spark)}/unitweave/{name}-{uuid.uuid4().hex}"

@@ -37,6 +37,8 @@ MAX_TOXIC, MAX_ORDINARY = 3000, 8000
 CALIBRATE = 35
 WINDOW, STEP, LEVEL = 48, 24, 5
 ORDINARY_BYTES = 32768
+#: Windows of ordinary texts that its dictionary is trained on, about.
+ORDINARY_WINDOWS = 60_000
 #: (bytes of the toxic dictionary, bytes of a segment, least share of toxic texts that a word is in): the candidates.
 CANDIDATES = ((1000, 24, 0.01), (1500, 24, 0.004), (1500, 24, 0.01), (1500, 16, 0.01), (2000, 24, 0.01), (2500, 32, 0.01), (2500, 24, 0.004))
 THRESHOLD = 0.7
@@ -141,13 +143,19 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     rest = [(t, y) for (t, y), k in zip(rows, keep) if not k]
     if not all(train) or len({y for _, y in rest}) < 2:
         return Model(prior)
-    known: set[bytes] = set()
+    # Words of at least two toxic texts that no ordinary text holds: the ordinary texts' own words are never kept.
+    texts_with = Counter()
+    for t in train[1]:
+        texts_with.update(set(_WORD.findall(t)))
+    texts_with = Counter({w: n for w, n in texts_with.items() if n > 1})
     for t in train[0]:
-        known.update(_WORD.findall(t))
-    own = [sorted(set(_WORD.findall(t)) - known) for t in train[1]]
-    texts_with = Counter(w for words in own for w in words)
-    cut = [w for t in train[0] for w in windows(t.decode("utf-8", "surrogatepass"))]
-    ordinary = _dictionary(cut[:: max(1, len(cut) // 60000)], ORDINARY_BYTES, 16)
+        for w in set(_WORD.findall(t)) & texts_with.keys():
+            del texts_with[w]
+    own = [sorted(set(_WORD.findall(t)) & texts_with.keys()) for t in train[1]]
+    every, cut = max(1, sum(map(len, train[0])) // STEP // ORDINARY_WINDOWS), []
+    for t in train[0]:
+        cut += windows(t.decode("utf-8", "surrogatepass"))[len(cut) % every :: every]
+    ordinary = _dictionary(cut, ORDINARY_BYTES, 16)
     y = np.array([label for _, label in rest], np.float64)
     best, model = -1.0, Model(prior)
     for size, segment, share in CANDIDATES:
