@@ -149,8 +149,9 @@ def test_repeats(spark, monkeypatch):
     texts = [some(300) + p + some(200), some(50) + p[100:] + some(900), p[:399] + some(10), p[:401], some(500), "x" * 1000, "ab" * 450, None, "", q, q, some(100) + q, q + some(30) + q, some(2000) + p[50:650] + q, some(399), "x" * 400, "y" * 400, "z" * 401]
     texts += [some(250) + p[:350] + p[340:] + some(9), None, ""]
     want = repeats.brute(texts)
-    for run, per_range in ((repeats.RUN, repeats.RANGE), (7, 9)):
+    for run, per_range, ranges in ((repeats.RUN, repeats.RANGE, 9), (7, 9, 9), (7, 9, 2)):
         monkeypatch.setattr(repeats, "RUN", run)
+        monkeypatch.setattr(repeats, "MAX_RANGES", ranges)
         monkeypatch.setattr(repeats, "RANGE", per_range)
         rows = repeats.removed(frame(spark, texts)).collect()
         assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(want))

@@ -25,6 +25,7 @@ anchor. The anchors of one 16-gram are merged in one task (784 bytes each).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
 RIGHT, LEFT = 208, 193  # an offset is at most LENGTH - RIGHT, or at least LEFT
 #: Suffixes of a run, and of a range on average.
-RUN, RANGE, MAX_RANGES = 20_000, 40_000, 5000
+RUN, RANGE, MAX_RANGES = 20_000, 20_000, 2000
 #: Texts up to which the list of their places or spans goes to every task; a longer one is joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 _GAP_BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -229,8 +230,9 @@ def _spans_of(key: list[bytes], at: np.ndarray, low: np.ndarray, high: np.ndarra
 _RUN = "range int, keys binary, places binary, shared binary, sizes binary, rest binary, left_sizes binary, lefts binary, start long, end long, key binary"
 
 
-def _runs(texts: DataFrame, splitters: list[int]) -> DataFrame:
-    """Sorted, front-coded runs, a row for each range (range >= 0), and spans that are settled in a run (range -1)."""
+def _runs(texts: DataFrame, splitters: list[int], parts: int = 1) -> DataFrame:
+    """Sorted, front-coded runs, a row for each range (range >= 0), and spans that are settled in a run (range -1). A
+    range can be dealt into parts by its first eight bytes, where there are more suffixes than splitters can part."""
     cuts = np.array(splitters, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     bounds = [int(c).to_bytes(8, "big") for c in cuts]
     schema = pa.schema([("range", pa.int32()), *((c, pa.binary()) for c in ("keys", "places", "shared", "sizes", "rest", "left_sizes", "lefts")), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary())])
@@ -257,11 +259,13 @@ def _runs(texts: DataFrame, splitters: list[int]) -> DataFrame:
                 end = at
                 while end < len(kept) and (r == len(bounds) or kept[end][0][:8] < bounds[r]):
                     end += 1
-                if end > at:
-                    part = kept[at:end]
+                groups: dict[int, list] = {}
+                for x in kept[at:end]:
+                    groups.setdefault(zlib.crc32(x[0][:8]) % parts if parts > 1 else 0, []).append(x)
+                for g, part in groups.items():
                     shared, rest, sizes = front_code([x[0] for x in part])
                     two = lambda x: np.array(x, np.uint16).tobytes()
-                    rows.append({"range": r, "keys": b"".join(x[2] for x in part), "places": np.array([x[3] for x in part], np.int64).tobytes(), "shared": two(shared), "sizes": two(sizes), "rest": rest, "left_sizes": two([len(x[1]) for x in part]), "lefts": b"".join(x[1] for x in part)})
+                    rows.append({"range": r * parts + g, "keys": b"".join(x[2] for x in part), "places": np.array([x[3] for x in part], np.int64).tobytes(), "shared": two(shared), "sizes": two(sizes), "rest": rest, "left_sizes": two([len(x[1]) for x in part]), "lefts": b"".join(x[1] for x in part)})
                 at = end
             held.clear()
             for k in range(0, len(rows), 1000):
@@ -331,6 +335,7 @@ def spans(docs: DataFrame) -> DataFrame:
     each = texts.where(F.size("at") > 0).select("key", F.explode(F.arrays_zip("at", "right", "left", "head")).alias("a")).select("key", "a.*")
     sides = each.select("key", "at", "head", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h")))).alias("s")).select("key", "at", "head", "s.*").where("h <> 0")
     twice = sides.groupBy(F.col("side").alias("s2"), F.col("h").alias("h2")).count().where(F.col("count") > 1).drop("count")
+    twice = stored(twice, "twice")  # a table of its own, so that the join can split a frequent hash
     kept = sides.join(twice, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at", "head").distinct()
     kept = stored(kept, "kept")
     n = kept.count()
@@ -339,7 +344,7 @@ def spans(docs: DataFrame) -> DataFrame:
     places = stored(kept.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")  # a text's own anchors
     near = F.broadcast if places.count() <= BROADCAST_TEXTS else lambda x: x
     bodies = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text")
-    runs = stored(_runs(bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at"), splitters), "runs", **{"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
+    runs = stored(_runs(bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at"), splitters, -(-n // (ranges * RANGE)) or 1), "runs", **{"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
     settled = runs.where("range = -1").select("key", "start", "end")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     every = settled.unionAll(_merged(runs)).unionAll(whole).distinct()
