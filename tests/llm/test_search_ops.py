@@ -113,6 +113,18 @@ def test_near_duplicates(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()} == want
 
 
+@pytest.mark.parametrize("block", [512, 100])
+def test_near_copies_in_a_family_of_one_template(spark, monkeypatch, block):
+    """1,000 texts that are 0.7 alike, the last 300 of them with a near copy: none may hide behind the family's least."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    template = " ".join(f"{rng.choice(WORDS)}{i}" for i in range(280))
+    texts = [template + "".join(f" own{i}x{k}" for k in range(6)) for i in range(1000)]
+    texts += [t[:-1] + "y" for t in texts[700:]]
+    rows = near_duplicates.near_duplicates(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i if i < 1000 else i - 300 for i in range(1300)}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
     rows = near_duplicates.near_duplicates(frame(spark, ["a b c", "a b c", "d e f", "a b c"], [5, 5, 7, None])).collect()

@@ -9,8 +9,10 @@ similarity of the whole texts (at least 0.8).
 
 Equal texts are one class from the start. A bucket is compared as a star around its least member, not pair by pair.
 Where members of a bucket stay apart from its star, a second round compares them anew: small buckets pair by pair,
-larger ones as stars of those that agree in one more band. Pairs of 0.8 share a band with a chance of 0.9998. Stars
-are verified in salted groups of bounded size. Classes are the connected components of the links.
+larger ones as stars of those that agree in one more band. What is still apart in a larger bucket is compared pair by
+pair in blocks, so that every two texts that share a band and end in different classes have been compared. Pairs of 0.8
+share a band with a chance of 0.9998. Stars are verified in salted groups of bounded size. Classes are the connected
+components of the links.
 
 Rows: null texts are alone; equal texts (empty ones too) are copies; texts without words have no other links; a text
 of fewer than five words is one shingle. Rows of one id are one node, a row without an id is alone (class null, kept).
@@ -40,6 +42,8 @@ _FEATURE_BITS = 44
 _PIECES = 64
 #: Members of a star that one group verifies; members up to which a bucket is compared pair by pair.
 STAR, SMALL = 256, 16
+#: Members of a larger bucket, about, that meet as many others in one group where all pairs are compared.
+BLOCK = 512
 #: Ids of candidates up to which their list (8 bytes each) goes to every task; a longer one is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -159,13 +163,18 @@ def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(least, keys).where("rep <> c").select("c", F.col("rep").alias("m"))
 
 
+def _bodies(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, body) of the ids in the one column of ``ids``."""
+    ids = stored(ids.toDF("i").distinct(), "ids")
+    near = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    return texts.join(near(ids), F.col("id") == F.col("i"), "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, idf, similarity: float) -> DataFrame:
     """The pairs (c, m) whose texts' weighted Jaccard similarity is at least ``similarity``."""
     spark = docs.sparkSession
-    ids = stored(pairs.select(F.col("c").alias("i")).unionAll(pairs.select("m")).distinct(), "ids")
-    near = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    texts = texts.join(near(ids), F.col("id") == F.col("i"), "left_semi")
+    texts = _bodies(pairs.select("c").unionAll(pairs.select("m")), docs, id_col, text_col)
     salts = pairs.groupBy(F.col("c").alias("k")).agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
     salted = pairs.join(salts, F.col("c") == F.col("k")).select("c", F.pmod(F.xxhash64("m"), F.col("salts")).alias("salt"), "m")
     members = salted.join(texts, F.col("m") == F.col("id")).select("c", "salt", F.lit(1).alias("role"), "m", "body")
@@ -200,6 +209,92 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, idf,
     return placed.mapInArrow(run, "c long, m long")
 
 
+def still_apart(members: DataFrame) -> DataFrame:
+    """The members (key, rep, part) of the buckets that hold several parts, with a block: those of the largest part
+    have blocks of their own, after the ``apart`` blocks of the others; of ``blocks`` in all."""
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    count = lambda n: F.ceil(n / BLOCK).cast("long")
+    main = main.select("key", "main", count(F.col("n") - F.col("most")).alias("apart"), count(F.col("most")).alias("own"))
+    salt = F.xxhash64("rep")
+    block = F.when(F.col("part") == F.col("main"), F.col("apart") + F.pmod(salt, F.col("own"))).otherwise(F.pmod(salt, F.col("apart")))
+    return members.join(main, "key").select("key", "rep", "part", block.alias("block"), "apart", (F.col("apart") + F.col("own")).alias("blocks"))
+
+
+def compared(members: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, idf, similarity: float) -> DataFrame:
+    """Links (c, m) between the parts of the buckets of ``still_apart``, by comparing all pairs of different parts, each
+    pair in the first band it shares. keys: (rep, keys). A pair that earlier links of its group join is left out."""
+    texts = _bodies(members.select("rep"), docs, id_col, text_col)
+    whole = members.join(keys, "rep").join(texts, F.col("rep") == F.col("id")).drop("id")
+    block, last = F.col("block"), F.col("blocks") - 1
+    none = F.array().cast("array<struct<i:bigint,j:bigint,role:int>>")
+    held = F.when(block < F.col("apart"), F.transform(F.sequence(block, last), lambda j: F.struct(block.alias("i"), j.alias("j"), F.lit(0).alias("role")))).otherwise(none)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.least(block, F.col("apart") - 1)), lambda i: F.struct(i.alias("i"), block.alias("j"), F.lit(1).alias("role")))
+    placed = whole.select("key", F.explode(F.concat(held, met)).alias("g"), "rep", "part", "keys", "body")
+    placed = placed.select("key", "g.*", "rep", "part", "keys", "body").repartition(_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, group, rows, block = idf.value, None, [], None
+        for batch in batches:
+            key, i, j, role, rep, part = (batch.column(k).to_numpy() for k in range(6))
+            keys = batch.column(6).flatten().to_numpy().reshape(-1, BANDS)
+            a, b = [], []
+            for row, buf, offsets in ta.blocks(batch.column(7)):
+                own, feature, tf = features(buf, offsets)
+                weight = (tf * weights[_bucket(feature)]).astype(np.float64)
+                cut = np.searchsorted(own, np.arange(len(offsets)))
+                for n in range(len(offsets) - 1):
+                    f, w = feature[cut[n] : cut[n + 1]], weight[cut[n] : cut[n + 1]]
+                    k = row + n
+                    if group != (now := (key[k], i[k], j[k])):
+                        group, rows, block = now, [], None
+                    if not len(f):
+                        continue
+                    if not role[k]:
+                        rows.append((rep[k], part[k], keys[k].copy(), f.copy(), w.copy()))
+                    elif rows:
+                        block = block or _Block(rows)
+                        for c in block.links(key[k], rep[k], part[k], keys[k], f, w, i[k] == j[k], similarity):
+                            a.append(c)
+                            b.append(rep[k])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["c", "m"])
+
+    return placed.mapInArrow(run, "c long, m long")
+
+
+class _Block:
+    """Texts that others are compared with: (rep, part, keys, features, weights) each."""
+
+    def __init__(self, rows: list[tuple]):
+        self.reps, self.parts, self.keys = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.label = self.parts.copy()
+        self.known, self.at = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+        self.weight = np.concatenate([r[4] for r in rows])
+        self.heads = np.r_[0, np.cumsum([len(r[3]) for r in rows])[:-1]]
+        self.sums = np.add.reduceat(self.weight, self.heads)
+
+    def links(self, key, rep, part, keys, f, w, same_block: bool, similarity: float) -> list[int]:
+        """One text of each label that the given one is near to; these labels become one."""
+        total = w.sum()
+        wanted = (self.parts != part) & (keys[(self.keys == keys).argmax(1)] == key)
+        wanted &= np.minimum(self.sums, total) >= similarity * np.maximum(self.sums, total) * (1 - 1e-9)
+        if same_block:
+            wanted &= self.reps < rep
+        if not wanted.any():
+            return []
+        dense = np.zeros(len(self.known))
+        at = np.minimum(np.searchsorted(self.known, f), len(self.known) - 1)
+        both = self.known[at] == f
+        dense[at[both]] = w[both]
+        shared = np.add.reduceat(np.minimum(self.weight, dense[self.at]), self.heads)
+        near = np.flatnonzero(wanted & (shared >= similarity * (self.sums + total - shared)))
+        labels, one = np.unique(self.label[near], return_index=True)
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+        return self.reps[near[one]].tolist()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: id, class_id (the least id of the class), kept (the row of that id)."""
     spark = docs.sparkSession
@@ -229,6 +324,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = stored(one.unionAll(two).distinct().join(first, ["c", "m"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionAll(stored(verified(second, docs, id_col, text_col, idf, similarity), "links"))
+
+    # Larger buckets that still hold several parts.
+    large = rest.where(F.col("size") > SMALL).select("key", "rep")
+    if not large.isEmpty():
+        parts = connected_components(links).select(F.col("id").alias("rep"), "component")
+        members = large.join(parts, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        members = stored(still_apart(members), "apart")
+        if not members.isEmpty():
+            keys = reps.where("keys IS NOT NULL").select("rep", "keys")
+            links = links.unionAll(stored(compared(members, keys, docs, id_col, text_col, idf, similarity), "links"))
     copies = table.where("same IS NOT NULL AND id IS NOT NULL").join(reps.select(F.col("same").alias("s"), "rep"), F.col("same") == F.col("s")).where("id <> rep").select(F.col("rep").alias("c"), F.col("id").alias("m"))
     classes = connected_components(links.select("c", "m").unionAll(copies))
     out = table.select("id").join(classes.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
