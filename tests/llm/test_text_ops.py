@@ -222,6 +222,18 @@ def test_account_numbers_context_and_redaction(spark):
     assert done == {0: "iban [IBAN].", 1: texts[1], 2: "mail me: [EMAIL]", 3: "xx [IP] and [EMAIL], x", 4: None}
 
 
+def test_account_numbers_before_words_and_numbers(spark):
+    """What follows an account number is not taken along, whatever it is; the texts are unknown to the SQL's greedy pattern."""
+    number, bare, other = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [(f"iban {number} Please pay", [number]), (f"{bare} The bill", [bare]), (f"{bare} THE BILL", [bare]), (f"{number} 000 12", [number]), (f"日👍 {number} {other}", [number, other])]
+    cases += [(f"{bare} {bare} {bare}", [bare] * 3), (f"AB12 {number}", [number]), (f"{bare}x", []), (f"{bare}X", []), (f"x{bare}", []), (f"{bare[:-1]}1 Please", []), (f"{number} a", [number]), (f"{number}, A", [number]), ("DE89 " * 5000 + number, [number])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+    for i, (text, want) in enumerate(cases):
+        got = [tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s.startswith("iban:")]
+        assert [text[a:b] for a, b in got] == want, text[:80]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
