@@ -50,6 +50,19 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
 
+def test_toxic_words_outlast_wrong_labels(labelled):
+    """A few ordinary labels on texts with toxic words do not take these words out of the dictionary."""
+    rows, _, _ = labelled
+    bad = [b"grobulous", b"vexheaded", b"snarfling"]
+    wrong = [(f"{' '.join(x.decode() for x in bad)} {prose(random.Random(k), 30)} {k}", 0) for k in range(3)]
+    words = toxicity.telling_words([t.encode() for _, t, y in rows if y], [t.encode() for _, t, y in rows if not y] + [t.encode() for t, _ in wrong], 20)
+    assert set(bad) <= words.keys()
+    model = toxicity.learn([(t, y) for i, t, y in rows if not held(i)] + wrong)
+    test = [(t, y) for i, t, y in rows if held(i)]
+    found = model.scorer()([t for t, _ in test]) >= 0.7
+    assert sum(found[k] for k, (_, y) in enumerate(test) if y) >= 0.85 * sum(y for _, y in test)
+
+
 def test_toxicity_without_labels(spark, labelled):
     _, docs, labels = labelled
     model = toxicity.learn(toxicity.sample(docs, labels.limit(0), "doc_id", "text", "toxic"))

@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, one on ordinary text and one on what toxic text has and ordinary text lacks
-(words of toxic texts that no ordinary text of the sample holds, each once per text). A text is cut into windows of
+Two Zstandard dictionaries are trained, one on ordinary text and one on what toxic text has and ordinary text hardly
+(words whose share of toxic texts is many times that of ordinary ones, each once per text). A text is cut into windows of
 48 bytes that begin at words and overlap by half. Each window is compressed with the ordinary dictionary alone and
 with the toxic one chained before it, so that windows without toxic content compress alike; the difference of the two
 lengths is the window's gain. How many windows gain so many bytes, in share and in number, is calibrated on labelled
-texts that no dictionary was trained on; of a few sizes of the toxic dictionary, the one that separates these best
-stays. A text is predicted toxic where the calibrated score reaches the threshold.
+texts that no dictionary was trained on; of a few word lists and sizes of the toxic dictionary, the one that
+separates these best stays. A text is predicted toxic where the calibrated score reaches the threshold.
 
 Learning uses a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY``, chosen by a hash of the id);
 scoring covers all rows and whole texts.
@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ ORDINARY_BYTES = 32768
 ORDINARY_WINDOWS = 60_000
 #: (bytes of the toxic dictionary, bytes of a segment, least share of toxic texts that a word is in): the candidates.
 CANDIDATES = ((1000, 24, 0.01), (1500, 24, 0.004), (1500, 24, 0.01), (1500, 16, 0.01), (2000, 24, 0.01), (2500, 32, 0.01), (2500, 24, 0.004))
+#: How many times as large a word's share of toxic texts has to be as its share of ordinary ones (candidates, too), and
+#: the ordinary texts that are added to those with the word.
+RATIOS, SMOOTH = (20, 40), 1
 THRESHOLD = 0.7
 _WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAINS = np.array([1, 2, 3, 4, 5, 6, 8])
@@ -134,6 +138,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
     return mean, scale, w
 
 
+def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float) -> dict[bytes, int]:
+    """The words of at least two toxic texts whose share of toxic texts is ``ratio`` times that of ordinary ones, with
+    their number of toxic texts. ``SMOOTH`` texts are added to the ordinary ones that hold a word."""
+    texts_with, usual = Counter(), Counter()
+    for t in toxic:
+        texts_with.update(set(_WORD.findall(t)))
+    texts_with = Counter({w: n for w, n in texts_with.items() if n > 1})
+    for t in ordinary:
+        usual.update(set(_WORD.findall(t)) & texts_with.keys())
+    return {w: n for w, n in texts_with.items() if n * len(ordinary) >= ratio * (usual[w] + SMOOTH) * len(toxic)}
+
+
 def learn(rows: list[tuple[str, int]]) -> Model:
     """rows: (text, label), in an order that does not depend on the cluster."""
     labels = np.array([y for _, y in rows], np.float64)
@@ -143,24 +159,16 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     rest = [(t, y) for (t, y), k in zip(rows, keep) if not k]
     if not all(train) or len({y for _, y in rest}) < 2:
         return Model(prior)
-    # Words of at least two toxic texts that no ordinary text holds: the ordinary texts' own words are never kept.
-    texts_with = Counter()
-    for t in train[1]:
-        texts_with.update(set(_WORD.findall(t)))
-    texts_with = Counter({w: n for w, n in texts_with.items() if n > 1})
-    for t in train[0]:
-        for w in set(_WORD.findall(t)) & texts_with.keys():
-            del texts_with[w]
-    own = [sorted(set(_WORD.findall(t)) & texts_with.keys()) for t in train[1]]
     every, cut = max(1, sum(map(len, train[0])) // STEP // ORDINARY_WINDOWS), []
     for t in train[0]:
         cut += windows(t.decode("utf-8", "surrogatepass"))[len(cut) % every :: every]
     ordinary = _dictionary(cut, ORDINARY_BYTES, 16)
     y = np.array([label for _, label in rest], np.float64)
     best, model = -1.0, Model(prior)
-    for size, segment, share in CANDIDATES:
-        least = max(2, share * len(own))
-        samples = [(b" " + w) * max(2, -(-20 // (len(w) + 1))) + b" " for words in own for w in words if texts_with[w] >= least]
+    words = [telling_words(train[1], train[0], ratio) for ratio in RATIOS]
+    for texts_with, (size, segment, share) in product(words, CANDIDATES):
+        least = max(2, share * len(train[1]))
+        samples = [(b" " + w) * max(2, -(-20 // (len(w) + 1))) + b" " for t in train[1] for w in sorted(set(_WORD.findall(t)) & texts_with.keys()) if texts_with[w] >= least]
         if not samples:
             continue
         toxic = _dictionary(samples, size, segment)
