@@ -218,3 +218,19 @@ def test_embeddings_of_odd_rows(spark):
     assert rows == sorted([*alone, (0, 0, None, False), (4, 3, 4, True), (5, 3, 4, False), (5, 3, 4, False), (9, 3, 4, False), (11, 1, 11, True), (12, 1, 11, False)])
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     assert [r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [0]
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Runs of 51 words that two documents have, most of them too short for the rule of 400 bytes."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("ab") * rng.randint(1, 2) + rng.choice(("la", "no", "Ri", "té"))
+    some = lambda n: " ".join(word() for _ in range(n))
+    parts = [some(n) for n in (49, 50, 51, 52, 60, 75)]
+    texts = [None, "", "a", parts[2], parts[1], some(51), some(300)]
+    texts += [", ".join((some(rng.randint(0, 40)), p, some(rng.randint(0, 40)))) for p in parts for _ in range(3)]
+    texts += [" ".join(["of"] * 60), " ".join(["of"] * 55), texts[6], f"{parts[5]} {some(9)} {parts[4]}", f"{some(200)} {parts[5].upper()} {parts[5]}"]
+    want = repeats.brute_passages(texts)
+    assert want[3] == 51 and want[4] == 0 and want[6] == 300 and sum(x > 0 for x in want) > 15
+    rows = {r.doc_id: r for r in repeats.removed(frame(spark, texts)).collect()}
+    assert [rows[i].n_passage_words for i in range(len(texts))] == want
+    assert rows[3].n_removed == 0 and rows[3].n_bytes < 400

@@ -17,6 +17,9 @@ of 385 16-grams. Some 2 suffixes in 386 are left.
 Equal texts are one class from the start: a text that occurs twice goes whole (if it has 400 bytes). Left contexts are
 compared by a 64-bit hash, right contexts by their bytes.
 
+The same anchors, of words instead of bytes, find the runs of 51 words that another document has, too. Such a passage
+has some 300 bytes, so the rule above mostly leaves it; ``passages`` counts its words.
+
 Rows: null is the empty text; repeated rows repeat each other's strings; texts under 400 bytes lose nothing and repeat
 nothing; an empty table gives an empty result. Strings never cross texts. A run of one byte makes every place in it an
 anchor. The anchors of one 16-gram are merged in one task (784 bytes each).
@@ -30,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitweave.llm import textarrays as ta
@@ -40,6 +44,8 @@ from unitweave.llm.scratch import stored
 LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
 RIGHT, LEFT = 208, 193  # an offset is at most LENGTH - RIGHT, or at least LEFT
+#: Words of a passage that is reported where another text has it, too; its anchors are grams of words.
+WORDS, WORD_GRAM, WORD_RIGHT, WORD_LEFT = 51, 4, 26, 26
 #: Suffixes of a run, and of a range on average.
 RUN, RANGE, MAX_RANGES = 20_000, 20_000, 2000
 #: Texts up to which the list of their places or spans goes to every task; a longer one is joined by a shuffle.
@@ -62,51 +68,80 @@ def _hash(sums: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
         return ta.mix((sums[begin + size] - sums[begin]) * down[begin])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """The anchors of all strings of LENGTH bytes within the texts of a block, in order."""
-    n = len(buf) - GRAM + 1
-    if len(buf) < LENGTH:
-        return np.zeros(0, np.int64)
+def anchors(offsets: np.ndarray, sums: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, anchor) of all strings of ``length`` symbols within the texts of a block, in order. offsets: where texts
+    begin, and the end; sums: the sums of the symbols' hashes."""
+    size, window = int(offsets[-1]), length - gram + 1
+    n = size - gram + 1
+    if size < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bits = max(1, int(n).bit_length())
     at = np.arange(n)
-    key = _hash(sums, at, GRAM) >> np.uint64(bits) << np.uint64(bits) | at.astype(np.uint64)
-    # Minima of windows: of a window's part in one stretch of WINDOW keys, and of its part in the next.
-    padded = np.full(-(-n // WINDOW) * WINDOW, np.uint64(2**64 - 1))
+    key = _hash(sums, at, gram) >> np.uint64(bits) << np.uint64(bits) | at.astype(np.uint64)
+    # Minima of windows: of a window's part in one stretch of as many keys, and of its part in the next.
+    padded = np.full(-(-n // window) * window, np.uint64(2**64 - 1))
     padded[:n] = key
-    grid = padded.reshape(-1, WINDOW)
+    grid = padded.reshape(-1, window)
     ahead = np.minimum.accumulate(grid, 1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    begin = np.arange(len(buf) - LENGTH + 1)
+    begin = np.arange(size - length + 1)
     inside = np.ones(len(begin), bool)
     for edge in offsets[1:-1]:  # strings over the edge of two texts
-        inside[max(0, edge - LENGTH + 1) : edge] = False
+        inside[max(0, edge - length + 1) : edge] = False
     begin = begin[inside]
-    least = np.minimum(behind[begin], ahead[begin + WINDOW - 1])
-    return np.unique((least & np.uint64((1 << bits) - 1)).astype(np.int64))
+    least = np.minimum(behind[begin], ahead[begin + window - 1])
+    return begin, (least & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _word_sums(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text's words begin in the list of all words, and its end; sums of their hashes)."""
+    starts, ends, first = ta.words(buf, offsets)
+    up, _ = ta.powers(len(starts) + 1)
+    with np.errstate(over="ignore"):
+        return first, np.r_[np.uint64(0), np.cumsum(ta.word_hashes(buf, starts, ends) * up[: len(starts)], dtype=np.uint64)]
+
+
+def _sides(at: np.ndarray, low: np.ndarray, high: np.ndarray, sums: np.ndarray, right: int, left: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``right`` symbols from each anchor on, and of ``left`` before it and its gram; 0 where these leave the
+    text (low to high)."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    last = len(sums) - 1
+    after = np.where(at + right <= high, _hash(sums, np.clip(at, 0, max(0, last - right)), min(right, last)), np.uint64(0))
+    return after, np.where(at - left >= low, _hash(sums, np.maximum(at - left, 0), left + gram), np.uint64(0))
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(key, n_bytes, at, right, left, head) of each row; key is the text's digest."""
+    """(key, n_bytes, at, right, left, head, n_words, w_at, w_right, w_left) of each row; key is the text's digest, w_ is
+    of the anchors among its words."""
+
+    def listed(cut: np.ndarray, x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, offsets in ta.blocks(batch.column(0)):
+                rows = np.arange(len(offsets))
                 sums = _prefix_sums(buf)
-                at = anchors(buf, offsets, sums)
+                at = np.unique(anchors(offsets, sums)[1])
                 text = np.searchsorted(offsets, at, "right") - 1
-                low, high = offsets[text], offsets[text + 1]
-                right = np.where(at + RIGHT <= high, _hash(sums, np.minimum(at, len(buf) - RIGHT if len(buf) >= RIGHT else 0), RIGHT) if len(at) else 0, 0)
-                left = np.where((at - LEFT >= low), _hash(sums, np.maximum(at - LEFT, 0), LEFT + GRAM) if len(at) else 0, 0)
+                right, left = _sides(at, offsets[text], offsets[text + 1], sums, RIGHT, LEFT, GRAM)
                 head = np.zeros(len(at), np.uint64)
                 for j in range(8):
                     head = head << np.uint64(8) | buf[at + j].astype(np.uint64)
-                cut = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
+                cut = np.searchsorted(text, rows).astype(np.int32)
                 data = buf.tobytes()
                 key = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in ((at - low).astype(np.int32), right.astype(np.uint64).view(np.int64), left.astype(np.uint64).view(np.int64), (head ^ np.uint64(1 << 63)).view(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(np.diff(offsets)), *lists], ["key", "n_bytes", "at", "right", "left", "head"])
+                lists = [listed(cut, x) for x in ((at - offsets[text]).astype(np.int32), right.view(np.int64), left.view(np.int64), (head ^ np.uint64(1 << 63)).view(np.int64))]
+                first, sums = _word_sums(buf, offsets)
+                at = np.unique(anchors(first, sums, WORDS, WORD_GRAM)[1])
+                text = np.searchsorted(first, at, "right") - 1
+                right, left = _sides(at, first[text], first[text + 1], sums, WORD_RIGHT, WORD_LEFT, WORD_GRAM)
+                cut = np.searchsorted(text, rows).astype(np.int32)
+                lists += [pa.array(np.diff(first)), *(listed(cut, x) for x in ((at - first[text]).astype(np.int32), right.view(np.int64), left.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(np.diff(offsets)), *lists], ["key", "n_bytes", "at", "right", "left", "head", "n_words", "w_at", "w_right", "w_left"])
 
-    return docs.select("text").mapInArrow(run, "key binary, n_bytes long, at array<int>, right array<long>, left array<long>, head array<long>")
+    return docs.select("text").mapInArrow(run, "key binary, n_bytes long, at array<int>, right array<long>, left array<long>, head array<long>, n_words long, w_at array<int>, w_right array<long>, w_left array<long>")
 
 
 def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes, list[int]]:
@@ -326,14 +361,63 @@ def _merged(runs: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "key binary, start long, end long")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """A stored table (key, spans): for each text with repeats (by the md5 digest of its bytes) the spans that go,
-    sorted and apart. docs: a column text, null-free."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """A stored table of the different texts, with their anchors and copies."""
     found = stored(_anchored(docs), "anchors")
-    texts = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), *(F.first(c).alias(c) for c in ("at", "right", "left", "head")))
-    texts = stored(texts, "texts")
-    each = texts.where(F.size("at") > 0).select("key", F.explode(F.arrays_zip("at", "right", "left", "head")).alias("a")).select("key", "a.*")
-    sides = each.select("key", "at", "head", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h")))).alias("s")).select("key", "at", "head", "s.*").where("h <> 0")
+    firsts = [c for c in found.columns if c != "key"]
+    return stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in firsts)), "texts")
+
+
+def _bodies(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text, at) of the texts of ``places`` (key, at)."""
+    near = F.broadcast if places.count() <= BROADCAST_TEXTS else lambda x: x
+    bodies = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text")
+    return bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at")
+
+
+def _two_sided(texts: DataFrame, at: str, right: str, left: str, *more: str) -> DataFrame:
+    """(key, at, more, side, h): two rows for each anchor of the three lists."""
+    each = texts.where(F.size(at) > 0).select("key", F.explode(F.arrays_zip(at, right, left, *more)).alias("a"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(f"a.{right}").alias("h")), F.struct(F.lit(1).alias("side"), F.col(f"a.{left}").alias("h")))
+    return each.select("key", F.col(f"a.{at}").alias("at"), *(F.col(f"a.{c}").alias(c) for c in more), F.explode(sides).alias("s")).select("key", "at", *more, "s.*").where("h <> 0")
+
+
+def passages(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(p_key, n_passage_words): for each text the words that stand in a run of ``WORDS`` words that another document
+    has, too. Sides of anchors that two texts share lead to the runs' 64-bit hashes, and these are counted."""
+    text = F.xxhash64("key")
+    sides = _two_sided(texts, "w_at", "w_right", "w_left")
+    two = lambda x, *by: x.groupBy(*by).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").drop("a", "b")
+    shared = stored(two(sides, F.col("side").alias("s2"), F.col("h").alias("h2")), "sides")
+    kept = sides.join(shared, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at").distinct()
+    places = stored(kept.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")  # a text's own anchors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, buf, offsets in ta.blocks(batch.column(1)):
+                first, sums = _word_sums(buf, offsets)
+                begin, at = anchors(first, sums, WORDS, WORD_GRAM)
+                own = batch.column(2).slice(row, len(offsets) - 1)
+                wanted = own.flatten().to_numpy() + np.repeat(first[:-1], pa.compute.list_value_length(own).to_numpy())
+                begin = begin[np.isin(at, wanted)]
+                of = np.searchsorted(first, begin, "right") - 1
+                keys = batch.column(0).slice(row, len(offsets) - 1).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([keys, pa.array((begin - first[of]).astype(np.int64)), pa.array(_hash(sums, begin, WORDS).view(np.int64))], ["key", "i", "h"])
+
+    runs = stored(_bodies(docs, places).mapInArrow(run, "key binary, i long, h long").distinct(), "word-runs")
+    shared = stored(two(runs, F.col("h").alias("h2")), "shared-runs")
+    hits = runs.join(shared, F.col("h") == F.col("h2"), "left_semi")
+    after = F.lead("i").over(Window.partitionBy("key").orderBy("i")) - F.col("i")  # a text's own runs
+    counts = hits.select("key", F.least(F.coalesce(after, F.lit(WORDS)), F.lit(WORDS)).alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n"))
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= WORDS)
+    found = texts.select("key", "copies", "n_words").join(counts, F.col("key") == F.col("k"), "left")
+    return stored(found.select(F.col("key").alias("p_key"), F.when(whole, F.col("n_words")).otherwise(F.col("n")).alias("n_passage_words")).where("n_passage_words > 0"), "passages")
+
+
+def spans(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """A stored table (key, spans): for each text with repeats (by the md5 digest of its bytes) the spans that go,
+    sorted and apart. docs: a column text, null-free; texts: its ``_texts``."""
+    sides = _two_sided(texts, "at", "right", "left", "head")
     twice = sides.groupBy(F.col("side").alias("s2"), F.col("h").alias("h2")).count().where(F.col("count") > 1).drop("count")
     twice = stored(twice, "twice")  # a table of its own, so that the join can split a frequent hash
     kept = sides.join(twice, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at", "head").distinct()
@@ -342,9 +426,7 @@ def spans(docs: DataFrame) -> DataFrame:
     ranges = min(MAX_RANGES, max(1, n // RANGE))
     splitters = sorted(set(kept.agg(F.percentile_approx("head", F.array(*(F.lit((i + 1) / ranges) for i in range(ranges - 1))), 10_000).alias("q")).first().q or [])) if ranges > 1 else []
     places = stored(kept.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")  # a text's own anchors
-    near = F.broadcast if places.count() <= BROADCAST_TEXTS else lambda x: x
-    bodies = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text")
-    runs = stored(_runs(bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at"), splitters, -(-n // (ranges * RANGE)) or 1), "runs", **{"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
+    runs = stored(_runs(_bodies(docs, places), splitters, -(-n // (ranges * RANGE)) or 1), "runs", **{"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
     settled = runs.where("range = -1").select("key", "start", "end")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     every = settled.unionAll(_merged(runs)).unionAll(whole).distinct()
@@ -357,11 +439,14 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that is left, bytes)."""
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in runs of ``WORDS`` words that
+    another document has; most such runs are under LENGTH bytes and stay) and kept (the text that is left, bytes)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = spans(rows.select("text"))
+    texts = _texts(rows.select("text"))
+    found = spans(texts, rows.select("text")).join(passages(texts, rows.select("text")), F.col("key") == F.col("p_key"), "full")
+    found = stored(found.select(F.coalesce("key", "p_key").alias("key"), "spans", "n_passage_words"), "found")
     near = F.broadcast if found.count() <= BROADCAST_TEXTS else lambda x: x
-    joined = rows.withColumn("k", F.unhex(F.md5(F.col("text").cast("binary")))).join(near(found), F.col("k") == F.col("key"), "left").select("id", "text", "spans")
+    joined = rows.withColumn("k", F.unhex(F.md5(F.col("text").cast("binary")))).join(near(found), F.col("k") == F.col("key"), "left").select("id", "text", "spans", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,11 +461,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:4], batch.column(3), made[4]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("n_passage_words", T.LongType()), T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(run, schema)
 
 
@@ -400,3 +486,19 @@ def brute(texts: list[str | None], length: int = LENGTH) -> list[tuple]:
         kept = bytes(b for b, m in zip(raw, mark) if not m)
         out.append((len(raw), sum(mark), sum(1 for i, m in enumerate(mark) if m and not (i and mark[i - 1])), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def brute_passages(texts: list[str | None]) -> list[int]:
+    """n_passage_words of each text, from a table of all runs of words; for tests."""
+    words, seen = [ta.text_words(t) for t in texts], {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - WORDS + 1):
+            seen.setdefault(tuple(w[i : i + WORDS]), set()).add(k)
+    out = []
+    for w in words:
+        mark = bytearray(len(w))
+        for i in range(len(w) - WORDS + 1):
+            if len(seen[tuple(w[i : i + WORDS])]) > 1:
+                mark[i : i + WORDS] = b"\1" * WORDS
+        out.append(sum(mark))
+    return out
