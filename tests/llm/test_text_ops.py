@@ -50,13 +50,50 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
 
+def test_gains_are_those_of_plain_compression():
+    """Each window's gain against separate compressors of each window, and windows against a plain cut."""
+    import zstandard
+
+    rng = random.Random(8)
+    ordinary, toxic = prose(rng, 300).encode(), b" grobulous vexheaded snarfling grobulous "
+    for text in [*ODD, prose(rng, 200, ["grobulous", "snarfling"]).upper()]:
+        own = toxicity.windows(text)
+        raw = (text or "").lower().encode()
+        assert raw.startswith(own[0]) and raw.endswith(own[-1]) and all(len(w) <= toxicity.WINDOW and w in raw for w in own)
+        plain = []
+        for w in own:
+            sizes = []
+            for content in (ordinary, toxic + ordinary):
+                params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, dict_size=len(content), source_size=toxicity.WINDOW, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+                data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes.append(len(zstandard.ZstdCompressor(dict_data=data, compression_params=params).compress(w)))
+            plain.append(sizes[0] - sizes[1])
+        assert toxicity.gain_counter(ordinary, toxic)(text).tolist() == plain
+
+
+def test_pieces_that_gain_are_the_toxic_ones(labelled):
+    rows, _, _ = labelled
+    cut = [w for _, t, y in rows if not y for w in toxicity.windows(t)]
+    pieces = toxicity.telling_pieces([t.encode() for _, t, y in rows if y], b"".join(cut[:600]), cut[600:])
+    assert {b"grobulous", b"vexheaded", b"snarfling"} == {p for p, (n, times) in pieces.items() if n > 50 and times >= 30}
+
+
+def test_learning_takes_one_row_of_an_id_and_bounded_bytes(spark):
+    """Clashing columns, repeated rows of an id, null and long texts."""
+    docs = spark.createDataFrame([(i, t, "x", 1.0, True) for i in range(30) for t in ("b" * 100, "a" * 50, None)], "doc_id long, text string, label string, score double, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)] + [(None, 1, "y")], "doc_id long, toxic int, text string")
+    rows = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    assert len(rows) == sum(not held(i) for i in range(30)) and {t for t, _ in rows} == {"a" * 50}
+    assert len(toxicity.bounded(docs, "doc_id", "text", 220)) == 4
+    out = toxicity.scored(docs, toxicity.learn(rows))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 90
+
+
 def test_toxic_words_outlast_wrong_labels(labelled):
     """A few ordinary labels on texts with toxic words do not take these words out of the dictionary."""
     rows, _, _ = labelled
-    bad = [b"grobulous", b"vexheaded", b"snarfling"]
-    wrong = [(f"{' '.join(x.decode() for x in bad)} {prose(random.Random(k), 30)} {k}", 0) for k in range(3)]
-    words = toxicity.telling_words([t.encode() for _, t, y in rows if y], [t.encode() for _, t, y in rows if not y] + [t.encode() for t, _ in wrong], 20)
-    assert set(bad) <= words.keys()
+    bad = ["grobulous", "vexheaded", "snarfling"]
+    wrong = [(f"{' '.join(bad)} {prose(random.Random(k), 30)} {k}", 0) for k in range(3)]
     model = toxicity.learn([(t, y) for i, t, y in rows if not held(i)] + wrong)
     test = [(t, y) for i, t, y in rows if held(i)]
     found = model.scorer()([t for t, _ in test]) >= 0.7

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from unitweave.llm import textarrays as ta
-from unitweave.llm.toxicity import fold
+from unitweave.llm.toxicity import MAX_BYTES, bounded, fold
 
 MAX_TEXTS = 4000
 BITS, DIM, EPOCHS, RATE = 15, 12, 6, 0.5
@@ -163,8 +163,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     """Texts with a language of the learning folds, at most ``MAX_TEXTS``, the same ones on every run."""
     ids = docs.select(id_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (fold(id_col) != 1))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(MAX_TEXTS).distinct()
-    rows = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull()).join(F.broadcast(ids), id_col).collect()
-    return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or "", r[2]))]
+    rows = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull()).join(F.broadcast(ids), id_col)
+    return [(r[1], r[2]) for r in bounded(rows, id_col, text_col, MAX_BYTES)]
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,15 +1,21 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, one on ordinary text and one on what toxic text has and ordinary text hardly
-(words whose share of toxic texts is many times that of ordinary ones, each once per text). A text is cut into windows of
-48 bytes that begin at words and overlap by half. Each window is compressed with the ordinary dictionary alone and
-with the toxic one chained before it, so that windows without toxic content compress alike; the difference of the two
-lengths is the window's gain. How many windows gain so many bytes, in share and in number, is calibrated on labelled
-texts that no dictionary was trained on; of a few word lists and sizes of the toxic dictionary, the one that
-separates these best stays. A text is predicted toxic where the calibrated score reaches the threshold.
-
-Learning uses a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY``, chosen by a hash of the id);
-scoring covers all rows and whole texts.
+Two Zstandard dictionaries are trained, one on windows of ordinary text and one on those pieces of toxic windows that
+toxic text compresses better than ordinary text does. A text is cut into windows of 48 bytes that begin at words and
+overlap by half. A label tells that a text is toxic, not where; so the toxic training texts are dealt into folds, and
+each fold's windows are compressed twice: with the text of the other toxic folds as dictionary, and with as much
+ordinary text. A window gains where the first is shorter by more than nearly all held-out ordinary windows show; the
+pieces without which the gain is lost are what the toxic dictionary is trained on, unless windows of ordinary text gain
+by them nearly as often (``telling_pieces``).
+
+In scoring, each window is compressed with the ordinary dictionary alone and with the toxic one chained before it, so
+that windows without toxic content compress alike; the difference of the two lengths is the window's gain. How many
+windows gain so many bytes, in share and in number, is calibrated on labelled texts. Labelled texts are split by a hash
+of their text: one part trains dictionaries, one chooses among ``CANDIDATES``, and one, that nothing else has seen,
+calibrates. A text is predicted toxic where the calibrated score reaches the threshold.
+
+Learning uses a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY``, chosen by a hash of the id, one
+row of an id, and as many of them as have ``MAX_BYTES`` in all); scoring covers all rows and whole texts.
 
 Rows: null and empty texts are one empty window and get a score like any other; repeated documents are rows of their
 own; labels that are null are left out, of several labels of an id the largest holds. Without both classes among the
@@ -22,7 +28,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +37,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled texts of each class that are learned from at most.
-MAX_TOXIC, MAX_ORDINARY = 3000, 8000
-#: Of them, hundredths that calibrate instead of training dictionaries.
-CALIBRATE = 35
+from unitweave.llm.scratch import stored
+
+#: Labelled texts of each class that are learned from at most, and their bytes.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 8000, 96 << 20
+#: Of them, hundredths that choose among the candidates (two halves), and that calibrate; the others train dictionaries.
+CHOOSE, CALIBRATE = 20, 20
 WINDOW, STEP, LEVEL = 48, 24, 5
-ORDINARY_BYTES = 32768
-#: Windows of ordinary texts that its dictionary is trained on, about.
-ORDINARY_WINDOWS = 60_000
-#: (bytes of the toxic dictionary, bytes of a segment, least share of toxic texts that a word is in): the candidates.
-CANDIDATES = ((1000, 24, 0.01), (1500, 24, 0.004), (1500, 24, 0.01), (1500, 16, 0.01), (2000, 24, 0.01), (2500, 32, 0.01), (2500, 24, 0.004))
-#: How many times as large a word's share of toxic texts has to be as its share of ordinary ones (candidates, too), and
-#: the ordinary texts that are added to those with the word.
-RATIOS, SMOOTH = (20, 40), 1
-THRESHOLD = 0.7
+#: Bytes of the ordinary dictionary at most, and of its windows for each of them: it should hold what is frequent.
+ORDINARY_BYTES, ORDINARY_SHARE = 32768, 24
+#: Windows of ordinary texts that its dictionary is trained on, about, and of others that stand against toxic ones: to
+#: propose pieces, and to confirm them.
+ORDINARY_WINDOWS, AGAINST, CONFIRM = 60_000, 80_000, 250_000
+#: Parts of the toxic texts, each judged by the text of the others; bytes of that text; share of ordinary windows that
+#: do not gain; bytes that a piece gains; how many times as often a proposed piece makes toxic windows gain as ordinary.
+FOLDS, CLASS_BYTES, QUIET, PIECE_GAIN, PROPOSED = 4, 100_000, 0.9, 2, 3
+#: The candidates: (how many times as often a confirmed piece makes toxic windows gain as ordinary ones, its windows for
+#: each toxic text at least, bytes of the toxic dictionary for each byte of a piece).
+CANDIDATES = ((10, 0.004, 3), (25, 0.004, 3), (50, 0.004, 2), (50, 0.004, 3), (100, 0.004, 3))
+THRESHOLD, SEED = 0.7, 5
 _WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAINS = np.array([1, 2, 3, 4, 5, 6, 8])
 
@@ -124,7 +134,8 @@ def features(gains: np.ndarray) -> np.ndarray:
     return np.r_[counts / n, np.log1p(counts), gains.max() / 8, gains.mean(), np.log(n), np.sort(gains)[-3:].sum() / 16]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ridge = 2 / len(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -138,58 +149,110 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
     return mean, scale, w
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float) -> dict[bytes, int]:
-    """The words of at least two toxic texts whose share of toxic texts is ``ratio`` times that of ordinary ones, with
-    their number of toxic texts. ``SMOOTH`` texts are added to the ordinary ones that hold a word."""
-    texts_with, usual = Counter(), Counter()
+def _gaining(groups: tuple[list[bytes], list[bytes]], gain, quiet: float) -> list[Counter]:
+    """For each of the groups of windows, toxic and ordinary, how many lose their gain without each piece (a word of a
+    window). A window gains by more than the share ``quiet`` of ordinary ones."""
+    gains = [[gain(w) for w in group] for group in groups]
+    least = max(PIECE_GAIN, np.quantile(gains[1], quiet) + 1) if gains[1] else PIECE_GAIN
+    counts = [Counter(), Counter()]
+    for group, of, count in zip(groups, gains, counts):
+        for w, g in zip(group, of):
+            if g >= least:
+                count.update({m.group() for m in _WORD.finditer(w) if m.end() < len(w) and m.end() - m.start() >= 3 and g - gain(w[: m.start()] + w[m.end() :]) >= PIECE_GAIN})
+    return counts
+
+
+def telling_pieces(toxic: list[bytes], ordinary: bytes, cut: list[bytes]) -> dict[bytes, tuple[int, float]]:
+    """The pieces by which windows of the toxic texts gain: for each the toxic windows that lose their gain without it,
+    and how many times as often that is as in windows of ordinary texts (``cut``, that the dictionary ``ordinary`` was
+    not trained on). Pieces are proposed by folds of the toxic texts and confirmed by a dictionary of them all."""
+    parts: list[list[bytes]] = [[] for _ in range(FOLDS)]
     for t in toxic:
-        texts_with.update(set(_WORD.findall(t)))
-    texts_with = Counter({w: n for w, n in texts_with.items() if n > 1})
-    for t in ordinary:
-        usual.update(set(_WORD.findall(t)) & texts_with.keys())
-    return {w: n for w, n in texts_with.items() if n * len(ordinary) >= ratio * (usual[w] + SMOOTH) * len(toxic)}
+        parts[zlib.crc32(t) // 100 % FOLDS] += windows(t.decode("utf-8", "surrogatepass"))
+    every = [w for part in parts for w in part]
+    n = min(AGAINST, len(cut) // 2)
+    against, rest = cut[:n], cut[n:]
+    found = [Counter(), Counter()]
+    for k, own in enumerate(parts):
+        others = [w for i, part in enumerate(parts) if i != k for w in part]
+        text = b"".join(others[:: max(1, len(others) * WINDOW // CLASS_BYTES)])[:CLASS_BYTES]
+        with_toxic, with_more = _compressor(text + ordinary).compress, _compressor(b"".join(rest[: len(text)])[: len(text)] + ordinary).compress
+        for count, more in zip(found, _gaining((own, against[k::FOLDS]), lambda w: len(with_more(w)) - len(with_toxic(w)), QUIET)):  # noqa: B023
+            count.update(more)
+    proposed = sorted((p for p, n in found[0].items() if n > 1 and n * len(against) >= PROPOSED * (found[1][p] + 1) * len(every)), key=lambda p: (found[0][p], p))
+    plain, chained = _compressor(ordinary).compress, _compressor(b" ".join([b"", *proposed, b""])[-CLASS_BYTES:] + ordinary).compress
+    usual = rest[:CONFIRM]
+    known, common = _gaining((every, usual), lambda w: len(plain(w)) - len(chained(w)), 0.5)
+    return {p: (known[p], known[p] * max(1, len(usual)) / (common[p] + 1) / max(1, len(every))) for p in proposed if known[p]}
 
 
 def learn(rows: list[tuple[str, int]]) -> Model:
     """rows: (text, label), in an order that does not depend on the cluster."""
     labels = np.array([y for _, y in rows], np.float64)
     prior = float(labels.mean()) if len(rows) else 0.0
-    keep = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 100 >= CALIBRATE for t, _ in rows]
-    train = [list(dict.fromkeys((t or "").lower().encode("utf-8", "surrogatepass") for (t, y), k in zip(rows, keep) if k and y == label)) for label in (0, 1)]
-    rest = [(t, y) for (t, y), k in zip(rows, keep) if not k]
-    if not all(train) or len({y for _, y in rest}) < 2:
+    part = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 100 for t, _ in rows]
+    train = [list(dict.fromkeys((t or "").lower().encode("utf-8", "surrogatepass") for (t, y), k in zip(rows, part) if k >= CHOOSE + CALIBRATE and y == label)) for label in (0, 1)]
+    choose = [[r for r, k in zip(rows, part) if CHOOSE * h <= 2 * k < CHOOSE * (h + 1)] for h in (0, 1)]
+    rest = [r for r, k in zip(rows, part) if CHOOSE <= k < CHOOSE + CALIBRATE]
+    if not all(train) or any(len({y for _, y in x}) < 2 for x in (*choose, rest)):
         return Model(prior)
-    every, cut = max(1, sum(map(len, train[0])) // STEP // ORDINARY_WINDOWS), []
+    cut: list[bytes] = []
     for t in train[0]:
-        cut += windows(t.decode("utf-8", "surrogatepass"))[len(cut) % every :: every]
-    ordinary = _dictionary(cut, ORDINARY_BYTES, 16)
-    y = np.array([label for _, label in rest], np.float64)
-    best, model = -1.0, Model(prior)
-    words = [telling_words(train[1], train[0], ratio) for ratio in RATIOS]
-    for texts_with, (size, segment, share) in product(words, CANDIDATES):
+        cut += windows(t.decode("utf-8", "surrogatepass"))
+    cut = [cut[i] for i in np.random.default_rng(SEED).permutation(len(cut))]
+    n = min(ORDINARY_WINDOWS, len(cut) // 3)
+    ordinary = _dictionary(cut[:n], min(ORDINARY_BYTES, n * WINDOW // ORDINARY_SHARE), 16)
+    pieces = telling_pieces(train[1], ordinary, cut[n:])
+    plain = _compressor(ordinary).compress
+
+    def lengths(texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
+        return [(own := windows(t), np.array([len(plain(w)) for w in own])) for t in texts]
+
+    known = [lengths([t for t, _ in x]) for x in choose]
+    truth = [np.array([y for _, y in x], np.float64) for x in choose]
+    best, chosen = -np.inf, b""
+    for ratio, share, room in CANDIDATES:
         least = max(2, share * len(train[1]))
-        samples = [(b" " + w) * max(2, -(-20 // (len(w) + 1))) + b" " for t in train[1] for w in sorted(set(_WORD.findall(t)) & texts_with.keys()) if texts_with[w] >= least]
+        told = {p: n for p, (n, times) in sorted(pieces.items()) if n >= least and times >= ratio}
+        samples = [x for p, n in told.items() for x in [(b" " + p) * max(2, -(-20 // (len(p) + 1))) + b" "] * n]
         if not samples:
             continue
-        toxic = _dictionary(samples, size, segment)
-        gains = gain_counter(ordinary, toxic)
-        x = np.array([features(gains(t)) for t, _ in rest])
-        one = Model(prior, ordinary, toxic, *_logistic(x, y))
-        p = np.clip(one.calibrated(x), 1e-6, 1 - 1e-6)
-        fit = float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        if model.toxic == b"" or fit > best:
-            best, model = fit, one
-    return model
+        samples = [samples[i] for i in np.random.default_rng(SEED).permutation(len(samples))]  # the trainer looks at stretches
+        toxic = _dictionary(samples, 300 + room * sum(len(p) + 1 for p in told), 24)
+        chained = _compressor(toxic + ordinary).compress
+        x = [np.array([features(n - np.array([len(chained(w)) for w in own])) for own, n in k]) for k in known]
+        fitness = 0.0
+        for a in (0, 1):  # calibrated on one half, judged on the other
+            p = np.clip(Model(prior, ordinary, toxic, *_logistic(x[a], truth[a])).calibrated(x[1 - a]), 1e-6, 1 - 1e-6)
+            fitness += float((truth[1 - a] * np.log(p) + (1 - truth[1 - a]) * np.log(1 - p)).mean())
+        if fitness > best:
+            best, chosen = fitness, toxic
+    if not chosen:
+        return Model(prior)
+    gains = gain_counter(ordinary, chosen)
+    return Model(prior, ordinary, chosen, *_logistic(np.array([features(gains(t)) for t, _ in rest]), np.array([y for _, y in rest], np.float64)))
+
+
+def bounded(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> list:
+    """The rows, one of each id (that of the least text), by a hash of the id, as long as their texts have ``most`` bytes
+    in all. rows: of a bounded number of ids; repeated rows and long texts stay on the executors."""
+    more = [c for c in rows.columns if c not in (id_col, text_col)]
+    one = stored(rows.groupBy(id_col, *more).agg(F.min(text_col).alias(text_col)), "sample")
+    sizes = one.select(id_col, *more, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")).collect()
+    sizes.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[1:])))
+    total = np.cumsum([r[-1] for r in sizes])
+    last = int(np.searchsorted(total, most, "right"))
+    held = one if last >= len(sizes) else one.join(F.broadcast(one.sparkSession.createDataFrame([(r[0],) for r in sizes[:last]], one.select(id_col).schema)), id_col, "left_semi")
+    return sorted(held.select(id_col, text_col, *more).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[2:])))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
     """Labelled texts of the learning folds, at most the bounds of each class, the same ones on every run."""
     order = [F.xxhash64(id_col), F.col(id_col)]
-    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).groupBy(id_col).agg(F.max("label").alias("label"))
-    chosen = [known.where(F.col("label") == c).orderBy(*order).limit(n) for c, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).groupBy(id_col).agg(F.max("_label").alias("_label"))
+    chosen = [known.where(F.col("_label") == c).orderBy(*order).limit(n) for c, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
     ids = chosen[0].unionAll(chosen[1])  # at most the two bounds of rows
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).collect()
-    return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))]
+    return [(r[1], r[2]) for r in bounded(docs.select(id_col, text_col).join(F.broadcast(ids), id_col), id_col, text_col)]
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
