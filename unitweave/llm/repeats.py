@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from unitweave.llm import textarrays as ta
 from unitweave.llm.embeddings import _partitions
-from unitweave.llm.scratch import stored
+from unitweave.llm.scratch import release, stored
 
 LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
@@ -365,32 +365,40 @@ def _texts(docs: DataFrame) -> DataFrame:
     """A stored table of the different texts, with their anchors and copies."""
     found = stored(_anchored(docs), "anchors")
     firsts = [c for c in found.columns if c != "key"]
-    return stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in firsts)), "texts")
+    out = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in firsts)), "texts")
+    release(found)
+    return out
 
 
 def _bodies(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, text, at) of the texts of ``places`` (key, at)."""
+    """(key, text, at) of the texts of ``places`` (key, at, copies), each once."""
     near = F.broadcast if places.count() <= BROADCAST_TEXTS else lambda x: x
     bodies = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text")
-    return bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at")
+    rows = bodies.join(near(places), F.col("k") == F.col("key")).select("key", "text", "at", "copies")
+    again = rows.where("copies > 1").groupBy("key").agg(F.first("text").alias("text"), F.first("at").alias("at"))
+    return rows.where("copies = 1").select("key", "text", "at").unionAll(again)
 
 
 def _two_sided(texts: DataFrame, at: str, right: str, left: str, *more: str) -> DataFrame:
-    """(key, at, more, side, h): two rows for each anchor of the three lists."""
-    each = texts.where(F.size(at) > 0).select("key", F.explode(F.arrays_zip(at, right, left, *more)).alias("a"))
+    """(key, copies, at, more, side, h): two rows for each anchor of the three lists."""
+    each = texts.where(F.size(at) > 0).select("key", "copies", F.explode(F.arrays_zip(at, right, left, *more)).alias("a"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col(f"a.{right}").alias("h")), F.struct(F.lit(1).alias("side"), F.col(f"a.{left}").alias("h")))
-    return each.select("key", F.col(f"a.{at}").alias("at"), *(F.col(f"a.{c}").alias(c) for c in more), F.explode(sides).alias("s")).select("key", "at", *more, "s.*").where("h <> 0")
+    return each.select("key", "copies", F.col(f"a.{at}").alias("at"), *(F.col(f"a.{c}").alias(c) for c in more), F.explode(sides).alias("s")).select("key", "copies", "at", *more, "s.*").where("h <> 0")
+
+
+def _places(kept: DataFrame) -> DataFrame:
+    """A stored table (key, at, copies): each text's own anchors of (key, at, copies)."""
+    return stored(kept.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"), F.first("copies").alias("copies")), "places")
 
 
 def passages(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(p_key, n_passage_words): for each text the words that stand in a run of ``WORDS`` words that another document
-    has, too. Sides of anchors that two texts share lead to the runs' 64-bit hashes, and these are counted."""
-    text = F.xxhash64("key")
-    sides = _two_sided(texts, "w_at", "w_right", "w_left")
-    two = lambda x, *by: x.groupBy(*by).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").drop("a", "b")
+    """A stored table (p_key, n_passage_words): for each text the words that stand in a run of ``WORDS`` words that
+    another document has, too. Sides of anchors that two texts share lead to the runs' 64-bit hashes, and these are
+    counted by text (a 64-bit digest)."""
+    two = lambda x, *by: x.groupBy(*by).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").drop("a", "b")
+    sides = _two_sided(texts, "w_at", "w_right", "w_left").withColumn("t", F.xxhash64("key"))
     shared = stored(two(sides, F.col("side").alias("s2"), F.col("h").alias("h2")), "sides")
-    kept = sides.join(shared, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at").distinct()
-    places = stored(kept.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")  # a text's own anchors
+    places = _places(sides.join(shared, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at", "copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,17 +409,20 @@ def passages(texts: DataFrame, docs: DataFrame) -> DataFrame:
                 wanted = own.flatten().to_numpy() + np.repeat(first[:-1], pa.compute.list_value_length(own).to_numpy())
                 begin = begin[np.isin(at, wanted)]
                 of = np.searchsorted(first, begin, "right") - 1
-                keys = batch.column(0).slice(row, len(offsets) - 1).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([keys, pa.array((begin - first[of]).astype(np.int64)), pa.array(_hash(sums, begin, WORDS).view(np.int64))], ["key", "i", "h"])
-
-    runs = stored(_bodies(docs, places).mapInArrow(run, "key binary, i long, h long").distinct(), "word-runs")
-    shared = stored(two(runs, F.col("h").alias("h2")), "shared-runs")
-    hits = runs.join(shared, F.col("h") == F.col("h2"), "left_semi")
-    after = F.lead("i").over(Window.partitionBy("key").orderBy("i")) - F.col("i")  # a text's own runs
-    counts = hits.select("key", F.least(F.coalesce(after, F.lit(WORDS)), F.lit(WORDS)).alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1).take(pa.array(of)), pa.array((begin - first[of]).astype(np.int32)), pa.array(_hash(sums, begin, WORDS).view(np.int64))], ["t", "i", "h"])
+
+    bodies = _bodies(docs, places).select(F.xxhash64("key").alias("t"), "text", "at")
+    runs = stored(bodies.mapInArrow(run, "t long, i int, h long"), "word-runs")
+    again = stored(two(runs, F.col("h").alias("h2")), "shared-runs")
+    hits = runs.join(again, F.col("h") == F.col("h2"), "left_semi")
+    after = F.lead("i").over(Window.partitionBy("t").orderBy("i")) - F.col("i")  # a text's own runs
+    counts = hits.select("t", F.least(F.coalesce(after, F.lit(WORDS)), F.lit(WORDS)).alias("n")).groupBy("t").agg(F.sum("n").alias("n"))
     whole = (F.col("copies") > 1) & (F.col("n_words") >= WORDS)
-    found = texts.select("key", "copies", "n_words").join(counts, F.col("key") == F.col("k"), "left")
-    return stored(found.select(F.col("key").alias("p_key"), F.when(whole, F.col("n_words")).otherwise(F.col("n")).alias("n_passage_words")).where("n_passage_words > 0"), "passages")
+    found = texts.select("key", "copies", "n_words").join(counts, F.xxhash64("key") == F.col("t"), "left")
+    out = stored(found.select(F.col("key").alias("p_key"), F.when(whole, F.col("n_words")).otherwise(F.col("n")).alias("n_passage_words")).where("n_passage_words > 0"), "passages")
+    for x in (shared, places, runs, again):
+        release(x)
+    return out
 
 
 def spans(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -420,12 +431,12 @@ def spans(texts: DataFrame, docs: DataFrame) -> DataFrame:
     sides = _two_sided(texts, "at", "right", "left", "head")
     twice = sides.groupBy(F.col("side").alias("s2"), F.col("h").alias("h2")).count().where(F.col("count") > 1).drop("count")
     twice = stored(twice, "twice")  # a table of its own, so that the join can split a frequent hash
-    kept = sides.join(twice, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at", "head").distinct()
+    kept = sides.join(twice, (F.col("side") == F.col("s2")) & (F.col("h") == F.col("h2")), "left_semi").select("key", "at", "copies", "head").distinct()
     kept = stored(kept, "kept")
     n = kept.count()
     ranges = min(MAX_RANGES, max(1, n // RANGE))
     splitters = sorted(set(kept.agg(F.percentile_approx("head", F.array(*(F.lit((i + 1) / ranges) for i in range(ranges - 1))), 10_000).alias("q")).first().q or [])) if ranges > 1 else []
-    places = stored(kept.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")  # a text's own anchors
+    places = _places(kept)
     runs = stored(_runs(_bodies(docs, places), splitters, -(-n // (ranges * RANGE)) or 1), "runs", **{"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
     settled = runs.where("range = -1").select("key", "start", "end")
     whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
@@ -435,7 +446,10 @@ def spans(texts: DataFrame, docs: DataFrame) -> DataFrame:
         "spans", F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))),
     )
-    return stored(listed.select("key", join.alias("spans")), "spans")
+    out = stored(listed.select("key", join.alias("spans")), "spans")
+    for x in (twice, kept, places, runs):
+        release(x)
+    return out
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,8 +457,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     another document has; most such runs are under LENGTH bytes and stay) and kept (the text that is left, bytes)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = _texts(rows.select("text"))
-    found = spans(texts, rows.select("text")).join(passages(texts, rows.select("text")), F.col("key") == F.col("p_key"), "full")
-    found = stored(found.select(F.coalesce("key", "p_key").alias("key"), "spans", "n_passage_words"), "found")
+    words = passages(texts, rows.select("text"))
+    cut = spans(texts, rows.select("text"))
+    found = stored(cut.join(words, F.col("key") == F.col("p_key"), "full").select(F.coalesce("key", "p_key").alias("key"), "spans", "n_passage_words"), "found")
+    for x in (texts, words, cut):
+        release(x)
     near = F.broadcast if found.count() <= BROADCAST_TEXTS else lambda x: x
     joined = rows.withColumn("k", F.unhex(F.md5(F.col("text").cast("binary")))).join(near(found), F.col("k") == F.col("key"), "left").select("id", "text", "spans", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
 
