@@ -159,3 +159,16 @@ def prosody_targets(units: DataFrame, frames: DataFrame, energy: Column, lf0: Co
     joined = units.join(frames.withColumnRenamed("utt", "_u"), (F.col("utt") == F.col("_u")) & (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("end")))
     out = joined.groupBy("utt", "unit_ix").agg((F.max("end") - F.max("start")).alias("_n"), F.avg(energy).alias("energy"), F.avg(F.when(lf0 > 0, lf0)).alias("_lf0"))
     return out.select("utt", "unit_ix", (F.col("_n") * shift_sec * 1000).alias("duration_ms"), "energy", F.coalesce("_lf0", F.lit(V.UNVOICED)).alias("lf0"))
+
+
+def spliced(frames: DataFrame, utt: str, ix: str, vector: str, weights: Sequence[float]) -> DataFrame:
+    """``spliced``: the weighted vectors of the neighbours around each frame, in order; frames that miss one are left out."""
+    w, half = Window.partitionBy(utt).orderBy(ix), len(weights) // 2
+    near = [F.col(vector) if k == half else F.lag(vector, half - k).over(w) for k in range(len(weights))]
+    parts = [V.weighted(c, F.transform(c, lambda _: F.lit(g))) for c, g in zip(near, map(float, weights))]  # noqa: B023
+    return frames.withColumn("spliced", F.concat(*parts)).where(F.col("spliced").isNotNull())
+
+
+def unspliced(v: Column, parts: int, width: int) -> Column:
+    """The middle one of the spliced vectors."""
+    return V.stream_slice(v, parts // 2 * width, width)

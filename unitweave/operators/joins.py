@@ -83,6 +83,35 @@ def transitions_of(chosen: DataFrame, units: DataFrame) -> DataFrame:
     return out.select("from_id", F.col("unit_id").alias("to_id"), (F.col("unit_id") == F.col("from_id") + 1).alias("natural"))
 
 
+def binned_clipped(points: DataFrame, bins: DataFrame, key: str, at: str, end: str, values: Sequence[str]) -> DataFrame:
+    """Each point with the first bin of its key that ends at or after it; one beyond the last end gets the last bin."""
+    b = bins.select(F.col(key).alias("_k"), F.col(end).alias("_t"), F.struct(*values).alias("_m"), F.lit(1).alias("_side"), F.lit(None).cast(points.schema.simpleString()).alias("_row"))
+    p = points.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(b.schema["_m"].dataType).alias("_m"), F.lit(0).alias("_side"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_t", "_side")
+    both = b.unionByName(p).withColumns({"_n": F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_p": F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return both.where("_side = 0").select("_row.*", *(F.coalesce("_n", "_p")[v].alias(v) for v in values))
+
+
+def labels_at(marks: DataFrame, spans: DataFrame, shift: int) -> DataFrame:
+    """``marks`` (utt, pos in samples) with the label of the frame whose centre is nearest (the earlier of equal ones);
+    marks before the first and after the last centre get these frames' labels. spans (utt, start, end, label) count
+    frames of ``shift`` samples."""
+    last = spans.groupBy("utt").agg(F.max("end").alias("_n"))
+    frame = F.ceil((F.col("pos") - shift // 2) / F.lit(float(shift)) - 0.5)
+    rows = marks.join(last, "utt").withColumn("_f", F.least(F.greatest(frame, F.lit(0)), F.col("_n") - 1)).drop("_n")
+    return interval_joined(rows, spans.select("utt", F.col("start").cast("long").alias("start"), "label"), "utt", "_f", "start", ["label"]).drop("_f")
+
+
+def join_examples(units: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(from_id, to_id, ok): joins to learn from or to be judged. Good ones are neighbours in one utterance of the units
+    (unit_id, utt); others are all different pairs of candidates (utt, step, unit_id) of neighbouring steps that are not."""
+    good = successors(units, "unit_id", utt="utt").select("from_id", "to_id", F.lit(True).alias("ok"))
+    a = candidates.select("utt", "step", F.col("unit_id").alias("from_id"))
+    b = candidates.select("utt", (F.col("step") - 1).alias("step"), F.col("unit_id").alias("to_id"))
+    other = a.join(b, ["utt", "step"]).where("to_id <> from_id + 1").select("from_id", "to_id").distinct()
+    return good.unionByName(other.withColumn("ok", F.lit(False)))
+
+
 def cartesian(*arrays: Sequence) -> list[tuple]:
     """All combinations in lexicographic order."""
     out: list[tuple] = [()]

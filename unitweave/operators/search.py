@@ -262,3 +262,73 @@ def next_samples(units: DataFrame, frames: DataFrame, context: int) -> DataFrame
 def every_nth_unit(spark, n: int, size: int = 1) -> DataFrame:
     """(step, unit_id): contiguous units 0, size, 2 size, ... below n, a path to check assembly with."""
     return spark.range(0, n, size).select((F.col("id") / size).cast("long").alias("step"), F.col("id").alias("unit_id"))
+
+
+def transition_walks(units: DataFrame, starts: DataFrame, steps: int, seed: int = 1234) -> DataFrame:
+    """(walk, step, unit_id): uniform walks over the transition table of units (unit_id, phone, half) from starts (walk,
+    unit_id), all walks a step at a time. The transitions of a unit are the units of one phone and half, so that a draw
+    is a rank among them and a step an equi join; the table itself is not made. A walk ends where there is none."""
+    from pyspark.sql import Window
+
+    from unitweave.operators.joins import successors
+
+    ranked = units.withColumn("_r", F.row_number().over(Window.partitionBy("phone", "half").orderBy("unit_id")) - 1)
+    sizes = units.groupBy("phone", "half").agg(F.count(F.lit(1)).alias("_n"))
+    nxt = successors(units, "unit_id", "phone").select(F.col("from_id").alias("unit_id"), "to_phone")
+    wanted = units.join(nxt, "unit_id", "left").select("unit_id", F.when(F.col("half") == "L", F.col("phone")).otherwise(F.col("to_phone")).alias("phone"), F.when(F.col("half") == "L", F.lit("R")).otherwise(F.lit("L")).alias("half")).join(sizes, ["phone", "half"])
+    now = starts.select("walk", F.lit(0).alias("step"), "unit_id")
+    out = now
+    for k in range(1, steps + 1):
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("walk").cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("long")
+        here = now.select("walk", "unit_id").join(wanted, "unit_id").select("walk", "phone", "half", (draw % F.col("_n")).alias("_r"))
+        now = here.join(ranked, ["phone", "half", "_r"]).select("walk", F.lit(k).alias("step"), "unit_id")
+        out = out.unionByName(now)
+    return out
+
+
+def _runs_of(codes: DataFrame, doc: str | None, size: int, least: int = 1) -> DataFrame:
+    """(doc, ix, n, gram) of all runs of ``least`` to ``size`` codes of (doc, ix, code), by joins on the next places."""
+    from functools import reduce
+
+    keys = [doc] if doc else []
+    base = codes.select(*keys, "ix", F.col("code").cast("string").alias("code"))
+    run, out = base.withColumnRenamed("code", "gram"), []
+    for n in range(1, size + 1):
+        if n > 1:
+            run = run.join(base.select(*keys, (F.col("ix") - (n - 1)).alias("ix"), "code"), [*keys, "ix"]).select(*keys, "ix", F.concat_ws(" ", "gram", "code").alias("gram"))
+        if n >= least:
+            out.append(run.select(*keys, "ix", F.lit(n).alias("n"), "gram"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def tile_paths(paths: DataFrame, corpus: DataFrame, longest: int) -> DataFrame:
+    """(utt, ix, n, at): tiles that cover each path (utt, ix, code) from the left, each the longest run of up to
+    ``longest`` codes that the corpus (ix, code) has, at its first place; -1 and one code where it has none. Runs meet
+    their places by an equi join; what is left to an utterance's group is a row for each of its places."""
+    index = _runs_of(corpus, None, longest).groupBy("n", "gram").agg(F.min("ix").alias("at"))
+    found = _runs_of(paths, "utt", longest).join(index, ["n", "gram"]).groupBy("utt", "ix").agg(F.max(F.struct("n", "at")).alias("m"))
+    rows = paths.select("utt", F.col("ix").cast("long").alias("ix")).join(found, ["utt", "ix"], "left").select("utt", "ix", F.coalesce("m.n", F.lit(1)).alias("n"), F.coalesce("m.at", F.lit(-1)).cast("long").alias("at"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ix")
+        kept, free = [], -1
+        for k, (ix, n) in enumerate(zip(pdf.ix, pdf.n)):
+            if ix >= free:
+                kept.append(k)
+                free = ix + n
+        return pdf.iloc[kept]
+
+    return rows.groupBy("utt").applyInPandas(run, rows.schema)
+
+
+def chunk_tiles(paths: DataFrame, corpus: DataFrame, size: int, resolutions: list) -> DataFrame:
+    """(utt, chunk, level, position): whole chunks of ``size`` codes of each path by the finest of the resolutions
+    (expressions of code) in which the corpus has them, at the first place. A chunk that none has is left out."""
+    places, wanted = [], []
+    for level, code in enumerate(resolutions):
+        places.append(_runs_of(corpus.select("ix", code.alias("code")), None, size, size).groupBy("gram").agg(F.min("ix").alias("position")).withColumn("level", F.lit(level)))
+        wanted.append(_runs_of(paths.select("utt", "ix", code.alias("code")), "utt", size, size).where(F.col("ix") % size == 0).select("utt", (F.col("ix") / size).cast("long").alias("chunk"), "gram", F.lit(level).alias("level")))
+    from functools import reduce
+
+    met = reduce(DataFrame.unionByName, wanted).join(reduce(DataFrame.unionByName, places), ["level", "gram"])
+    return met.groupBy("utt", "chunk").agg(F.min(F.struct("level", "position")).alias("m")).select("utt", "chunk", "m.level", "m.position")

@@ -42,8 +42,8 @@ def common_names(frames: list[DataFrame], name: str) -> DataFrame:
 
 
 def hash_order(*columns: str, seed: int = 1234) -> Column:
-    """A repeatable random order."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A repeatable random order, the same in any engine: the md5 digest of the seed and the columns as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
 
 
 def sample_rows(df: DataFrame, n: int, *columns: str, seed: int = 1234) -> DataFrame:
@@ -67,14 +67,17 @@ def evenly_spaced(df: DataFrame, n: int, order: str, key: str) -> DataFrame:
 
 
 def ranked_globally(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """A dense 0-based rank over the whole table: rows are range-partitioned and sorted, and each partition adds the
-    rows of those before it."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each partition
-    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.col("_before")).drop("_p", "_i", "_first", "_before")
+    """A dense 0-based rank over the whole table by ``order``, whose first column is a number, date or time. Quantiles of
+    that column cut the rows into ranges; rows are ranked within a range, and add the rows of the ranges before it. The
+    range follows from a row alone, so that a stage that runs again ranks alike; rows of equal first values share one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order[0], [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
+    place = sum((F.coalesce(F.col(order[0]) > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    placed = df.withColumn("_p", place)
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return placed.withColumn("_i", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def holdout(df: DataFrame, unit_id: str, percent: float) -> tuple[DataFrame, DataFrame]:
@@ -82,3 +85,9 @@ def holdout(df: DataFrame, unit_id: str, percent: float) -> tuple[DataFrame, Dat
     n = df.count()
     limit = n - int(n * percent / 100)
     return df.where(F.col(unit_id) < limit), df.where(F.col(unit_id) >= limit)
+
+
+def fragment_starts(spark, size: int, length: int, n: int, seed: int = 1234) -> DataFrame:
+    """(start): n starts of different fragments of ``length`` of ``size`` rows, in a repeatable random order."""
+    starts = spark.range(0, max(0, size - length), length).select(F.col("id").alias("start"))
+    return sample_rows(starts, n, "start", seed=seed)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from unitweave.functions.vectors import UNVOICED
+from unitweave.functions.vectors import literal as V_literal
 
 
 def _track(utt: str, order: str):
@@ -214,5 +215,36 @@ def run_text(df: DataFrame, utt: str, ix: str, value: str) -> DataFrame:
     return each.groupBy(utt).agg(F.array_join(F.transform(listed, lambda x: x["t"]), " ").alias("text"))  # an utterance's runs
 
 
+def voiced_interpolated(df: DataFrame, utt: str, ix: str, value: str, voiced: Column, name: str = "interpolated") -> DataFrame:
+    """Values of unvoiced rows read on the line between the voiced ones beside them, held at both ends; an utterance
+    without a voiced row is 0."""
+    w = _track(utt, ix)
+    rows = df.withColumn("_v", F.when(voiced, F.struct(F.col(ix).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
+    rows = rows.withColumn("_p", F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_v", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    p, n = F.col("_p"), F.col("_n")
+    between = p["y"] + F.try_divide(n["y"] - p["y"], n["x"] - p["x"]) * (F.col(ix) - p["x"])
+    got = F.when(F.col("_v").isNotNull(), F.col("_v")["y"]).when(p.isNull(), F.coalesce(n["y"], F.lit(0.0))).when(n.isNull(), p["y"]).otherwise(between)
+    return rows.withColumn(name, got).drop("_v", "_p", "_n")
+
+
+def unvoiced_zeroed(value: Column, voiced: Column) -> Column:
+    return F.when(voiced, value).otherwise(F.lit(0.0))
+
+
+def reflected_smoothed(df: DataFrame, utt: str, ix: str, value: str, weights: Sequence[float], name: str = "smooth") -> DataFrame:
+    """(utt, at, smooth): the weighted mean of as many values as there are weights, also where it only partly overlaps the
+    series, whose ends are reflected (the first value stands once, the last one twice): longer than the series by one
+    less than the weights. Shorter utterances than these are left out. Sums of partial products, no window over them."""
+    size = len(weights)
+    rows = indexed(df.select(utt, ix, F.col(value).cast("double").alias("_x")), utt, ix, name="_i").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(utt))).where(F.col("_n") >= size)
+    i, n = F.col("_i"), F.col("_n")
+    copies = F.array(i, F.when((i > 0) & (i < size), -i), F.when(i >= n - size + 1, 2 * n - 1 - i))
+    rows = rows.select(utt, "_n", "_x", F.explode(F.filter(copies, lambda p: p.isNotNull())).alias("_p"))
+    each = rows.select(utt, "_n", F.posexplode(F.transform(V_literal(weights), lambda w: w * F.col("_x"))).alias("_j", "_y"), "_p")
+    at = F.col("_p") + (size - 1) - F.col("_j")
+    sums = each.select(utt, "_n", at.alias("at"), "_y").where((F.col("at") >= 0) & (F.col("at") < F.col("_n") + size - 1)).groupBy(utt, "at").agg(F.sum("_y").alias("_s"))
+    return sums.select(utt, "at", (F.col("_s") / float(sum(weights))).alias(name))
+
+
 #: Named predicates on a value, instead of evaluated text.
 PREDICATES = {"voiced": lambda x: x > 0, "unvoiced": lambda x: x <= 0, "sentinel": lambda x: x == UNVOICED}

@@ -134,18 +134,6 @@ def common_utts(spark, d):
     return select.common_names([e.where(F.col("event_type") == t).select("user_id") for t in types], "user_id")
 
 
-@_query()
-def hash_sample(spark, d):
-    """A repeatable sample of 50 rows: the sampling operator's own limit. The order is Spark's hash, so no SQL."""
-    return select.sample_rows(_t(spark, d, "events").select("event_id", "event_type"), 50, "event_id")
-
-
-@_query()
-def class_sample(spark, d):
-    """A repeatable sample of 20 rows of each class: the sampling operator's own limit."""
-    return select.sample_classes(_t(spark, d, "events").select("event_id", "event_type"), "event_type", 20, "event_id")
-
-
 @_query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS rank FROM orders), n AS (SELECT greatest(1, count(*) // 100) AS step FROM orders) SELECT o_orderkey FROM r, n WHERE rank % step = 0")
 def evenly_spaced(spark, d):
     return select.evenly_spaced(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", "o_orderkey").select("o_orderkey")
