@@ -93,10 +93,23 @@ def _decided(rows: DataFrame, sizes: DataFrame, source_kind: T.DataType, share:
     joined = rows.join(few(every), rows["source"].eqNullSafe(F.col("s"))).drop("s")
     on_edge = F.coalesce(bucket == F.col("edge"), F.lit(False))
     easy = joined.where(~on_edge).withColumn("part", F.when(bucket <= F.col("last"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    ordered = Window.partitionBy("source", bucket).orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("size").over(ordered), F.lit(0)) + F.col("before")
-    hard = joined.where(on_edge).withColumn("part", F.least(F.greatest(F.col("budget") - earlier, F.lit(0)), F.col("size")).cast("long"))
-    return easy.unionByName(hard).drop("edge", "before", "last", "budget")
+    # On the edge, ids and sizes alone are put in order to find the row that the budget ends in; only rows equal to it
+    # (repeated rows) are counted.
+    narrow = sizes.join(few(every.where("edge IS NOT NULL")), sizes["source"].eqNullSafe(F.col("s"))).where(on_edge)
+    ordered = Window.partitionBy("s").orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = narrow.withColumn("earlier", F.coalesce(F.sum("size").over(ordered), F.lit(0)) + F.col("before"))
+    ends_here = (F.col("earlier") < F.col("budget")) & (F.col("earlier") + F.col("size") >= F.col("budget"))
+    same = lambda x, y: x["place"].eqNullSafe(y["place"]) & x["doc"].eqNullSafe(y["doc"]) & (x["size"] == y["size"])
+    own = F.struct("place", "doc", "size")
+    cut = narrow.groupBy("s").agg(F.min(F.when(ends_here, own)).alias("stop"))
+    at = narrow.join(few(cut.withColumnRenamed("s", "c")), F.col("s").eqNullSafe(F.col("c"))).where(same(own, F.col("stop"))).groupBy("s").agg(F.first("stop").alias("stop"), F.min("earlier").alias("until")).withColumnRenamed("s", "a")
+    hard = joined.where(on_edge).join(few(at), F.col("source").eqNullSafe(F.col("a")), "left").drop("a")
+    equal, stop = same(own, F.col("stop")), F.col("stop")
+    sooner = (F.col("place") < stop["place"]) | ((F.col("place") == stop["place"]) & (F.coalesce(F.col("doc") < stop["doc"], F.col("doc").isNull() & stop["doc"].isNotNull()) | (F.col("doc").eqNullSafe(stop["doc"]) & (F.col("size") < stop["size"]))))
+    nth = F.row_number().over(Window.partitionBy("source", "place", "doc", "size").orderBy(F.lit(0))) - 1
+    tied = hard.where(equal).withColumn("part", F.least(F.greatest(F.col("budget") - F.col("until") - nth * F.col("size"), F.lit(0)), F.col("size")).cast("long"))
+    apart = hard.where(~equal).withColumn("part", F.when(sooner, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    return easy.unionByName(tied.drop("stop", "until")).unionByName(apart.drop("stop", "until")).drop("edge", "before", "last", "budget")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:

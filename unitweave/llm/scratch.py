@@ -1,7 +1,7 @@
 """Shared scratch tables: lineage cuts that survive a lost executor.
 
 Everything is written below the folder that the session names in ``spark.checkpoint.dir``; only where that is
-unset (tests, a laptop) a local folder is made and set. Tables are deleted when the driver's interpreter ends.
+unset and the master is local (tests, a laptop) a local folder is made and set; on a cluster that is an error. Tables are deleted when the driver's interpreter ends.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir`` (set to a local one only where it is unset)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="unitweave-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
