@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from unitweave.llm.scratch import stored
 
 #: Labelled texts of each class that are learned from at most, and their bytes.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 8000, 96 << 20
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 8000, 32 << 20
 #: Of them, hundredths that choose among the candidates (two halves), and that calibrate; the others train dictionaries.
 CHOOSE, CALIBRATE = 20, 20
 WINDOW, STEP, LEVEL = 48, 24, 5
@@ -48,7 +48,7 @@ WINDOW, STEP, LEVEL = 48, 24, 5
 ORDINARY_BYTES, ORDINARY_SHARE = 32768, 24
 #: Windows of ordinary texts that its dictionary is trained on, about, and of others that stand against toxic ones: to
 #: propose pieces, and to confirm them.
-ORDINARY_WINDOWS, AGAINST, CONFIRM = 60_000, 80_000, 250_000
+ORDINARY_WINDOWS, AGAINST, CONFIRM = 60_000, 80_000, 150_000
 #: Parts of the toxic texts, each judged by the text of the others; bytes of that text; share of ordinary windows that
 #: do not gain; bytes that a piece gains; how many times as often a proposed piece makes toxic windows gain as ordinary.
 FOLDS, CLASS_BYTES, QUIET, PIECE_GAIN, PROPOSED = 4, 100_000, 0.9, 2, 3
@@ -171,17 +171,17 @@ def telling_pieces(toxic: list[bytes], ordinary: bytes, cut: list[bytes]) -> dic
         parts[zlib.crc32(t) // 100 % FOLDS] += windows(t.decode("utf-8", "surrogatepass"))
     every = [w for part in parts for w in part]
     n = min(AGAINST, len(cut) // 2)
-    against, rest = cut[:n], cut[n:]
+    against, rest = cut[:n], cut[n : n + CONFIRM]
     found = [Counter(), Counter()]
     for k, own in enumerate(parts):
-        others = [w for i, part in enumerate(parts) if i != k for w in part]
-        text = b"".join(others[:: max(1, len(others) * WINDOW // CLASS_BYTES)])[:CLASS_BYTES]
+        step = max(1, (len(every) - len(own)) * WINDOW // CLASS_BYTES)
+        text = b"".join(w for i, part in enumerate(parts) if i != k for w in part[::step])[:CLASS_BYTES]
         with_toxic, with_more = _compressor(text + ordinary).compress, _compressor(b"".join(rest[: len(text)])[: len(text)] + ordinary).compress
         for count, more in zip(found, _gaining((own, against[k::FOLDS]), lambda w: len(with_more(w)) - len(with_toxic(w)), QUIET)):  # noqa: B023
             count.update(more)
     proposed = sorted((p for p, n in found[0].items() if n > 1 and n * len(against) >= PROPOSED * (found[1][p] + 1) * len(every)), key=lambda p: (found[0][p], p))
     plain, chained = _compressor(ordinary).compress, _compressor(b" ".join([b"", *proposed, b""])[-CLASS_BYTES:] + ordinary).compress
-    usual = rest[:CONFIRM]
+    usual = rest
     known, common = _gaining((every, usual), lambda w: len(plain(w)) - len(chained(w)), 0.5)
     return {p: (known[p], known[p] * max(1, len(usual)) / (common[p] + 1) / max(1, len(every))) for p in proposed if known[p]}
 
@@ -196,19 +196,22 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     rest = [r for r, k in zip(rows, part) if CHOOSE <= k < CHOOSE + CALIBRATE]
     if not all(train) or any(len({y for _, y in x}) < 2 for x in (*choose, rest)):
         return Model(prior)
+    every = max(1, sum(map(len, train[0])) // STEP // (ORDINARY_WINDOWS + AGAINST + CONFIRM))  # of windows one is taken
     cut: list[bytes] = []
     for t in train[0]:
-        cut += windows(t.decode("utf-8", "surrogatepass"))
-    cut = [cut[i] for i in np.random.default_rng(SEED).permutation(len(cut))]
+        cut += windows(t.decode("utf-8", "surrogatepass"))[len(cut) % every :: every]
+    np.random.default_rng(SEED).shuffle(cut)
     n = min(ORDINARY_WINDOWS, len(cut) // 3)
     ordinary = _dictionary(cut[:n], min(ORDINARY_BYTES, n * WINDOW // ORDINARY_SHARE), 16)
-    pieces = telling_pieces(train[1], ordinary, cut[n:])
+    del cut[:n]
+    pieces = telling_pieces(train[1], ordinary, cut)
+    del cut[:]
     plain = _compressor(ordinary).compress
 
-    def lengths(texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
-        return [(own := windows(t), np.array([len(plain(w)) for w in own])) for t in texts]
+    def lengths(compress, text: str) -> np.ndarray:
+        return np.array([len(compress(w)) for w in windows(text)], np.int16)
 
-    known = [lengths([t for t, _ in x]) for x in choose]
+    known = [[lengths(plain, t) for t, _ in x] for x in choose]
     truth = [np.array([y for _, y in x], np.float64) for x in choose]
     best, chosen = -np.inf, b""
     for ratio, share, room in CANDIDATES:
@@ -220,7 +223,7 @@ def learn(rows: list[tuple[str, int]]) -> Model:
         samples = [samples[i] for i in np.random.default_rng(SEED).permutation(len(samples))]  # the trainer looks at stretches
         toxic = _dictionary(samples, 300 + room * sum(len(p) + 1 for p in told), 24)
         chained = _compressor(toxic + ordinary).compress
-        x = [np.array([features(n - np.array([len(chained(w)) for w in own])) for own, n in k]) for k in known]
+        x = [np.array([features(n - lengths(chained, t)) for n, (t, _) in zip(k, part)]) for k, part in zip(known, choose)]
         fitness = 0.0
         for a in (0, 1):  # calibrated on one half, judged on the other
             p = np.clip(Model(prior, ordinary, toxic, *_logistic(x[a], truth[a])).calibrated(x[1 - a]), 1e-6, 1 - 1e-6)
