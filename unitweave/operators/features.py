@@ -97,8 +97,12 @@ def unit_windows(units: DataFrame, utt: str, ix: str, vector: str, size: int, tu
 
 def join_contexts(units: DataFrame, ix: str, vector: str, utt: str | None = None, shift: int = 1) -> DataFrame:
     """``start`` (the vector before; the first one's own) and ``end`` (its own, or that of the last frame of a longer
-    unit). utt None runs over the whole table in one order, as the older layout with shared rows does."""
-    w = (Window.partitionBy(utt) if utt else Window.partitionBy(F.lit(0))).orderBy(ix)
+    unit). utt None runs over the whole table, as the older layout with shared rows does: by equi joins on the dense ids."""
+    if utt is None:
+        near = lambda step, name: units.select((F.col(ix) + step).alias(ix), F.col(vector).alias(name))
+        out = units.join(near(1, "start"), ix, "left").withColumn("start", F.coalesce("start", vector))
+        return out.withColumn("end", F.col(vector)) if shift == 1 else out.join(near(1 - shift, "end"), ix, "left")
+    w = Window.partitionBy(utt).orderBy(ix)
     end = F.col(vector) if shift == 1 else F.lead(vector, shift - 1).over(w)
     return units.withColumns({"start": F.coalesce(F.lag(vector).over(w), F.col(vector)), "end": end})
 

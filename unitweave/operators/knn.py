@@ -8,6 +8,7 @@ aggregation for each query. Within a class (``by``) only its own blocks meet.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +74,12 @@ def k_nearest(queries: DataFrame, units: DataFrame, k: int, by: str | None = Non
 
     schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("u", T.LongType()), T.StructField("dist2", T.DoubleType())])
     part = _meet(queries, units, by, work, schema)
-    # k rows for each query and block of units: the k least of them, in order.
-    best = part.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist2", "u"))), 1, k).alias("x"))
+    # k rows for each query and block of units: the k least of them, in two steps, so that no list of a query has more
+    # than k rows for about the root of the number of blocks.
+    two = max(1, math.isqrt(_blocks(units)))
+    least = lambda x, *by: x.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist2", "u"))), 1, k).alias("x"))
+    some = least(part.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(two))), "q", "_g").select("q", F.explode("x").alias("x")).select("q", "x.*")
+    best = least(some if two > 1 else part, "q")
     return best.select("q", F.posexplode("x").alias("i", "x")).select("q", (F.col("i") + 1).alias("rank"), F.col("x.u").alias("u"), F.col("x.dist2").alias("dist2"))
 
 

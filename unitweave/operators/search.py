@@ -24,6 +24,13 @@ BROADCAST_BYTES = 256 << 20
 TOGETHER = 2000
 
 
+def _fits(units: DataFrame, *vectors: str) -> None:
+    """Raises, before anything is collected, where the vectors of a unit table are too large for the driver."""
+    size = units.agg(*(F.sum(F.size(v)).alias(v) for v in vectors)).first()
+    if 8 * sum(x or 0 for x in size) > BROADCAST_BYTES:
+        raise ValueError(f"the unit table is larger than {BROADCAST_BYTES} bytes")
+
+
 def _arrays(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     pdf = units.select("unit_id", F.col("prev").cast("array<double>").alias("prev"), F.col("target").cast("array<double>").alias("target"), F.col("cur").cast("array<double>").alias("cur")).toPandas().sort_values("unit_id")
     grid = lambda c: np.stack(pdf[c].to_numpy()).astype(float)
@@ -220,9 +227,8 @@ def nearest_by_level(targets: DataFrame, codes: list[DataFrame], key: str) -> Da
 def random_walk(units: DataFrame, start: int, steps: int, k: int = 10, seed: int = 1234, span: int = 5) -> list[int]:
     """Unit ids of a walk: from a unit to the one after a neighbour of it, chosen by a seeded draw among the k nearest
     that are not within ``span`` before it. Sequential; the unit table has to fit the driver (``BROADCAST_BYTES``)."""
+    _fits(units, "prev", "target", "cur")
     ids, _, target, _ = _arrays(units)
-    if target.nbytes * 3 > BROADCAST_BYTES:
-        raise ValueError("the unit table is too large for a walk on the driver")
     rng, at, out = np.random.default_rng(seed), start, []
     place = {int(u): i for i, u in enumerate(ids)}
     for _ in range(steps):
@@ -237,21 +243,23 @@ def random_walk(units: DataFrame, start: int, steps: int, k: int = 10, seed: int
     return out
 
 
-def next_samples(units: DataFrame, frames: DataFrame, context: int) -> DataFrame:
+def next_samples(units: DataFrame, frames: DataFrame, context: int, k: int = 1, seed: int = 1234) -> DataFrame:
     """(utt, step, unit_id, sample): autoregressive sample selection. The nearest unit to (the last ``context``
-    samples, the frame) gives the next sample; units (unit_id, context, target, sample), frames (utt, step, target)."""
+    samples, the frame) gives the next sample, or one of the ``k`` nearest by a seeded draw; units (unit_id, context,
+    target, sample), frames (utt, step, target). The unit table goes to every task, up to ``BROADCAST_BYTES``."""
+    _fits(units, "context", "target")
     pdf = units.select("unit_id", F.col("context").cast("array<double>").alias("context"), F.col("target").cast("array<double>").alias("target"), F.col("sample").cast("double").alias("sample")).toPandas().sort_values("unit_id")
     grid = np.hstack([np.stack(pdf.context.to_numpy()), np.stack(pdf.target.to_numpy())])
-    if grid.nbytes > BROADCAST_BYTES:
-        raise ValueError("the unit table is too large to go to every task")
     held = frames.sparkSession.sparkContext.broadcast((pdf.unit_id.to_numpy(), grid, pdf["sample"].to_numpy()))
     schema = T.StructType([T.StructField("utt", frames.schema["utt"].dataType), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("sample", T.DoubleType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, grid, sample = held.value
         last, out = np.zeros(context), []
+        rng = np.random.default_rng([seed, *str(rows.utt.iloc[0]).encode()])
         for row in rows.sort_values("step").itertuples():
-            i = int(((grid - np.r_[last, np.asarray(row.target, float)]) ** 2).sum(1).argmin())
+            d = ((grid - np.r_[last, np.asarray(row.target, float)]) ** 2).sum(1)
+            i = int(d.argmin()) if k == 1 else int(np.lexsort((ids, d))[:k][rng.integers(min(k, len(d)))])
             out.append((row.utt, row.step, ids[i], sample[i]))
             last = np.r_[last[1:], sample[i]]
         return pd.DataFrame(out, columns=schema.names)

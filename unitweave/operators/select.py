@@ -41,6 +41,13 @@ def common_names(frames: list[DataFrame], name: str) -> DataFrame:
     return every.groupBy(name).agg(F.count_distinct("_in").alias("_n")).where(F.col("_n") == len(frames)).select(name)
 
 
+def common_to_all(df: DataFrame, name: str, group: str) -> DataFrame:
+    """Names that occur in every group of one table: one pass for the groups' number, one aggregation for the names."""
+    n = df.agg(F.count_distinct(group).alias("_n"))
+    own = df.groupBy(name).agg(F.count_distinct(group).alias("_own"))
+    return own.crossJoin(F.broadcast(n)).where("_own = _n").select(name)  # one row on the right
+
+
 def hash_order(*columns: str, seed: int = 1234) -> Column:
     """A repeatable random order, the same in any engine: the md5 digest of the seed and the columns as text."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))

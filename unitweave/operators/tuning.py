@@ -14,21 +14,28 @@ from pyspark.sql import functions as F
 FIRST_STEP, FASTER, SLOWER, STEPS, FLOOR, PATIENCE, MAX_EPOCHS, STOP = 0.1, 1.2, 0.5, (1e-6, 50.0), 0.0, 5, 1000, 0.001
 
 
-def balance(costs: Callable[[np.ndarray], np.ndarray], weights: Sequence[float], max_epochs: int = MAX_EPOCHS) -> tuple[np.ndarray, list[float]]:
-    """Weights under which the streams contribute alike, and the losses on the way. ``costs`` runs a search with some
-    weights and returns the mean cost of each stream. Steps follow the sign of a stream's distance from its goal only:
-    longer while the sign stays, shorter when it turns."""
+def balance(costs: Callable[[np.ndarray], np.ndarray], weights: Sequence[float], groups: Sequence[str] | None = None, max_epochs: int = MAX_EPOCHS) -> tuple[np.ndarray, list[float]]:
+    """Weights under which the groups of streams (join and target streams, say; None: one group) contribute alike, and the
+    streams within a group, and the losses on the way. ``costs`` runs a search with some weights and returns the mean cost
+    of each stream. Goals are fixed after the first pass: all cost, dealt out evenly to groups and then to their streams.
+    Steps follow the sign of a stream's distance from its goal only: longer while the sign stays, shorter when it turns.
+    It ends where the loss is nearly 0 or has not fallen below the one before for some passes in a row."""
     w, step, last = np.array(weights, float), np.full(len(weights), FIRST_STEP), np.zeros(len(weights))
-    best, losses, kept, stale = w.copy(), [], np.inf, 0
+    names = np.array(groups if groups is not None else [""] * len(weights))
+    share = np.array([1 / len(set(names)) / (names == n).sum() for n in names])
+    best, losses, kept, before, stale, goals = w.copy(), [], np.inf, np.inf, 0, None
     for _ in range(max_epochs):
         own = np.asarray(costs(w), float)
-        share = own / own.sum() if own.sum() else np.full(len(own), 1 / len(own))
-        error = share - 1 / len(own)
+        goals = own.sum() * share if goals is None else goals
+        error = own - goals
         loss = float(np.abs(error).sum())
         losses.append(loss)
-        best, kept, stale = (w.copy(), loss, 0) if loss < kept else (best, kept, stale + 1)
+        stale = 0 if loss < before else stale + 1
+        if loss < kept:
+            best, kept = w.copy(), loss
         if loss < STOP or stale >= PATIENCE:
             break
+        before = loss
         sign = np.sign(error)
         step = np.clip(np.where(sign * last > 0, step * FASTER, np.where(sign * last < 0, step * SLOWER, step)), *STEPS)
         w, last = np.maximum(w - sign * step, FLOOR), sign

@@ -129,9 +129,7 @@ def test_set(spark, d):
 
 @_query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def common_utts(spark, d):
-    e = _t(spark, d, "events")
-    types = sorted(r.event_type for r in e.select("event_type").distinct().collect())
-    return select.common_names([e.where(F.col("event_type") == t).select("user_id") for t in types], "user_id")
+    return select.common_to_all(_t(spark, d, "events"), "user_id", "event_type")
 
 
 @_query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS rank FROM orders), n AS (SELECT greatest(1, count(*) // 100) AS step FROM orders) SELECT o_orderkey FROM r, n WHERE rank % step = 0")
