@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
@@ -74,17 +75,20 @@ def evenly_spaced(df: DataFrame, n: int, order: str, key: str) -> DataFrame:
 
 
 def ranked_globally(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """A dense 0-based rank over the whole table by ``order``, whose first column is a number, date or time. Quantiles of
+    """A dense 0-based rank over the whole table by ``order``, whose first column is a number, date, time or text. Quantiles of
     that column cut the rows into ranges; rows are ranked within a range, and add the rows of the ranges before it. The
     range follows from a row alone, so that a stage that runs again ranks alike; rows of equal first values share one."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order[0], [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
-    place = sum((F.coalesce(F.col(order[0]) > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    own = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, T.StringType):  # its first seven bytes, in the order of texts
+        own = F.conv(F.rpad(F.hex(F.substring(own.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    cuts = df.agg(F.percentile_approx(own, [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
+    place = sum((F.coalesce(own > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
     placed = df.withColumn("_p", place)
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return placed.withColumn("_i", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+    ranked = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return placed.withColumn("_i", ranked).join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def holdout(df: DataFrame, unit_id: str, percent: float) -> tuple[DataFrame, DataFrame]:
