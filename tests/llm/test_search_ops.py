@@ -125,6 +125,16 @@ def test_near_copies_in_a_family_of_one_template(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in rows} == {i: i if i < 1000 else i - 300 for i in range(1300)}
 
 
+def test_buckets_of_many_members(spark):
+    keys = [(i, k) for i in range(500) for k in {0, i % 7 + 1, 1000 + i}]  # one key that all have, seven of some 71, own ones
+    rows = near_duplicates.buckets(spark.createDataFrame(keys, "rep long, key long")).collect()
+    held = {}
+    for rep, key in keys:
+        held.setdefault(key, []).append(rep)
+    assert sorted(map(tuple, rows)) == sorted((key, rep, min(reps), len(reps)) for key, reps in held.items() if len(reps) > 1 for rep in reps)
+    assert near_duplicates.buckets(spark.createDataFrame([], "rep long, key long")).count() == 0
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
     rows = near_duplicates.near_duplicates(frame(spark, ["a b c", "a b c", "d e f", "a b c"], [5, 5, 7, None])).collect()

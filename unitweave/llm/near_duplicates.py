@@ -44,6 +44,8 @@ _PIECES = 64
 STAR, SMALL = 256, 16
 #: Members of a larger bucket, about, that meet as many others in one group where all pairs are compared.
 BLOCK = 512
+#: Parts that the members of one band's value are dealt into, at most 64.
+SALTS = 64
 #: Ids of candidates up to which their list (8 bytes each) goes to every task; a longer one is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -163,6 +165,17 @@ def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(least, keys).where("rep <> c").select("c", F.col("rep").alias("m"))
 
 
+def buckets(bands: DataFrame) -> DataFrame:
+    """bands: (rep, key). Its rows of the keys that several reps have, with the least of them (c) and their number (size).
+    Members meet their least in parts by a salt, so that a key of many members is no one task's; a key is sent to those
+    parts alone that it has members in."""
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    held = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+    least = bands.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size"), held.alias("held")).where("c <> last")
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("held", i) == 1)
+    return bands.withColumn("salt", salt).join(least.select("key", "c", "size", F.explode(parts).alias("salt")), ["key", "salt"]).select("key", "rep", "c", "size")
+
+
 def _bodies(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body) of the ids in the one column of ``ids``."""
     ids = stored(ids.toDF("i").distinct(), "ids")
@@ -304,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = table.where("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     reps = stored(reps, "representatives")
     bands = reps.where("keys IS NOT NULL").select("rep", F.explode("keys").alias("key"))
-    shared = stored(bands.join(bands.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("c <> last").drop("last"), "key"), "buckets")
+    shared = stored(buckets(bands), "buckets")
     first = stored(shared.where("rep <> c").select("c", F.col("rep").alias("m")).distinct(), "pairs")
     links = stored(verified(first, docs, id_col, text_col, idf, similarity), "links")
     parts = connected_components(links)
