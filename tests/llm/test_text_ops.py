@@ -37,7 +37,9 @@ def labelled(spark):
 
 def test_toxicity_on_held_out_rows(spark, labelled):
     rows, docs, labels = labelled
-    model = toxicity.learn(toxicity.sample(docs, labels, "doc_id", "text", "toxic"))
+    model = toxicity.fitted(docs, labels, "doc_id", "text", "toxic")
+    plain = toxicity.learn(toxicity.sample(docs, labels, "doc_id", "text", "toxic"))
+    assert (model.ordinary, model.toxic, model.weight.tolist()) == (plain.ordinary, plain.toxic, plain.weight.tolist())
     truth = {i: y for i, _, y in rows}
     got = toxicity.scored(docs, model).collect()
     assert all(r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
@@ -102,7 +104,7 @@ def test_toxic_words_outlast_wrong_labels(labelled):
 
 def test_toxicity_without_labels(spark, labelled):
     _, docs, labels = labelled
-    model = toxicity.learn(toxicity.sample(docs, labels.limit(0), "doc_id", "text", "toxic"))
+    model = toxicity.fitted(docs, labels.limit(0), "doc_id", "text", "toxic")
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {0.0}
     assert toxicity.scored(docs.limit(0), model).count() == 0
 

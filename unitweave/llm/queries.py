@@ -24,7 +24,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.learn(toxicity.sample(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic"))
+    model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     return toxicity.scored(docs, model)
 
 

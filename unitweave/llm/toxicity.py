@@ -24,6 +24,7 @@ labels every score is the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -236,26 +237,52 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     return Model(prior, ordinary, chosen, *_logistic(np.array([features(gains(t)) for t, _ in rest]), np.array([y for _, y in rest], np.float64)))
 
 
-def bounded(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> list:
-    """The rows, one of each id (that of the least text), by a hash of the id, as long as their texts have ``most`` bytes
-    in all. rows: of a bounded number of ids; repeated rows and long texts stay on the executors."""
+def _order(row) -> tuple[int, str, str]:
+    """The place of a row (id, text, ...) among the learned ones."""
+    return zlib.crc32(str(row[0]).encode()), str(row[0]), str(tuple(row[2:]))
+
+
+def drawn(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> DataFrame:
+    """The rows (id, text, other columns), one of each id (that of the least text), by a hash of the id, as long as their
+    texts have ``most`` bytes in all. rows: of a bounded number of ids; ids and sizes alone come to the driver."""
     more = [c for c in rows.columns if c not in (id_col, text_col)]
-    one = stored(rows.groupBy(id_col, *more).agg(F.min(text_col).alias(text_col)), "sample")
-    sizes = one.select(id_col, *more, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")).collect()
-    sizes.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[1:])))
-    total = np.cumsum([r[-1] for r in sizes])
-    last = int(np.searchsorted(total, most, "right"))
-    held = one if last >= len(sizes) else one.join(F.broadcast(one.sparkSession.createDataFrame([(r[0],) for r in sizes[:last]], one.select(id_col).schema)), id_col, "left_semi")
-    return sorted(held.select(id_col, text_col, *more).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[2:])))
+    one = stored(rows.groupBy(id_col, *more).agg(F.min(text_col).alias(text_col)), "sample").select(id_col, text_col, *more)
+    sizes = one.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"), *more).collect()
+    sizes.sort(key=_order)
+    last = int(np.searchsorted(np.cumsum([r[1] for r in sizes]), most, "right"))
+    return one if last >= len(sizes) else one.join(F.broadcast(one.sparkSession.createDataFrame([(r[0],) for r in sizes[:last]], one.select(id_col).schema)), id_col, "left_semi")
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """Labelled texts of the learning folds, at most the bounds of each class, the same ones on every run."""
+def bounded(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> list:
+    """The rows that ``drawn`` chooses, in an order that does not depend on the cluster."""
+    return sorted(drawn(rows, id_col, text_col, most).collect(), key=_order)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, label) of the learning folds, at most the bounds of ids of each class."""
     order = [F.xxhash64(id_col), F.col(id_col)]
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).groupBy(id_col).agg(F.max("_label").alias("_label"))
     chosen = [known.where(F.col("_label") == c).orderBy(*order).limit(n) for c, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
     ids = chosen[0].unionAll(chosen[1])  # at most the two bounds of rows
-    return [(r[1], r[2]) for r in bounded(docs.select(id_col, text_col).join(F.broadcast(ids), id_col), id_col, text_col)]
+    return docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
+    """Labelled texts of the learning folds, at most the bounds of each class, the same ones on every run."""
+    return [(r[1], r[2]) for r in bounded(_labelled(docs, labels, id_col, text_col, label_col), id_col, text_col)]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
+    """The model of the texts of ``sample``, learned in one task: the driver gets the model alone, and a lost executor
+    costs a second attempt of that task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=_order)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([(r[1], r[2]) for r in rows]))], pa.binary())], ["model"])
+
+    texts = drawn(_labelled(docs, labels, id_col, text_col, label_col), id_col, text_col)
+    found = texts.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else learn([])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
