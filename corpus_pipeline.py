@@ -32,7 +32,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
     small_batches(spark)
-    model = toxicity.learn(toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic"))
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic")
     return toxicity.keep_ordinary(docs.select(*COLUMNS), model)
 
 
