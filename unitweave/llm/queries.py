@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitweave.llm import decontaminate, embeddings, language_id, mixing, near_duplicates, pii, repeats, token_counts, toxicity, warc
+from unitweave.llm import decontaminate, embeddings, fill_middle, language_id, language_model, mixing, near_duplicates, pii, repeats, token_counts, toxicity, vector_codes, warc
 from unitweave.llm.scratch import small_batches
 
 #: The vocabulary of op9, found through the package that ships the public tokenizers.
@@ -63,5 +63,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_near_duplicates, op5_repeats, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii)}
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL, "op10_pii": pii.SQL}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.rearranged(_table(spark, sf_dir, "documents")))
+
+
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_near_duplicates, op5_repeats, op6_mixing, op7_warc, op8_embeddings, op9_token_counts, op10_pii, op11_fill_middle, op12_language_model, op13_vector_codes)}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_embeddings": embeddings.SQL, "op10_pii": pii.SQL, "op11_fill_middle": fill_middle.SQL, "op13_vector_codes": vector_codes.SQL}
