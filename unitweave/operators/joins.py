@@ -110,11 +110,3 @@ def join_examples(units: DataFrame, candidates: DataFrame) -> DataFrame:
     b = candidates.select("utt", (F.col("step") - 1).alias("step"), F.col("unit_id").alias("to_id"))
     other = a.join(b, ["utt", "step"]).where("to_id <> from_id + 1").select("from_id", "to_id").distinct()
     return good.unionByName(other.withColumn("ok", F.lit(False)))
-
-
-def cartesian(*arrays: Sequence) -> list[tuple]:
-    """All combinations in lexicographic order."""
-    out: list[tuple] = [()]
-    for a in arrays:
-        out = [(*x, y) for x in out for y in a]
-    return out

@@ -1,112 +1,455 @@
-"""Exact nearest neighbours in blocks.
+"""Exact neighbours through a stored index of cells, pruned by the triangle inequality.
 
-Queries and units are each cut into blocks by hash; every block of queries meets every block of units once, in numpy,
-and keeps its k best, so a task holds two blocks whatever the tables' sizes. The k best of the blocks meet in one
-aggregation for each query. Within a class (``by``) only its own blocks meet.
+``build`` puts equal vectors together (with their number and their least ids), and deals them to the nearest of some
+drawn pivots, level by level, until a cell has at most ``size`` vectors. A cell knows its centre and radius. A query
+first meets its home cell, which gives it a bound, and then only those cells that can hold something nearer:
+distance to the centre - radius <= bound. Whole cells inside a radius are counted without meeting anyone.
+
+Rows meet in cogroups of one key whose left side is cut into chunks of ``CHUNK`` rows and whose right side (the pivots or
+nodes below a key, the vectors of a cell) is bounded, so that neither a hot cell nor a hot class comes to one task. The
+nodes of an index go to all tasks while they have at most ``NODES`` bytes; beyond, queries descend by two joins.
+
+Rows: vectors have one length; rows with a null vector or (with ``by``) class are left out; q names a query: identical
+repeated rows count once; repeated ids of units are one unit where their vectors are equal. No units: no neighbours,
+counts of 0. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from unitweave.functions import vectors as V
+from unitweave.sources.scratch import drop, fresh_path, kept
+
+#: Rows of the left side of a meeting.
+CHUNK = 4096
+#: Vectors of a cell: about twice the root of all, between these.
+LEAST, MOST = 256, 4096
+#: Pivots at which a cell is split at once, and how often cells are split by pivots before chance splits the rest.
+PIVOTS, LEVELS = 256, 12
+#: Bytes of the nodes that go to all tasks, and of small tables that are joined to large ones.
+NODES = 32 << 20
+#: Rounding that a bound on distances allows for, as a part of them.
+SLACK = 1e-9
+
+
+class Index(NamedTuple):
+    """points (c, cell, ids, n, v) and cells (c, top, cell, v, radius, n); copies: the ids kept of equal vectors."""
+
+    points: DataFrame
+    cells: DataFrame
+    copies: int
+
+
+_INDEX = "c string, top long, cell long, ids array<long>, n long, v array<double>, radius double, copies int, is_cell boolean"
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    """An index that ``build`` stored at ``path``."""
+    both = spark.read.schema(_INDEX).parquet(path)
+    cells = both.where("is_cell")
+    about = cells.select("copies").first()
+    return Index(both.where("NOT is_cell").select("c", "cell", "ids", "n", "v"), cells.select("c", "top", "cell", "v", "radius", "n"), about.copies if about else 1 << 30)
+
+
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by the product form: good for bounds and short lists, exact ones follow."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], spread: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, sizes: DataFrame | None = None) -> DataFrame:
+    """``work`` on the rows of ``left`` (a stored table) and ``right`` that share ``keys``, as a stored table; the rows of
+    a key in ``left`` are dealt by a hash of ``spread`` to chunks, each of which gets all of the key's rows of ``right``,
+    which may be none. sizes (keys, m): the rows of each key in ``left``, if they are known. Small tables among these
+    are broadcast by Spark itself, which knows the sizes of stored tables."""
+    chunks = sizes or kept(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), "chunks")
+    count = F.ceil(F.col("m") / CHUNK).cast("long")
+    many = chunks.where(F.col("m") > CHUNK).select(*keys, count.alias("_n"))
+    a = left.join(many, keys, "left").withColumn("_k", F.pmod(F.xxhash64(spread), F.coalesce("_n", F.lit(1)))).select(*left.columns, "_k")
+    b = right.join(chunks.select(*keys, count.alias("_n")), keys).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*right.columns, "_k")
+    want = _arrow(schema)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        return work(x.drop_columns(["_k"]), y.drop_columns(["_k"])).cast(want) if x.num_rows else want.empty_table()
+
+    out = kept(a.groupBy(*keys, "_k").cogroup(b.groupBy(*keys, "_k")).applyInArrow(run, schema), "met")
+    if sizes is None:
+        drop(chunks)
+    return out
 
-#: Rows of a block.
-BLOCK = 4096
 
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema))
 
-def _blocks(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
 
+def _ddl(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by the product form: good for a short list, exact ones follow."""
-    return (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
 
+# --- building -------------------------------------------------------------------------------------------------------
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b) ** 2).sum(2) if a.ndim == 2 else ((b - a) ** 2).sum(1)
 
+def _distinct(units: DataFrame, copies: int) -> DataFrame:
+    """(c, v, n, ids): each different vector of a class once, with the ``copies`` least ids of its n units. Lists are
+    joined in steps of some 4,096 ids, so that no number of copies makes a long one."""
+    units = units.distinct()
+    parts = -(-units.count() // 4096)
+    ids = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, copies).alias("ids")
+    out = units.select("c", "v", F.lit(1).cast("long").alias("n"), F.array("u").alias("ids"), F.xxhash64("u").alias("_h"))
+    while parts > 1:
+        out = out.groupBy("c", "v", F.pmod("_h", F.lit(parts)).alias("_h")).agg(F.sum("n").alias("n"), ids)
+        parts = -(-parts * copies // 4096)
+    return out.groupBy("c", "v").agg(F.sum("n").alias("n"), ids)
 
-def _meet(queries: DataFrame, units: DataFrame, by: str | None, work, schema: T.StructType) -> DataFrame:
-    """Applies ``work`` to each pair of blocks. queries (q, v[, by]), units (u, v[, by])."""
-    nq, nu = _blocks(queries), _blocks(units)
-    keys = ["_c", "_i", "_j"]
+
+def _split(open_: DataFrame, large: DataFrame, size: int, level: int) -> DataFrame:
+    """The rows of the cells of m > size vectors in ``large``, each in the cell of the nearest of some drawn pivots."""
+    draw = F.xxhash64(F.lit(level), "v")
+    wide = open_.join(large, ["c", "cell"]).withColumns({"draw": draw, "w": F.least(F.lit(PIVOTS), F.ceil(F.col("m") * 4 / size)).cast("int")})
+    drawn = wide.where(F.pmod(F.shiftright("draw", 8), F.lit(1 << 30)) < (F.col("w") * 2 + 30.0) * (1 << 30) / F.col("m"))
+    pivots = drawn.groupBy("c", "cell", "w").agg(F.array_sort(F.collect_list(F.struct("draw", "v"))).alias("x"))
+    pivots = kept(pivots.select("c", "cell", F.explode(F.expr("slice(x, 1, w)")).alias("x")).select("c", "cell", F.col("x.v").alias("v")), "pivots")
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        p = np.unique(_matrix(y["v"]), axis=0)
+        # A pivot is nearest to itself, so two of them part a cell; where too few were drawn, chance does.
+        child = squares(_matrix(x["v"]), p).argmin(1) if len(p) > 1 else x["draw"].to_numpy() % 2
+        return x.append_column("child", pa.array(child, pa.int64()))
+
+    wide = wide.drop("m", "w")
+    met = meet(wide, pivots, ["c", "cell"], "v", work, _ddl(wide, *wide.columns) + ", child long", large)
+    drop(pivots)
+    return met.withColumn("cell", F.xxhash64("cell", "child", F.lit(level))).drop("child", "draw")
+
+
+def build(units: DataFrame, by: str | None = None, copies: int = 64, size: int | None = None, path: str | None = None) -> Index:
+    """The index of units (u, v[, by]), stored at ``path`` (a scratch folder unless given) for ``read``. A search for k
+    neighbours needs ``copies`` of k at least, one more where it leaves out the query itself."""
+    spark = units.sparkSession
+    path = path or fresh_path(spark, "neighbours")
     cls = F.col(by).cast("string") if by else F.lit("")
-    q = queries.select(F.lit(0).alias("_side"), cls.alias("_c"), F.pmod(F.xxhash64("q"), F.lit(nq)).alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nu - 1).cast("long"))).alias("_j"), F.col("q").alias("id"), "v")
-    u = units.select(F.lit(1).alias("_side"), cls.alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("_i"), F.pmod(F.xxhash64("u"), F.lit(nu)).alias("_j"), F.col("u").alias("id"), "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf._side == 0].sort_values("id"), pdf[pdf._side == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=schema.names)
-        return work(a.id.to_numpy(), np.stack(a.v.to_numpy()).astype(float), b.id.to_numpy(), np.stack(b.v.to_numpy()).astype(float))
-
-    return q.unionByName(u).groupBy(*keys).applyInPandas(run, schema)
-
-
-def k_nearest(queries: DataFrame, units: DataFrame, k: int, by: str | None = None, exclude_self: bool = False) -> DataFrame:
-    """(q, rank, u, dist2): the k nearest units of each query; of equal distances the lesser id. With ``by``, only
-    units of the query's class; where it has fewer than k, there are fewer rows."""
-
-    def work(qi, qv, ui, uv) -> pd.DataFrame:
-        out = []
-        need = k + exclude_self
-        rough = _squares(qv, uv)
-        for i in range(len(qi)):
-            row = rough[i]
-            if len(row) > 2 * need + 16:
-                edge = np.partition(row, need - 1)[need - 1]
-                near = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge)) + 1e-6)
-            else:
-                near = np.arange(len(row))
-            d = _exact(qv[i], uv[near])
-            order = np.lexsort((ui[near], d))
-            got = [(ui[near[j]], d[j]) for j in order[: need + 1] if not (exclude_self and ui[near[j]] == qi[i])][:k]
-            out += [(qi[i], u, x) for u, x in got]
-        return pd.DataFrame(out, columns=["q", "u", "dist2"])
-
-    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("u", T.LongType()), T.StructField("dist2", T.DoubleType())])
-    part = _meet(queries, units, by, work, schema)
-    # k rows for each query and block of units: the k least of them, in two steps, so that no list of a query has more
-    # than k rows for about the root of the number of blocks.
-    two = max(1, math.isqrt(_blocks(units)))
-    least = lambda x, *by: x.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist2", "u"))), 1, k).alias("x"))
-    some = least(part.withColumn("_g", F.pmod(F.xxhash64("u"), F.lit(two))), "q", "_g").select("q", F.explode("x").alias("x")).select("q", "x.*")
-    best = least(some if two > 1 else part, "q")
-    return best.select("q", F.posexplode("x").alias("i", "x")).select("q", (F.col("i") + 1).alias("rank"), F.col("x.u").alias("u"), F.col("x.dist2").alias("dist2"))
-
-
-def radius_counts(queries: DataFrame, units: DataFrame, radius: float, exclude_self: bool = False) -> DataFrame:
-    """(q, n): units within the radius of each query, 0 included."""
-
-    def work(qi, qv, ui, uv) -> pd.DataFrame:
-        rough, limit = _squares(qv, uv), radius * radius
-        inside = rough <= limit
-        for i, j in zip(*np.nonzero(np.abs(rough - limit) <= 1e-6 * (1 + limit))):  # too near to tell
-            inside[i, j] = ((qv[i] - uv[j]) ** 2).sum() <= limit
-        if exclude_self:
-            inside &= qi[:, None] != ui
-        return pd.DataFrame({"q": qi, "n": inside.sum(1)})
-
-    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("n", T.LongType())])
-    return _meet(queries, units, None, work, schema).groupBy("q").agg(F.sum("n").alias("n"))
+    rows = units.select(cls.alias("c"), F.col("u").cast("long").alias("u"), F.col("v").cast("array<double>").alias("v")).where("c IS NOT NULL AND v IS NOT NULL")
+    open_ = kept(_distinct(rows, copies).withColumns({"top": F.lit(0).cast("long"), "cell": F.lit(0).cast("long")}), "vectors")
+    size = size or min(MOST, max(LEAST, 2 * math.isqrt(open_.count())))
+    done, made = None, [open_]
+    for level in range(LEVELS + 1):
+        large = kept(open_.groupBy("c", "cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > size), "large")
+        made.append(large)
+        ready = open_.join(large, ["c", "cell"], "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        if large.isEmpty():
+            break
+        if level < LEVELS:
+            open_ = _split(open_, large, size, level)
+            made.append(open_)
+            if level == 0:
+                open_ = open_.withColumn("top", F.col("cell"))
+        else:  # what pivots do not part, such as a few far apart beside many close together
+            child = F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / size).cast("long"))
+            done = done.unionByName(open_.join(large, ["c", "cell"]).withColumn("cell", F.xxhash64("cell", child, F.lit(level))).drop("m"))
+    want = _arrow(_INDEX)
+
+    def centred(t: pa.Table) -> pa.Table:
+        v = _matrix(t["v"])
+        centre = v.mean(0)
+        n = t.num_rows
+        own = [t["c"][:1], t["top"][:1], t["cell"][:1], pa.nulls(1, pa.list_(pa.int64())), pa.array([pc.sum(t["n"]).as_py()]), pa.array([centre.tolist()]), pa.array([float(np.sqrt(((v - centre) ** 2).sum(1)).max())]), pa.array([copies]), pa.array([True])]
+        rest = [*(t[x] for x in want.names[:6]), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, bool))]
+        return pa.concat_tables(pa.table(x, want.names).cast(want) for x in (own, rest))
+
+    done.select(want.names[:6]).groupBy("c", "cell").applyInArrow(centred, _INDEX).write.partitionBy("is_cell").parquet(path)
+    drop(*made)
+    return read(spark, path)
+
+
+def _tops(cells: DataFrame) -> DataFrame:
+    """(c, cell, v, radius, n): a node above the cells of each first pivot."""
+    first = cells.groupBy("c", "top").agg(F.min_by("v", "cell").alias("centre"))
+    reach = (V.distance(F.col("v"), F.col("centre")) + F.col("radius")) * (1 + SLACK)
+    return cells.join(first, ["c", "top"]).groupBy("c", F.col("top").alias("cell")).agg(F.first("centre").alias("v"), F.max(reach).alias("radius"), F.sum("n").alias("n"))
+
+
+# --- choosing cells -------------------------------------------------------------------------------------------------
+
+
+class Nodes:
+    """Centres, radii and counts of nodes of one class, as arrays."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by("cell")
+        self.cell, self.v = t["cell"].to_numpy(), _matrix(t["v"])
+        self.radius, self.n = t["radius"].to_numpy(), t["n"].to_numpy()
+
+    def homes(self, v: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, node): for each row the nodes nearest to it that have ``need`` vectors' units together, or all."""
+        if not len(self.cell):
+            return np.zeros(0, int), np.zeros(0, int)
+        d = squares(v, self.v)
+        first = d.argmin(1)
+        short = self.n[first] < need
+        rows, nodes = [np.flatnonzero(~short)], [first[~short]]
+        for i in np.flatnonzero(short):
+            order = np.argsort(d[i], kind="stable")
+            last = int(np.searchsorted(np.cumsum(self.n[order]), need[i])) + 1
+            rows.append(np.full(min(last, len(order)), i))
+            nodes.append(order[:last])
+        return np.concatenate(rows), np.concatenate(nodes)
+
+    def within(self, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, node, whole): nodes that can hold something within the bound; whole: all they hold surely is."""
+        if not len(self.cell):
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+        d = np.sqrt(squares(v, self.v))
+        # The product form errs by some 1e-16 of the squared sizes.
+        slack = SLACK * (1 + d + self.radius) + 1e-7 * np.sqrt((v * v).sum(1)[:, None] + (self.v * self.v).sum(1))
+        rows, nodes = np.nonzero(d - self.radius - slack <= bound[:, None])
+        return rows, nodes, d[rows, nodes] + self.radius[nodes] + slack[rows, nodes] <= bound[rows]
+
+
+def _chosen(queries: DataFrame, index: Index, choose: Callable[[pa.Table, Nodes], pa.Table], limit: int | None, but: DataFrame | None = None) -> DataFrame:
+    """A stored table of the pairs (query, cell) that ``choose`` finds, without those in ``but``; queries (q, c, v, ...).
+    choose returns the left rows that it takes, with their node in ``cell`` and, by the way, ``whole`` and ``n``."""
+    without = lambda df: df if but is None else df.join(but.select("q", "c", "cell"), ["q", "c", "cell"], "left_anti").select(df.columns)
+    extra = "cell long, whole boolean, n long"
+    plain = _ddl(queries, *queries.columns)
+    size = index.cells.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
+    if size <= (NODES if limit is None else limit):
+        table = index.cells.select("c", "cell", "v", "radius", "n").toArrow()
+        found = {c: table.filter(pc.equal(table["c"], c)) for c in table["c"].unique().to_pylist()}
+        held = queries.sparkSession.sparkContext.broadcast(found)
+        want = _arrow(f"{plain}, {extra}")
+
+        def run(batches):
+            nodes = {}
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                for c in t["c"].unique().to_pylist():
+                    if c in held.value:
+                        if c not in nodes:
+                            nodes[c] = Nodes(held.value[c])
+                        yield from choose(t.filter(pc.equal(t["c"], c)), nodes[c]).cast(want).to_batches()
+
+        return kept(without(queries.mapInArrow(run, f"{plain}, {extra}")), "pairs")
+    queries = kept(queries, "queries")
+    above = meet(queries, _tops(index.cells), ["c"], "q", lambda x, y: choose(x, Nodes(y)), f"{plain}, {extra}")
+    below = kept(above.drop("whole", "n").withColumnRenamed("cell", "top"), "below")
+    out = meet(below, index.cells, ["c", "top"], "q", lambda x, y: choose(x.drop_columns(["top"]), Nodes(y)), f"{plain}, {extra}")
+    drop(queries, above, below)
+    if but is None:
+        return out
+    rest = kept(without(out), "pairs")
+    drop(out)
+    return rest
+
+
+def _took(x: pa.Table, nodes: Nodes, rows: np.ndarray, at: np.ndarray, whole: np.ndarray | None = None) -> pa.Table:
+    out = x.take(pa.array(rows)).append_column("cell", pa.array(nodes.cell[at]))
+    whole = np.zeros(len(rows), bool) if whole is None else whole
+    return out.append_column("whole", pa.array(whole)).append_column("n", pa.array(nodes.n[at]))
+
+
+# --- searching ------------------------------------------------------------------------------------------------------
+
+
+def _best(x: pa.Table, y: pa.Table, schema: pa.Schema) -> pa.Table:
+    """(q, dist2, u): of the queries x and the vectors y of a cell the ``need`` least by distance and id within the bound."""
+    if not y.num_rows:
+        return schema.empty_table()
+    qv, uv = _matrix(x["v"]), _matrix(y["v"])
+    need, bound = x["need"].to_numpy(), x["bound"].to_numpy()
+    held = x["held"].to_pylist()
+    ids = y["ids"].to_pylist()
+    rough, rows, dist, unit = squares(qv, uv), [], [], []
+    size = (qv * qv).sum(1)[:, None] + (uv * uv).sum(1)
+    for i in range(len(qv)):
+        row, margin = rough[i], 1e-9 * (1 + size[i])
+        edge = (bound[i] * (1 + SLACK)) ** 2
+        if len(row) > need[i]:
+            edge = min(edge, np.partition(row + margin, need[i] - 1)[need[i] - 1])
+        near = np.flatnonzero(row - margin <= edge)
+        if not len(near):
+            continue
+        d = ((uv[near] - qv[i]) ** 2).sum(1)
+        out, got = set(held[i] or ()), []
+        for j, z in zip(near.tolist(), d.tolist()):
+            got += [(z, u) for u in ids[j] if u not in out]
+        got.sort()
+        got = got[: need[i]]
+        rows += [i] * len(got)
+        dist += [z for z, _ in got]
+        unit += [u for _, u in got]
+    return pa.table([x["q"].take(pa.array(rows, pa.int64())), pa.array(dist, pa.float64()), pa.array(unit, pa.int64())], schema=schema)
+
+
+def _met(pairs: DataFrame, index: Index) -> DataFrame:
+    """A stored table (q, dist2, u) of the pairs' best."""
+    schema = f"{_ddl(pairs, 'q')}, dist2 double, u long"
+    arrow = _arrow(schema)
+    return meet(pairs.select("q", "c", "v", "need", "bound", "held", "cell"), index.points, ["c", "cell"], "q", lambda x, y: _best(x, y, arrow), schema)
+
+
+def search(queries: DataFrame, index: Index, k: int, eps: float = 0.0, limit: int | None = None, met: list | None = None) -> DataFrame:
+    """A stored table (q, x): x is the list of the ``k`` least (dist2, u) of each query (q, c, v[, held]), fewer where its
+    class has fewer units; units in the list ``held`` are left out, which may not be longer than the index's copies - k.
+    With ``eps`` the i-th distance found is at most 1 + eps times the true one. ``met`` gets the pairs tables."""
+    held = F.col("held").cast("array<long>") if "held" in queries.columns else F.lit(None).cast("array<long>")
+    q = queries.where("c IS NOT NULL AND v IS NOT NULL").select("q", "c", F.col("v").cast("array<double>").alias("v"), held.alias("held")).distinct()
+    q = q.withColumns({"need": F.lit(k) + F.coalesce(F.array_size("held"), F.lit(0)), "bound": F.lit(float("inf"))})
+    q = kept(q, "queries")
+    home = _chosen(q, index, lambda x, nodes: _took(x, nodes, *nodes.homes(_matrix(x["v"]), x["need"].to_numpy())), limit)
+    one = _met(home, index)
+    # Of the units that are not held the k-th least distance; the homes hold that many if there are as many at all.
+    second = q.drop("bound").join(_kth(one, k), "q", "left").withColumn("bound", F.coalesce(F.sqrt("d") / (1 + eps), F.lit(float("inf")))).select(*q.columns)
+    rest = _chosen(second, index, lambda x, nodes: _took(x, nodes, *nodes.within(_matrix(x["v"]), x["bound"].to_numpy())[:2]), limit, home)
+    two = _met(rest, index)
+    out = kept(_least(one.unionByName(two), k), "nearest")
+    if met is not None:
+        met += [home, rest]
+    else:
+        drop(home, rest)
+    drop(q, one, two)
+    return out
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(q, d): the k-th least squared distance of each query that has as many."""
+    return _least(found, k).where(F.size("x") == k).select("q", F.element_at("x", k)["dist2"].alias("d"))
+
+
+def _least(found: DataFrame, k: int) -> DataFrame:
+    """(q, x): the k least (dist2, u) of each query, in two steps, so that lists stay short where many cells were met."""
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x")
+    some = found.select("q", F.array(F.struct("dist2", "u")).alias("x"), F.pmod(F.xxhash64("u"), F.lit(16)).alias("_g"))
+    return some.groupBy("q", "_g").agg(best).groupBy("q").agg(best)
+
+
+class LocalIndex:
+    """The same cells in the memory of a task, for unit tables that are known to fit; ids ascend."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[order], v[order]
+        n = len(ids)
+        pivots = np.unique(self.v[np.linspace(0, n - 1, max(1, math.isqrt(n))).astype(int)], axis=0) if n else v[:0]
+        cell = np.concatenate([squares(self.v[a : a + 4096], pivots).argmin(1) for a in range(0, n, 4096)]) if n else np.zeros(0, int)
+        self.rows = [r for c in range(len(pivots)) if len(r := np.flatnonzero(cell == c))]
+        self.parts = [self.v[r] for r in self.rows]
+        self.centre = np.array([p.mean(0) for p in self.parts])
+        self.radius = np.array([np.sqrt(((p - c) ** 2).sum(1)).max() for p, c in zip(self.parts, self.centre)])
+        self.looked = 0
+
+    def nearest(self, q: np.ndarray, held: np.ndarray | None = None, eps: float = 0.0) -> tuple[int, float] | None:
+        """(row, dist2) of the nearest vector whose id is not held, of equally near ones the lesser id; with ``eps`` of
+        one at most 1 + eps times as far. Cells are opened by their least possible distance until none can be nearer."""
+        if not self.rows:
+            return None
+        to_centre = np.sqrt(((self.centre - q) ** 2).sum(1))
+        low = to_centre - self.radius - SLACK * (1 + to_centre + self.radius)
+        best, row = np.inf, -1
+        for c in np.argsort(low):
+            if row >= 0 and low[c] > np.sqrt(best) / (1 + eps):
+                break
+            d = ((self.parts[c] - q) ** 2).sum(1)
+            if held is not None and len(held):
+                d[np.isin(self.ids[self.rows[c]], held)] = np.inf
+            self.looked += len(d)
+            j = int(d.argmin())
+            if d[j] < np.inf and (d[j], self.rows[c][j]) < (best, row if row >= 0 else np.inf):
+                best, row = float(d[j]), int(self.rows[c][j])
+        return (row, best) if row >= 0 else None
+
+
+def _queries(queries: DataFrame, by: str | None, *more: str) -> DataFrame:
+    return queries.select("q", (F.col(by).cast("string") if by else F.lit("")).alias("c"), "v", *more)
+
+
+def _one_cell(units: DataFrame, by: str | None, copies: int) -> Index:
+    """A few units as an index of one cell for each class, as yet without centres: all of it is home."""
+    cls = F.col(by).cast("string") if by else F.lit("")
+    rows = units.select(cls.alias("c"), F.col("u").cast("long").alias("u"), F.col("v").cast("array<double>").alias("v")).where("c IS NOT NULL AND v IS NOT NULL")
+    return Index(_distinct(rows, copies).withColumn("cell", F.lit(0).cast("long")), None, copies)
+
+
+def k_nearest(queries: DataFrame, units: DataFrame, k: int, by: str | None = None, exclude_self: bool = False, index: Index | None = None, limit: int | None = None) -> DataFrame:
+    """(q, rank, u, dist2): the k nearest units of each query (q, v[, by]); of equal distances the lesser id. With ``by``,
+    only units of the query's class; where it has fewer than k, there are fewer rows. ``index``: that of the units,
+    if it is there already (``build``); without one, up to ``MOST`` units are one cell."""
+    need = k + exclude_self
+    own = _queries(queries, by)
+    if index is None and units.count() <= MOST:
+        q = kept(own.where("c IS NOT NULL AND v IS NOT NULL").distinct().select("q", "c", F.col("v").cast("array<double>").alias("v"), F.lit(need).alias("need"), F.lit(float("inf")).alias("bound"), F.lit(None).cast("array<long>").alias("held"), F.lit(0).cast("long").alias("cell")), "queries")
+        found = _least(_met(q, _one_cell(units, by, need)), need)
+        drop(q)
+    else:
+        index = index or build(units, by, need)
+        if index.copies < need:
+            raise ValueError(f"the index keeps {index.copies} ids of equal vectors, the search needs {need}")
+        found = search(own, index, need, limit=limit)
+    x = F.slice(F.filter("x", lambda e: e["u"] != F.col("q")), 1, k) if exclude_self else F.col("x")
+    return found.select("q", F.posexplode(x).alias("i", "x")).select("q", (F.col("i") + 1).alias("rank"), F.col("x.u").alias("u"), F.col("x.dist2").alias("dist2"))
+
+
+def meetings(queries: DataFrame, index: Index, k: int, by: str | None = None) -> dict[str, int]:
+    """How far the index prunes a search: the pairs of query blocks (queries of one home) and cells that meet, of all."""
+    met: list[DataFrame] = []
+    search(_queries(queries, by), index, k, met=met)
+    home, rest = met
+    blocks = home.groupBy("q").agg(F.min("cell").alias("block"))
+    pairs = home.unionByName(rest).join(blocks, "q").select("block", "cell").distinct().count()
+    return {"met": pairs, "all": blocks.select("block").distinct().count() * index.cells.count()}
+
+
+def radius_counts(queries: DataFrame, units: DataFrame, radius: float, exclude_self: bool = False, index: Index | None = None, limit: int | None = None) -> DataFrame:
+    """(q, n): units within the radius of each query, 0 included; with ``exclude_self`` the unit of the query's id is not
+    counted."""
+    index = index or build(units, copies=1)
+    q = kept(_queries(queries, None).where("v IS NOT NULL").distinct().withColumn("v", F.col("v").cast("array<double>")), "queries")
+
+    def choose(x: pa.Table, nodes: Nodes) -> pa.Table:
+        return _took(x, nodes, *nodes.within(_matrix(x["v"]), np.full(x.num_rows, float(radius))))
+
+    pairs = _chosen(q, index, choose, limit)
+    schema = f"{_ddl(q, 'q')}, n long"
+    arrow, edge = _arrow(schema), radius * radius
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not y.num_rows:
+            return arrow.empty_table()
+        qv, uv, n = _matrix(x["v"]), _matrix(y["v"]), y["n"].to_numpy()
+        rough = squares(qv, uv)
+        inside = rough <= edge
+        margin = 1e-9 * (1 + edge + (qv * qv).sum(1)[:, None] + (uv * uv).sum(1))
+        for i, j in zip(*np.nonzero(np.abs(rough - edge) <= margin)):  # too near to tell
+            inside[i, j] = ((qv[i] - uv[j]) ** 2).sum() <= edge
+        return pa.table([x["q"], pa.array(inside @ n, pa.int64())], schema=arrow)
+
+    at_edge = kept(pairs.where("NOT whole").select("q", "c", "v", "cell"), "edge")
+    sums = pairs.where("whole").select("q", "n").unionByName(meet(at_edge, index.points.drop("ids"), ["c", "cell"], "q", count, schema))
+    out = q.select("q").distinct().join(sums.groupBy("q").agg(F.sum("n").alias("n")), "q", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    if exclude_self:
+        own = units.select(F.col("u").alias("q"), F.col("v").cast("array<double>").alias("_w")).distinct()
+        self_ = q.join(own, "q").where(V.dist2(F.col("v"), F.col("_w")) <= edge).groupBy("q").agg(F.count(F.lit(1)).alias("_self"))
+        out = out.join(self_, "q", "left").select("q", (F.col("n") - F.coalesce("_self", F.lit(0))).alias("n"))
+    return out
 
 
 def nearest_given(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """(u, centre, dist2) for a few given centres, as expressions of the JVM."""
-    from unitweave.functions import vectors as V
-
     each = F.array(*(F.struct(V.dist2(F.col("v"), V.literal(c)).alias("dist2"), F.lit(i).alias("centre")) for i, c in enumerate(centres)))
     return points.select("u", F.array_min(each).alias("m")).select("u", F.col("m.centre").alias("centre"), F.col("m.dist2").alias("dist2"))
-
-
-def merged(lists: list[Iterator], k: int) -> list:
-    """The k least of sorted lists."""
-    return [x for _, x in zip(range(k), heapq.merge(*lists))]

@@ -1,27 +1,27 @@
 """Sequence search: greedy joint search, shortest paths through candidate lattices, tiling, walks.
 
-Searches are sequential along an utterance and run side by side over utterances. Greedy search has two forms of the
-same result: a unit table up to ``BROADCAST_BYTES`` goes to every task once and an utterance is one group; a larger
-one stays where it lies, and all utterances take their next step together, one job a step, in which each task of units
-looks at the (few) open queries.
+Greedy search is sequential along an utterance and runs side by side over utterances, by the pruned neighbour index of
+``knn``: a unit table up to ``BROADCAST_BYTES`` goes to every task as cells in memory and an utterance is one group; a
+larger one stays in a stored index, and all utterances take their next step together. Shortest paths are min-plus
+products of dense step matrices, cut into segments where utterances are long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from unitweave.functions.vectors import EMERGENCY
+from unitweave.operators import knn
+from unitweave.sources.scratch import drop, fresh_path, kept
 
 #: Doubles of a unit table that goes to every task, in bytes.
 BROADCAST_BYTES = 256 << 20
-#: Utterances that take a step together when units stay in place.
-TOGETHER = 2000
 
 
 def _fits(units: DataFrame, *vectors: str) -> None:
@@ -37,89 +37,85 @@ def _arrays(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return pdf.unit_id.to_numpy(), grid("prev"), grid("target"), grid("cur")
 
 
-def greedy_search(units: DataFrame, targets: DataFrame, start: list[float] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def greedy_search(units: DataFrame, targets: DataFrame, start: list[float] | None = None, limit: int = BROADCAST_BYTES, eps: float = 0.0, index: knn.Index | None = None) -> DataFrame:
     """(utt, step, unit_id, cost): for each target of an utterance, in order, the unit whose (prev, target) is nearest
     to (the last chosen unit's cur, the target vector); of equally near ones the least id.
 
     units (unit_id, prev, target, cur), targets (utt, step, target). A column ``held`` of targets (array of unit ids)
     keeps those units out. The first state is ``start``, zeros if none is given; a column ``begin`` of targets gives an
-    utterance its own (on its first step, where not null). cost is the squared distance."""
+    utterance its own (on its first step, where not null). cost is the squared distance. With ``eps`` each chosen unit
+    is at most 1 + eps times as far as the nearest one. ``index``: ``joint_index`` of the units, which then stay in
+    place; it has to keep as many copies as the longest list ``held`` has, and one. A target without any unit left is
+    left out, and the state stays. Steps of an utterance differ; a null target or utterance has no row."""
     first = units.select(F.size("prev").alias("j"), F.size("target").alias("t")).first()
+    targets = targets.where("utt IS NOT NULL AND target IS NOT NULL")
     if first is None:
         return targets.select("utt", F.col("step").cast("long"), F.lit(None).cast("long").alias("unit_id"), F.lit(None).cast("double").alias("cost")).limit(0)
     begin = start or [0.0] * first.j
-    if units.count() * (2 * first.j + first.t) * 8 <= limit:
-        return _greedy_local(units, targets, begin)
-    return _greedy_steps(units, targets, begin)
+    if index is None and units.count() * (2 * first.j + first.t) * 8 <= limit:
+        return _greedy_local(units, targets, begin, eps)
+    return _greedy_steps(units, targets, begin, eps, index)
+
+
+def joint_index(units: DataFrame, held: int = 0, size: int | None = None, path: str | None = None) -> knn.Index:
+    """The index of (prev, target) for searches that hold out up to ``held`` units a target."""
+    return knn.build(units.select(F.col("unit_id").alias("u"), F.concat(F.col("prev").cast("array<double>"), F.col("target").cast("array<double>")).alias("v")), copies=held + 1, size=size, path=path)
 
 
-def _greedy_local(units: DataFrame, targets: DataFrame, begin: list[float]) -> DataFrame:
-    held = targets.sparkSession.sparkContext.broadcast(_arrays(units))
+def _greedy_local(units: DataFrame, targets: DataFrame, begin: list[float], eps: float) -> DataFrame:
+    ids, prev, target, cur = _arrays(units)
+    held = targets.sparkSession.sparkContext.broadcast((knn.LocalIndex(ids, np.hstack([prev, target])), cur[np.argsort(ids, kind="stable")]))
     keep_out, own = "held" in targets.columns, "begin" in targets.columns
     utt = targets.schema["utt"].dataType
     schema = T.StructType([T.StructField("utt", utt), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, prev, target, cur = held.value
+        index, cur = held.value
         pdf = pdf.sort_values("step")
         given = pdf.begin.iloc[0] if own else None
         state, out = np.array(begin if given is None else given, float), []
         for row in pdf.itertuples():
-            cost = ((prev - state) ** 2).sum(1) + ((target - np.asarray(row.target, float)) ** 2).sum(1)
-            if keep_out and row.held is not None and len(row.held):
-                cost[np.isin(ids, row.held)] = np.inf
-            best = int(cost.argmin())
-            if not np.isfinite(cost[best]):
-                continue
-            out.append((row.utt, row.step, ids[best], cost[best]))
-            state = cur[best]
+            found = index.nearest(np.r_[state, np.asarray(row.target, float)], row.held if keep_out else None, eps)
+            if found:
+                out.append((row.utt, row.step, index.ids[found[0]], found[1]))
+                state = cur[found[0]]
         return pd.DataFrame(out, columns=schema.names)
 
     return targets.groupBy("utt").applyInPandas(run, schema)
 
 
-def _greedy_steps(units: DataFrame, targets: DataFrame, begin: list[float]) -> DataFrame:
-    """One job for each step; its result, a unit for each utterance, is what the driver holds, for TOGETHER utterances
-    at a time."""
+def _greedy_steps(units: DataFrame, targets: DataFrame, begin: list[float], eps: float, index: knn.Index | None) -> DataFrame:
+    """All utterances take a step together: their queries meet the index, and the chosen units' cur is the next state.
+    States and results are tables; the driver counts steps. A step reads the ids and cur of the units once."""
     spark = units.sparkSession
-    units = units.select("unit_id", *(F.col(c).cast("array<double>").alias(c) for c in ("prev", "target", "cur"))).persist()
-    names = sorted(r.utt for r in targets.select("utt").distinct().collect())
-    keep_out, own, out = "held" in targets.columns, "begin" in targets.columns, []
-    for k in range(0, len(names), TOGETHER):
-        part = targets.where(F.col("utt").isin(names[k : k + TOGETHER]))
-        rows: dict = {}
-        for r in part.collect():
-            rows.setdefault(r.utt, []).append((r.step, np.array(r.target, float), set(r.held or []) if keep_out else set(), r.begin if own else None))
-        state = {}
-        for u in rows:
-            rows[u].sort(key=lambda x: x[0])
-            state[u] = np.array(rows[u][0][3] or begin, float)
-        for n in range(max(map(len, rows.values()), default=0)):
-            queries = spark.sparkContext.broadcast([(u, state[u], *x[n][1:3]) for u, x in rows.items() if n < len(x)])
-
-            def look(batches: Iterator[pd.DataFrame], queries=queries) -> Iterator[pd.DataFrame]:
-                best: dict = {}
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    ids, prev, target = pdf.unit_id.to_numpy(), np.stack(pdf.prev.to_numpy()), np.stack(pdf.target.to_numpy())
-                    for i, (_, p, t, held) in enumerate(queries.value):
-                        cost = ((prev - p) ** 2).sum(1) + ((target - t) ** 2).sum(1)
-                        if held:
-                            cost[np.isin(ids, list(held))] = np.inf
-                        j = int(np.lexsort((ids, cost))[0])
-                        if np.isfinite(cost[j]) and (i not in best or (cost[j], ids[j]) < best[i][:2]):
-                            best[i] = (cost[j], ids[j], pdf.cur.iloc[j])
-                yield pd.DataFrame([(i, *b) for i, b in best.items()], columns=["i", "cost", "unit_id", "cur"])
-
-            found = units.mapInPandas(look, "i int, cost double, unit_id long, cur array<double>").groupBy("i").agg(F.min(F.struct("cost", "unit_id", "cur")).alias("m"))
-            for r in found.collect():
-                u = queries.value[r.i][0]
-                out.append((u, rows[u][n][0], r.m.unit_id, r.m.cost))
-                state[u] = np.array(r.m.cur)
-    units.unpersist()
-    schema = T.StructType([T.StructField("utt", targets.schema["utt"].dataType), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType())])
-    return spark.createDataFrame(out, schema)
+    more = [c for c in ("held", "begin") if c in targets.columns]
+    order = F.row_number().over(Window.partitionBy("utt").orderBy("step")) - 1
+    targets = targets.select("utt", F.col("step").cast("long").alias("step"), F.col("target").cast("array<double>").alias("target"), *more)
+    targets = kept(targets.withColumn("_n", order).sortWithinPartitions("_n"), "targets")
+    first = F.array(*(F.lit(float(x)) for x in begin))
+    if "begin" in more:
+        first = F.coalesce(F.col("begin").cast("array<double>"), first)
+    if index is None:
+        most = targets.agg(F.max(F.array_size("held"))).first()[0] if "held" in more else 0
+        index = joint_index(units, most or 0)
+    ends = kept(units.select("unit_id", F.col("cur").cast("array<double>").alias("cur")), "ends")
+    state = kept(targets.where("_n = 0").select("utt", first.alias("state")), "state")
+    schema = f"utt {targets.schema['utt'].dataType.simpleString()}, step long, unit_id long, cost double"
+    path = fresh_path(spark, "greedy")
+    steps = targets.agg(F.max("_n")).first()[0]
+    for n in range(0 if steps is None else steps + 1):
+        now = targets.where(F.col("_n") == n).join(state, "utt")
+        queries = now.select(F.col("utt").alias("q"), F.lit("").alias("c"), F.concat("state", "target").alias("v"), *(x for x in more if x == "held"))
+        found = knn.search(queries, index, 1, eps)
+        best = kept(found.select(F.col("q").alias("utt"), F.col("x")[0]["u"].alias("unit_id"), F.col("x")[0]["dist2"].alias("cost")), "best")
+        few = best.count() * 64 <= BROADCAST_BYTES // 8
+        new = kept(ends.join(F.broadcast(best) if few else best, "unit_id"), "new")
+        targets.where(F.col("_n") == n).select("utt", "step").join(new, "utt").select("utt", "step", "unit_id", "cost").write.mode("append").parquet(path)
+        after = kept(state.join(new.select("utt", "cur"), "utt", "left").select("utt", F.coalesce("cur", "state").alias("state")), "state")
+        drop(found, best, new, state)
+        state = after
+    drop(state, ends, targets)
+    return spark.read.schema(schema).parquet(path) if steps is not None else spark.createDataFrame([], schema)
 
 
 def candidate_pairs(candidates: DataFrame, n_units: int | None = None, repeats: bool = True, regressions: bool = True) -> DataFrame:
@@ -147,65 +143,162 @@ def join_costs(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
     return pairs.join(a, "from_id").join(b, "to_id").select("from_id", "to_id", cost.alias("cost"))
 
 
-def viterbi(candidates: DataFrame, costs: DataFrame, last_resort: bool = False) -> DataFrame:
+def _repeated(column: pa.ChunkedArray, n: int) -> pa.Array:
+    """The first value of a column, n times."""
+    return pa.array([column[0].as_py()] * n, column.type)
+
+
+#: Steps of a lattice that one task takes; longer lattices are cut into segments of so many.
+SEGMENT = 64
+
+
+class _Segment:
+    """The steps of a segment as dense matrices of the costs of their arcs, target costs of the later step included.
+
+    ids[0] are the candidates of the step before the segment where it has one (its entry), else of its first step."""
+
+    def __init__(self, nodes: pa.Table, arcs: pa.Table, last_resort: bool):
+        nodes = nodes.sort_by([("step", "ascending"), ("unit_id", "ascending")])
+        step, unit, cost, entry = (nodes[c].to_numpy() for c in ("step", "unit_id", "tcost", "entry"))
+        self.steps, first = np.unique(step, return_index=True)
+        self.ids, costs = np.split(unit, first[1:]), np.split(cost, first[1:])
+        self.has_entry = bool(entry[0])
+        self.first = np.zeros(len(self.ids[0])) if self.has_entry else costs[0]
+        a_step, a_from, a_to, a_cost = (arcs[c].to_numpy() for c in ("step", "from_id", "to_id", "cost"))
+        order = np.argsort(a_step, kind="stable")
+        cut = np.searchsorted(a_step[order], [self.steps, self.steps + 1])
+        self.arcs = []
+        for k in range(1, len(self.steps)):
+            own = order[cut[0][k] : cut[1][k]]
+            m = np.full((len(self.ids[k - 1]), len(self.ids[k])), np.inf)
+            if self.steps[k - 1] + 1 == self.steps[k]:
+                np.minimum.at(m, (np.searchsorted(self.ids[k - 1], a_from[own]), np.searchsorted(self.ids[k], a_to[own])), a_cost[own])
+            if last_resort:
+                m[:, np.isinf(m).all(0)] = EMERGENCY
+            self.arcs.append(m + costs[k])
+
+    def product(self) -> np.ndarray:
+        """Least costs from each candidate of the entry (or, without one, from the start) to each one of the last step."""
+        out = np.where(np.eye(len(self.ids[0])), 0.0, np.inf) if self.has_entry else self.first[None]
+        for m in self.arcs:
+            out = np.array([(row[:, None] + m).min(0) for row in out])
+        return out
+
+    def path(self, entry: int | None = None, leave: int | None = None) -> tuple[list[int], float]:
+        """(ids, cost) of the least path, from and to given candidates where they are given; of equal ones that of lesser
+        ids from the end. No ids where none is finite."""
+        reached = [self.first if entry is None else np.where(self.ids[0] == entry, 0.0, np.inf)]
+        via = []
+        for m in self.arcs:
+            through = reached[-1][:, None] + m
+            via.append(through.argmin(0))
+            reached.append(through.min(0))
+        at = int(reached[-1].argmin()) if leave is None else int(np.searchsorted(self.ids[-1], leave))
+        total = float(reached[-1][at])
+        if not np.isfinite(total):
+            return [], total
+        places = [at]
+        for back in reversed(via):
+            places.append(int(back[places[-1]]))
+        ids = [int(own[p]) for own, p in zip(self.ids, reversed(places))]
+        return ids[self.has_entry :], total
+
+
+def _chain(rows: list[tuple], last_resort: bool) -> list[tuple]:
+    """(segment, entry id, last id, total) of the least path through the segments (segment, entry ids or None, last ids,
+    product), in order."""
+    reached, before = None, []
+    for _, entry, last, product in rows:
+        before.append(reached)
+        if entry is not None:
+            reached = (reached[:, None] + product).min(0) if reached is not None else np.full(len(last), np.inf)
+        elif reached is None:
+            reached = product[0]
+        else:  # steps are missing before it
+            reached = reached.min() + EMERGENCY + product[0] if last_resort else np.full(len(last), np.inf)
+    at, total = int(reached.argmin()), float(reached.min())
+    if not np.isfinite(total):
+        return []
+    out = []
+    for (segment, entry, last, product), old in zip(reversed(rows), reversed(before)):
+        leave = last[at]
+        if entry is not None:
+            at = int((old + product[:, at]).argmin())
+        elif old is not None:
+            at = int(old.argmin())
+        out.append((segment, entry[at] if entry is not None else None, leave, total))
+    return out
+
+
+def viterbi(candidates: DataFrame, costs: DataFrame, last_resort: bool = False, segment: int = SEGMENT) -> DataFrame:
     """(utt, step, unit_id, total): the path of the least sum of target and join costs through candidates (utt, step,
     unit_id, tcost); pairs without a join cost are not in the graph. Of equal paths the one of lesser ids from the end.
-
-    The join costs that an utterance needs are joined to its candidates, so a group is one utterance's lattice.
-    With ``last_resort`` a step that cannot be reached is joined at the emergency cost."""
-    a = candidates.select("utt", "step", "unit_id", "tcost")
-    steps = a.select("utt", "step", F.col("unit_id").alias("to_id"), "tcost")
+    An utterance without a path has no rows. With ``last_resort`` a candidate that cannot be reached is joined at the
+    emergency cost. Repeated candidates count once, at their least cost; rows with a null are left out.
+
+    Steps are dense matrices, and paths their min-plus products. These are associative: a lattice of more steps than
+    ``segment`` is cut, each segment's product is a task of its own, an utterance's products (a matrix for each segment)
+    choose the candidates at the cuts, and then each segment finds its path between these."""
+    a = candidates.where("utt IS NOT NULL AND step IS NOT NULL AND unit_id IS NOT NULL AND tcost IS NOT NULL").groupBy("utt", F.col("step").cast("long").alias("step"), F.col("unit_id").cast("long").alias("unit_id")).agg(F.min(F.col("tcost").cast("double")).alias("tcost"))
+    a = kept(a.withColumn("seg", F.floor(F.col("step") / segment)), "lattice")
+    steps = a.select("utt", "step", "seg", F.col("unit_id").alias("to_id"))
     before = a.select("utt", (F.col("step") + 1).alias("step"), F.col("unit_id").alias("from_id"))
-    arcs = steps.join(before, ["utt", "step"]).join(costs, ["from_id", "to_id"]).groupBy("utt", "step", "to_id").agg(F.collect_list(F.struct("from_id", "cost")).alias("arcs"))  # a step's candidates
-    rows = steps.join(arcs, ["utt", "step", "to_id"], "left")
-    schema = T.StructType([T.StructField("utt", candidates.schema["utt"].dataType), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("total", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "to_id"])
-        reached, back, order = {}, [], []
-        for n, (step, own) in enumerate(pdf.groupby("step", sort=True)):
-            now, via = {}, {}
-            for row in own.itertuples():
-                if n == 0:
-                    now[row.to_id], via[row.to_id] = row.tcost, None
-                    continue
-                options = [(reached[x["from_id"]] + x["cost"], x["from_id"]) for x in (row.arcs if row.arcs is not None else []) if x["from_id"] in reached]
-                if not options and last_resort and reached:
-                    options = [min((c, u) for u, c in reached.items())]
-                    options = [(options[0][0] + EMERGENCY, options[0][1])]
-                if options:
-                    cost, at = min(options)
-                    now[row.to_id], via[row.to_id] = cost + row.tcost, at
-            reached = now
-            back.append(via)
-            order.append(step)
-            if not now:
-                return pd.DataFrame(columns=schema.names)
-        total, at = min((c, u) for u, c in reached.items())
-        path = []
-        for via in reversed(back):
-            path.append(at)
-            at = via[at]
-        return pd.DataFrame({"utt": pdf.utt.iloc[0], "step": order, "unit_id": path[::-1], "total": total})
-
-    return rows.groupBy("utt").applyInPandas(run, schema)
-
-
-def tiled(path: list, index: dict, longest: int) -> list[tuple[int, int]]:
-    """(position in the corpus, length) of tiles that cover a path of codes, longest match first; an item without any
-    match is skipped as (-1, 1). index: n-gram (tuple) -> positions."""
-    out, at = [], 0
-    while at < len(path):
-        for n in range(min(longest, len(path) - at), 0, -1):
-            found = index.get(tuple(path[at : at + n]))
-            if found:
-                out.append((found[0], n))
-                break
-        else:
-            n = 1
-            out.append((-1, 1))
-        at += n
-    return out
+    arcs = kept(steps.join(before, ["utt", "step"]).join(costs.select("from_id", "to_id", F.col("cost").cast("double").alias("cost")).where("cost IS NOT NULL"), ["from_id", "to_id"]).select("utt", "seg", "step", "from_id", "to_id", "cost"), "arcs")
+    entry = a.where(F.pmod(F.col("step") + 1, F.lit(segment)) == 0).withColumn("seg", F.col("seg") + 1)
+    there = a.groupBy("utt", "seg").agg(F.count(F.lit(1)).alias("_"))  # a segment that only has an entry is none
+    nodes = a.withColumn("entry", F.lit(False)).unionByName(entry.join(there.drop("_"), ["utt", "seg"], "left_semi").withColumn("entry", F.lit(True)))
+    many = there.groupBy("utt").agg(F.count(F.lit(1)).alias("segs"))
+    nodes = kept(nodes.join(many, "utt"), "nodes")
+    kind = candidates.schema["utt"].dataType.simpleString()
+    out = f"utt {kind}, step long, unit_id long, total double"
+
+    def rows(t: pa.Table, seg: _Segment, ids: list[int], total: float) -> pa.Table:
+        own = seg.steps[seg.has_entry :] if ids else seg.steps[:0]
+        return pa.table([_repeated(t["utt"], len(own)), pa.array(own, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.full(len(own), total), pa.float64())], want.names).cast(want)
+
+    def alone(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows:
+            return want.empty_table()
+        seg = _Segment(x, y, last_resort)
+        return rows(x, seg, *seg.path())
+
+    want = to_arrow_schema(T.StructType.fromDDL(out))
+    keys = ["utt", "seg"]
+    parts = nodes.where("segs = 1").groupBy(*keys).cogroup(arcs.join(many.where("segs = 1"), "utt", "left_semi").groupBy(*keys)).applyInArrow(alone, out)
+    if nodes.where("segs > 1").isEmpty():
+        return parts
+    long_nodes, long_arcs = nodes.where("segs > 1"), arcs.join(many.where("segs > 1"), "utt", "left_semi")
+    matrix = f"utt {kind}, seg long, entry array<long>, last array<long>, cost array<double>"
+    flat = to_arrow_schema(T.StructType.fromDDL(matrix))
+
+    def products(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows:
+            return flat.empty_table()
+        seg = _Segment(x, y, last_resort)
+        row = [x["utt"][:1], x["seg"][:1], pa.array([seg.ids[0].tolist() if seg.has_entry else None], flat.types[2]), pa.array([seg.ids[-1].tolist()], flat.types[3]), pa.array([seg.product().ravel().tolist()], flat.types[4])]
+        return pa.table(row, flat.names).cast(flat)
+
+    ends = f"utt {kind}, seg long, came long, leave long, total double"
+    end = to_arrow_schema(T.StructType.fromDDL(ends))
+
+    def chain(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seg")
+        found = [(s, e, l, np.array(c).reshape(-1, len(l))) for s, e, l, c in zip(*(t[c].to_pylist() for c in ("seg", "entry", "last", "cost")))]
+        done = _chain(found, last_resort)
+        return pa.table([_repeated(t["utt"], len(done)), *(pa.array([r[i] for r in done], end.types[i + 1]) for i in range(4))], end.names).cast(end)
+
+    met = long_nodes.groupBy(*keys).cogroup(long_arcs.groupBy(*keys)).applyInArrow(products, matrix)
+    chosen = kept(met.groupBy("utt").applyInArrow(chain, ends), "cuts")
+
+    def between(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows:
+            return want.empty_table()
+        seg = _Segment(x, y, last_resort)
+        ids, _ = seg.path(x["came"][0].as_py(), x["leave"][0].as_py())
+        return rows(x, seg, ids, x["total"][0].as_py())
+
+    found = long_nodes.join(chosen, keys).groupBy(*keys).cogroup(long_arcs.groupBy(*keys)).applyInArrow(between, out)
+    return parts.unionByName(found)
 
 
 def ngrams(tokens: DataFrame, doc: str, ix: str, token: str, size: int) -> DataFrame:

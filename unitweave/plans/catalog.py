@@ -194,14 +194,16 @@ def interval_state_join(spark, d):
 @_query(f"WITH {_E}, p AS (SELECT a.vec_id AS q, b.vec_id AS u, list_distance(a.v, b.v) AS x, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id) SELECT q, CAST(r AS INTEGER) AS rank, u, round(x * x, 6) AS dist2 FROM p WHERE r <= 5")
 def knn_exact(spark, d):
     e = _vectors(spark, d)
-    out = knn.k_nearest(e.select(F.col("vec_id").alias("q"), "v"), e.select(F.col("vec_id").alias("u"), "v"), 5, exclude_self=True)
+    units = e.select(F.col("vec_id").alias("u"), "v")
+    out = knn.k_nearest(e.select(F.col("vec_id").alias("q"), "v"), units, 5, exclude_self=True, index=knn.build(units, copies=6))
     return out.select("q", "rank", "u", _r(F.col("dist2")).alias("dist2"))
 
 
 @_query(f"WITH {_E}, p AS (SELECT a.vec_id AS q, b.vec_id AS u, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT q, CAST(r AS INTEGER) AS rank, u FROM p WHERE r <= 3")
 def knn_by_class(spark, d):
     e = _vectors(spark, d)
-    return knn.k_nearest(e.select(F.col("vec_id").alias("q"), "v", "label"), e.select(F.col("vec_id").alias("u"), "v", "label"), 3, by="label", exclude_self=True).select("q", "rank", "u")
+    units = e.select(F.col("vec_id").alias("u"), "v", "label")
+    return knn.k_nearest(e.select(F.col("vec_id").alias("q"), "v", "label"), units, 3, by="label", exclude_self=True, index=knn.build(units, "label", 4)).select("q", "rank", "u")
 
 
 @_query(f"WITH {_E} SELECT a.vec_id AS q, count(*) FILTER (WHERE a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 1.2) AS n FROM e a, e b GROUP BY a.vec_id")
@@ -358,6 +360,27 @@ def label_merge(spark, d):
     return phone_labels(c)
 
 
+@_query(
+    f"WITH {_E}, p AS (SELECT a.vec_id AS start_id, b.vec_id AS end_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v[1:24], b.v[41:64]), b.vec_id) AS r, list_distance(a.v[1:24], b.v[41:64]) AS x FROM e a, e b),"
+    " n AS (SELECT a.vec_id AS end_id, count(*) FILTER (WHERE list_distance(a.v[41:64], b.v[1:24]) <= 0.9) AS n_starts FROM e a, e b GROUP BY a.vec_id)"
+    " SELECT start_id, CAST(r AS INTEGER) AS rank, end_id, round(x * x, 6) AS dist2, n_starts FROM p JOIN n USING (end_id) WHERE r <= 4"
+)
+def starts_to_ends(spark, d):
+    """The unit ends that are nearest to each unit's start, with the starts that are near each of these ends: two
+    searches, of which the second reads an index that was stored before."""
+    from unitweave.sources.scratch import fresh_path
+
+    e = _vectors(spark, d)
+    starts = e.select("vec_id", vectors.stream_slice(F.col("v"), 0, 24).alias("v"))
+    ends = e.select("vec_id", vectors.stream_slice(F.col("v"), 40, 24).alias("v"))
+    units, at = ends.withColumnRenamed("vec_id", "u"), fresh_path(spark, "starts")
+    near = knn.k_nearest(starts.withColumnRenamed("vec_id", "q"), units, 4, index=knn.build(units, copies=4))
+    knn.build(starts.withColumnRenamed("vec_id", "u"), copies=1, path=at)
+    counts = knn.radius_counts(ends.withColumnRenamed("vec_id", "q"), starts.withColumnRenamed("vec_id", "u"), 0.9, index=knn.read(spark, at))
+    out = near.join(counts.select(F.col("q").alias("u"), F.col("n").alias("n_starts")), "u")
+    return out.select(F.col("q").alias("start_id"), "rank", F.col("u").alias("end_id"), _r(F.col("dist2")).alias("dist2"), "n_starts")
+
+
 # --- search, assembly and diagnostics ---------------------------------------------------------------------------
 
 #: Join weight of the search queries, and steps of an utterance.
@@ -371,19 +394,35 @@ def _targets(spark, d) -> DataFrame:
     return _vectors(spark, d).select(F.floor(F.col("vec_id") / STEPS).alias("utt"), (F.col("vec_id") % STEPS).alias("step"), t.alias("target"))
 
 
-@_query(
-    f"WITH RECURSIVE {_TARGETS}, u AS (SELECT e.vec_id AS id, list_transform(coalesce(p.v, e.v), lambda x: x * {JOIN_WEIGHT}) AS prev, e.v AS t, list_transform(e.v, lambda x: x * {JOIN_WEIGHT}) AS cur FROM e LEFT JOIN e p ON p.vec_id = e.vec_id - 1),"
-    " path(utt, step, id, cost) AS (SELECT * FROM (SELECT utt, step, arg_min(u.id, list_sum(list_transform(u.prev, lambda x: x * x)) + pow(list_distance(u.t, tg.t), 2)) AS id, min(list_sum(list_transform(u.prev, lambda x: x * x)) + pow(list_distance(u.t, tg.t), 2)) AS cost FROM tg, u WHERE step = 0 GROUP BY utt, step)"
-    " UNION ALL SELECT * FROM (SELECT p.utt, p.step + 1 AS step, arg_min(u.id, pow(list_distance(u.prev, c.cur), 2) + pow(list_distance(u.t, tg.t), 2)) AS id, min(pow(list_distance(u.prev, c.cur), 2) + pow(list_distance(u.t, tg.t), 2)) AS cost FROM path p JOIN tg ON tg.utt = p.utt AND tg.step = p.step + 1 JOIN u c ON c.id = p.id, u GROUP BY p.utt, p.step))"
-    " SELECT utt, step, id AS unit_id, round(cost, 6) AS cost FROM path"
-)
-def greedy_search(spark, d):
-    """The flagship: greedy joint search of every utterance over all units."""
+def _greedy_sql(steps: int) -> str:
+    targets = _TARGETS.replace(f"// {STEPS} ", f"// {steps} ").replace(f"% {STEPS} ", f"% {steps} ")
+    return (
+        f"WITH RECURSIVE {targets}, u AS (SELECT e.vec_id AS id, list_transform(coalesce(p.v, e.v), lambda x: x * {JOIN_WEIGHT}) AS prev, e.v AS t, list_transform(e.v, lambda x: x * {JOIN_WEIGHT}) AS cur FROM e LEFT JOIN e p ON p.vec_id = e.vec_id - 1),"
+        " path(utt, step, id, cost) AS (SELECT * FROM (SELECT utt, step, arg_min(u.id, list_sum(list_transform(u.prev, lambda x: x * x)) + pow(list_distance(u.t, tg.t), 2)) AS id, min(list_sum(list_transform(u.prev, lambda x: x * x)) + pow(list_distance(u.t, tg.t), 2)) AS cost FROM tg, u WHERE step = 0 GROUP BY utt, step)"
+        " UNION ALL SELECT * FROM (SELECT p.utt, p.step + 1 AS step, arg_min(u.id, pow(list_distance(u.prev, c.cur), 2) + pow(list_distance(u.t, tg.t), 2)) AS id, min(pow(list_distance(u.prev, c.cur), 2) + pow(list_distance(u.t, tg.t), 2)) AS cost FROM path p JOIN tg ON tg.utt = p.utt AND tg.step = p.step + 1 JOIN u c ON c.id = p.id, u GROUP BY p.utt, p.step))"
+        " SELECT utt, step, id AS unit_id, round(cost, 6) AS cost FROM path"
+    )
+
+
+def _joint_units(spark, d) -> DataFrame:
     e = _vectors(spark, d)
     scaled = lambda c: F.transform(c, lambda x: x * JOIN_WEIGHT)
     before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("p"))
-    units = e.join(before, "vec_id", "left").select(F.col("vec_id").alias("unit_id"), scaled(F.coalesce("p", "v")).alias("prev"), F.col("v").alias("target"), scaled(F.col("v")).alias("cur"))
-    return search.greedy_search(units, _targets(spark, d)).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
+    return e.join(before, "vec_id", "left").select(F.col("vec_id").alias("unit_id"), scaled(F.coalesce("p", "v")).alias("prev"), F.col("v").alias("target"), scaled(F.col("v")).alias("cur"))
+
+
+@_query(_greedy_sql(STEPS))
+def greedy_search(spark, d):
+    """The flagship: greedy joint search of every utterance over all units."""
+    return search.greedy_search(_joint_units(spark, d), _targets(spark, d)).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
+
+
+@_query(_greedy_sql(2))
+def greedy_in_place(spark, d):
+    """The same search of utterances of two steps, over an index of units that stay in place."""
+    units = _joint_units(spark, d)
+    targets = _targets(spark, d).select((F.col("utt") * STEPS + F.col("step")).alias("i"), "target").select(F.floor(F.col("i") / 2).alias("utt"), (F.col("i") % 2).alias("step"), "target")
+    return search.greedy_search(units, targets, index=search.joint_index(units)).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
 
 
 _CANDIDATES = f"{_TARGETS}, c AS (SELECT utt, step, e.vec_id AS id, list_distance(tg.t, e.v) AS tc, row_number() OVER (PARTITION BY utt, step ORDER BY list_distance(tg.t, e.v), e.vec_id) AS r FROM tg, e QUALIFY r <= 5)"
@@ -428,6 +467,29 @@ def viterbi_search(spark, d):
     return _viterbi(spark, d).select("utt", "step", "unit_id", _r(F.col("total")).alias("total"))
 
 
+_RESORT = _VITERBI.replace(
+    "e y ON y.vec_id = b.id),",
+    "e y ON y.vec_id = b.id WHERE (a.id + b.id) % 4 = 0 AND b.step % 3 <> 0), own AS (SELECT * FROM arc), resort AS (SELECT b.utt, b.step, a.id AS f, b.id AS t, 5e8 + b.tc AS cost FROM c b JOIN c a ON b.utt = a.utt AND b.step = a.step + 1 ANTI JOIN own ON own.utt = b.utt AND own.step = b.step AND own.t = b.id), every AS (SELECT * FROM own UNION ALL SELECT * FROM resort),",
+).replace("FROM best JOIN arc ON arc.utt = best.utt AND arc.step = best.step + 1 AND arc.f = best.id GROUP BY arc.utt, arc.step, arc.t", "FROM best JOIN every AS arc ON arc.utt = best.utt AND arc.step = best.step + 1 AND arc.f = best.id GROUP BY arc.utt, arc.step, arc.t")
+
+
+@_query(f"WITH RECURSIVE {_RESORT} SELECT utt, step, unit_id, round(total / 1e6, 3) AS total FROM vp")
+def viterbi_last_resort(spark, d):
+    """Shortest paths where three of four joins are missing, and all into every third step: the candidates that nothing
+    leads to are joined at the emergency cost. Lattices are cut into segments of eight steps."""
+    c, e = _candidates(spark, d), _vectors(spark, d)
+    contexts = e.select(F.col("vec_id").alias("unit_id"), F.col("v").alias("start"), F.col("v").alias("end"))
+    at = c.select("utt", "step", "unit_id")
+    before = at.select("utt", (F.col("step") + 1).alias("step"), F.col("unit_id").alias("from_id"))
+    pairs = at.where("step % 3 <> 0").withColumnRenamed("unit_id", "to_id").join(before, ["utt", "step"]).where("(from_id + to_id) % 4 = 0").select("from_id", "to_id").distinct()
+    # The graph knows pairs of units, not steps: units of every third step get names of their own.
+    named = c.select("utt", "step", (F.col("unit_id") * 2 + (F.col("step") % 3 == 0).cast("int")).alias("unit_id"), "tcost")
+    costs = search.join_costs(pairs, contexts).select((F.col("from_id") * 2).alias("from_id"), (F.col("to_id") * 2).alias("to_id"), "cost")
+    costs = costs.unionByName(costs.withColumn("from_id", F.col("from_id") + 1))
+    found = search.viterbi(named, costs, last_resort=True, segment=8)
+    return found.select("utt", "step", F.floor(F.col("unit_id") / 2).alias("unit_id"), _r(F.col("total") / 1e6, 3).alias("total"))
+
+
 @_query(f"WITH RECURSIVE {_VITERBI}, j AS (SELECT utt, lead(unit_id) OVER (PARTITION BY utt ORDER BY step) <> unit_id + 1 AS cut FROM vp) SELECT utt, count(*) FILTER (WHERE cut) AS n_joins, round(CASE WHEN count(*) > 1 THEN count(*) FILTER (WHERE cut) * 100.0 / (count(*) - 1) ELSE 0 END, 6) AS percent FROM j GROUP BY utt")
 def join_rate(spark, d):
     return diagnostics.join_rate(_viterbi(spark, d)).select("utt", "n_joins", _r(F.col("percent").cast("double")).alias("percent"))
