@@ -368,38 +368,47 @@ def every_nth_unit(spark, n: int, size: int = 1) -> DataFrame:
 def transition_walks(units: DataFrame, starts: DataFrame, steps: int, seed: int = 1234) -> DataFrame:
     """(walk, step, unit_id): uniform walks over the transition table of units (unit_id, phone, half) from starts (walk,
     unit_id), all walks a step at a time. The transitions of a unit are the units of one phone and half, so that a draw
-    is a rank among them and a step an equi join; the table itself is not made. A walk ends where there is none."""
-    from pyspark.sql import Window
-
+    is a rank among them and a step an equi join; the table itself is not made. A walk ends where there is none. Ranks
+    come from ranges, so that a frequent phone is no single task's, and each step is stored before the next."""
     from unitweave.operators.joins import successors
+    from unitweave.operators.select import ranked_within
 
-    ranked = units.withColumn("_r", F.row_number().over(Window.partitionBy("phone", "half").orderBy("unit_id")) - 1)
-    sizes = units.groupBy("phone", "half").agg(F.count(F.lit(1)).alias("_n"))
+    # A draw meets one unit of a phone and half: (place, rank) is a key without repeats.
+    named = units.select("unit_id", F.concat_ws("|", "phone", "half").alias("place"))
+    ranked = kept(ranked_within(named, "place", "unit_id", "_r").withColumnRenamed("unit_id", "to_id"), "ranked")
+    sizes = ranked.groupBy("place").agg(F.count(F.lit(1)).alias("_n"))
     nxt = successors(units, "unit_id", "phone").select(F.col("from_id").alias("unit_id"), "to_phone")
-    wanted = units.join(nxt, "unit_id", "left").select("unit_id", F.when(F.col("half") == "L", F.col("phone")).otherwise(F.col("to_phone")).alias("phone"), F.when(F.col("half") == "L", F.lit("R")).otherwise(F.lit("L")).alias("half")).join(sizes, ["phone", "half"])
-    now = starts.select("walk", F.lit(0).alias("step"), "unit_id")
-    out = now
+    phone = F.when(F.col("half") == "L", F.col("phone")).otherwise(F.col("to_phone"))
+    wanted = units.join(nxt, "unit_id", "left").where(phone.isNotNull()).select("unit_id", F.concat_ws("|", phone, F.when(F.col("half") == "L", F.lit("R")).otherwise(F.lit("L"))).alias("place"))
+    wanted = kept(wanted.join(sizes, "place"), "wanted")
+    path = fresh_path(units.sparkSession, "walks")
+    schema = starts.select("walk", F.lit(0).alias("step"), "unit_id").schema
+    now = starts.select("walk", "unit_id")
+    now.select("walk", F.lit(0).alias("step"), "unit_id").write.parquet(path)
+    stored = None
     for k in range(1, steps + 1):
         draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("walk").cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("long")
-        here = now.select("walk", "unit_id").join(wanted, "unit_id").select("walk", "phone", "half", (draw % F.col("_n")).alias("_r"))
-        now = here.join(ranked, ["phone", "half", "_r"]).select("walk", F.lit(k).alias("step"), "unit_id")
-        out = out.unionByName(now)
-    return out
+        here = now.join(wanted, "unit_id").select("walk", "place", (draw % F.col("_n")).alias("_r"))
+        after = kept(here.join(ranked, ["place", "_r"]).select("walk", F.lit(k).alias("step"), F.col("to_id").alias("unit_id")), "step")
+        after.write.mode("append").parquet(path)
+        drop(*([stored] if stored is not None else []))
+        now, stored = after.select("walk", "unit_id"), after
+    drop(ranked, wanted, *([stored] if stored is not None else []))
+    return units.sparkSession.read.schema(schema).parquet(path)
 
 
 def _runs_of(codes: DataFrame, doc: str | None, size: int, least: int = 1) -> DataFrame:
-    """(doc, ix, n, gram) of all runs of ``least`` to ``size`` codes of (doc, ix, code), by joins on the next places."""
-    from functools import reduce
-
+    """(doc, ix, n, gram) of all runs of ``least`` to ``size`` codes of (doc, ix, code). Each code goes to the ``size``
+    places whose run it can be in; a place sorts what it gets, and its runs are the prefixes of that."""
     keys = [doc] if doc else []
-    base = codes.select(*keys, "ix", F.col("code").cast("string").alias("code"))
-    run, out = base.withColumnRenamed("code", "gram"), []
-    for n in range(1, size + 1):
-        if n > 1:
-            run = run.join(base.select(*keys, (F.col("ix") - (n - 1)).alias("ix"), "code"), [*keys, "ix"]).select(*keys, "ix", F.concat_ws(" ", "gram", "code").alias("gram"))
-        if n >= least:
-            out.append(run.select(*keys, "ix", F.lit(n).alias("n"), "gram"))
-    return reduce(DataFrame.unionByName, out)
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+    sent = codes.select(*keys, F.col("ix").cast("long").alias("_at"), F.col("code").cast("string").alias("code"), place.alias("_j"))
+    sent = sent.select(*keys, (F.col("_at") - F.col("_j")).alias("ix"), "_j", "code")
+    got = sent.groupBy(*keys, "ix").agg(F.array_sort(F.collect_list(F.struct("_j", "code"))).alias("x"))  # at most `size` codes
+    whole = F.filter("x", lambda e, i: e["_j"] == i)  # up to the first gap
+    got = got.select(*keys, "ix", F.transform(whole, lambda e: e["code"]).alias("x")).where(F.size("x") >= least)
+    n = F.explode(F.sequence(F.lit(least), F.size("x")))
+    return got.select(*keys, "ix", "x", n.alias("n")).select(*keys, "ix", "n", F.array_join(F.slice("x", F.lit(1), F.col("n")), " ").alias("gram"))
 
 
 def tile_paths(paths: DataFrame, corpus: DataFrame, longest: int) -> DataFrame:

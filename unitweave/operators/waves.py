@@ -16,6 +16,8 @@ from unitweave.operators import assemble, joins
 
 #: Bounds of transposed F0, frames that a reference is taken from, and frames between voiced parts at most.
 LOWEST_F0, HIGHEST_F0, REFERENCE, APART = 48.0, 420.0, 4, 8
+#: Fixed value: F0 below it is what lies between voiced and unvoiced frames.
+VOICED_FROM = 100.0
 
 
 def dilated_filter(factor: float, outputs: int) -> list[list[float]]:
@@ -94,36 +96,48 @@ def concatenated(bounds: DataFrame, samples: DataFrame, fade: int) -> DataFrame:
     return assemble.waveform(rows.select("utt", "step", F.col("x.value").alias("samples")), fade)
 
 
+def octave_factors(segments: DataFrame) -> DataFrame:
+    """(utt, segment, factor) of segments (utt, segment, head, tail, first, last, n, low, high) in the order of their
+    numbers. head and tail are what a segment has for reference at its ends; the scaled tail of the one before decides."""
+    rows = F.array_sort(F.collect_list(F.struct("segment", "head", "tail", "first", "last", "n", "low", "high")))
+    start = F.struct(F.lit(None).cast("double").alias("tail"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("factors"))
+
+    def follow(state: Column, x: Column) -> Column:
+        usable = (state["n"] > REFERENCE) & (x["n"] > REFERENCE) & (x["first"] - state["last"] < APART)
+        above = x["head"] > state["tail"]
+        ratio = F.bround(F.greatest(x["head"] / state["tail"], state["tail"] / x["head"]))
+        inside = F.when(above, F.coalesce(x["low"] / ratio > LOWEST_F0, F.lit(True))).otherwise(F.coalesce(x["high"] * ratio < HIGHEST_F0, F.lit(True)))
+        factor = F.when(usable & inside, F.when(above, 1 / ratio).otherwise(ratio)).otherwise(F.lit(1.0))
+        return F.struct((x["tail"] * factor).alias("tail"), x["last"].alias("last"), x["n"].alias("n"), F.concat(state["factors"], F.array(factor)).alias("factors"))
+
+    folded = segments.groupBy("utt").agg(rows.alias("x")).select("utt", "x", F.aggregate("x", start, follow)["factors"].alias("f"))  # a row for each segment
+    return folded.select("utt", F.explode(F.arrays_zip("x", "f")).alias("y")).select("utt", F.col("y.x.segment").alias("segment"), F.col("y.x.n").alias("n"), F.col("y.f").alias("factor"))
+
+
 def transposed(frames: DataFrame) -> DataFrame:
     """(utt, frame, f0, factor): F0 of (utt, frame, segment, f0; 0: unvoiced) moved by octaves, so that segments meet.
 
-    From left to right a segment is divided or multiplied by the rounded ratio of the medians of the voiced frames on
-    both sides of its start (not the very last and first), unless these are few or far apart or it would leave the
-    range; then all is divided by the most frequent factor (the least of equal ones). Each segment depends on the one
-    before it, so an utterance is one group."""
-    schema = T.StructType([T.StructField("utt", frames.schema["utt"].dataType), T.StructField("frame", T.LongType()), T.StructField("f0", T.DoubleType()), T.StructField("factor", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        own, f0 = pdf.segment.to_numpy(), pdf.f0.to_numpy(float)
-        out, heads = f0.copy(), np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        ends = np.r_[heads[1:], len(f0)]
-        for k in range(1, len(heads)):
-            a, b, c = heads[k - 1], heads[k], ends[k]
-            before, here = a + np.flatnonzero(out[a:b] > 0), b + np.flatnonzero(out[b:c] > 0)
-            if not len(before) or not len(here) or here[0] - before[-1] >= APART or min(len(before), len(here)) < REFERENCE + 1:
-                continue
-            old, new = np.median(out[before[-REFERENCE - 1 : -1]]), np.median(out[here[1 : REFERENCE + 1]])
-            moved = out[b:c] / np.round(new / old) if new > old else out[b:c] * np.round(old / new)
-            if (moved[1:] > LOWEST_F0).all() if new > old else (moved[1:] < HIGHEST_F0).all():
-                out[b:c] = moved
-        voiced = f0 > 0
-        if voiced.any():
-            values, counts = np.unique(np.round(out[voiced] / f0[voiced], 9), return_counts=True)
-            out = out / values[counts.argmax()]
-        return pd.DataFrame({"utt": pdf.utt.iloc[0], "frame": pdf.frame.to_numpy(), "f0": out, "factor": np.where(voiced, out / np.where(voiced, f0, 1), 1.0)})
-
-    return frames.select("utt", F.col("frame").cast("long").alias("frame"), "segment", F.col("f0").cast("double").alias("f0")).groupBy("utt").applyInPandas(run, schema)
+    A segment is divided or multiplied by the rounded ratio of two medians of ``REFERENCE`` voiced frames: those before
+    the last one of the segment before it, and its own after its first; not where these are missing or ``APART`` frames
+    from each other, nor where it would leave the range. Then all is divided by the factor of most voiced frames (the
+    least of equal ones). Segments are summed up by aggregation, and only these sums are folded, in expressions."""
+    over = Window.partitionBy("utt").orderBy("frame")
+    f = frames.select("utt", F.col("frame").cast("long").alias("frame"), "segment", F.col("f0").cast("double").alias("f0"))
+    f = f.withColumns({"i": F.row_number().over(over).cast("long"), "_new": (~F.col("segment").eqNullSafe(F.lag("segment").over(over))).cast("long"), "voiced": F.col("f0") > 0})
+    f = f.withColumn("_g", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("utt", "_g")
+    f = f.withColumns({"_up": F.sum(F.col("voiced").cast("long")).over(inside.orderBy("i")), "_down": F.sum(F.col("voiced").cast("long")).over(inside.orderBy(F.desc("i"))), "_first": F.min("i").over(inside)})
+    only = lambda condition: F.when(condition, F.col("f0"))
+    voiced, rest = F.col("voiced"), F.col("i") > F.col("_first")
+    segments = f.groupBy("utt", F.col("_g").alias("segment")).agg(
+        F.median(only(voiced & F.col("_up").between(2, REFERENCE + 1))).alias("head"), F.median(only(voiced & F.col("_down").between(2, REFERENCE + 1))).alias("tail"),
+        F.min(F.when(voiced, F.col("i"))).alias("first"), F.max(F.when(voiced, F.col("i"))).alias("last"), F.count(F.when(voiced, 1)).alias("n"), F.min(only(rest)).alias("low"), F.max(only(rest)).alias("high"),
+    )
+    factors = octave_factors(segments)
+    common = factors.where("n > 0").groupBy("utt", "factor").agg(F.sum("n").alias("n")).groupBy("utt").agg(F.min(F.struct((-F.col("n")).alias("n"), "factor"))["factor"].alias("common"))
+    done = f.join(factors.select("utt", F.col("segment").alias("_g"), "factor"), ["utt", "_g"]).join(common, "utt", "left")
+    factor = F.when(voiced, F.col("factor") / F.col("common")).otherwise(F.lit(1.0))
+    return done.select("utt", "frame", F.when(voiced, F.col("f0") * F.col("factor") / F.col("common")).otherwise(F.col("f0")).alias("f0"), factor.alias("factor"))
 
 
 def duration_of(f0: Column, unvoiced_ms: float = 5.0) -> Column:
@@ -133,20 +147,37 @@ def duration_of(f0: Column, unvoiced_ms: float = 5.0) -> Column:
 
 
 def durations_imposed(units: DataFrame, first: int = 2, shortest: int = 3) -> DataFrame:
-    """(utt, step, f0): arrays of F0 of units (utt, step, f0, target_ms, confidence), read anew between their values so
-    that they last as long as wanted, by the confidence. The first two units, the last, and those of up to three frames
-    stay."""
+    """(utt, step, f0[, frames]): arrays of F0 of units (utt, step, f0, target_ms, confidence), read anew between their
+    values so that they last as long as wanted, by the confidence; what falls below ``VOICED_FROM`` between voiced and
+    unvoiced frames is unvoiced. A column ``frames`` (array of spectra, with the same number of further frames around
+    F0's) is read anew likewise, each coefficient between its neighbours in time. The first two units, the last, and
+    those of up to three frames stay."""
     w = Window.partitionBy("utt")
-    f0 = F.col("f0").cast("array<double>")
-    rows = units.select("utt", "step", f0.alias("f0"), "target_ms", "confidence").withColumns({"_n": F.size("f0"), "_ms": duration_of(F.col("f0")), "_s": F.min("step").over(w), "_e": F.max("step").over(w)})
+    more = ["frames"] if "frames" in units.columns else []
+    rows = units.select("utt", "step", F.col("f0").cast("array<double>").alias("f0"), "target_ms", "confidence", *(F.col(c).cast("array<array<double>>").alias(c) for c in more))
+    rows = rows.withColumns({"_n": F.size("f0"), "_ms": duration_of(F.col("f0")), "_s": F.min("step").over(w), "_e": F.max("step").over(w)})
     wanted = (1 - F.col("confidence")) * F.col("_ms") + F.col("confidence") * F.col("target_ms")
     rows = rows.withColumn("_k", F.floor(F.col("_n") * F.try_divide(wanted, F.col("_ms"))).cast("int"))
-    place = lambda i: F.coalesce(F.try_divide(i * (F.col("_n") - 1), F.col("_k") - 1), F.lit(0.0))
 
-    def read(i: Column) -> Column:
-        low = F.floor(place(i)).cast("int")
-        high = F.least(low + 1, F.col("_n") - 1)
-        return F.get("f0", low) + (F.get("f0", high) - F.get("f0", low)) * (place(i) - low)
+    def again(x: str, n: Column, k: Column, between) -> Column:
+        """k values at equal distances from the first to the last of the n values of an array."""
+
+        def read(i: Column) -> Column:
+            place = F.coalesce(F.try_divide(i * (n - 1), k - 1), F.lit(0.0))
+            low = F.floor(place).cast("int")
+            return between(F.get(x, low), F.get(x, F.least(low + 1, n - 1)), place - low)
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), read)
+
+    def voiced(a: Column, b: Column, share: Column) -> Column:
+        value = a + (b - a) * share
+        return F.when(value < VOICED_FROM, F.lit(0.0)).otherwise(value)
 
     changed = (F.col("step") >= F.col("_s") + first) & (F.col("step") != F.col("_e")) & (F.col("_n") > shortest) & (F.col("_k") > 0)
-    return rows.select("utt", "step", F.when(changed, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_k"), F.lit(1)) - 1), read)).otherwise(F.col("f0")).alias("f0"))
+    n, k = F.col("_n"), F.col("_k")
+    out = [F.when(changed, again("f0", n, k, voiced)).otherwise(F.col("f0")).alias("f0")]
+    if more:
+        size = F.size("frames")
+        mixed = lambda a, b, share: F.zip_with(a, b, lambda x, y: x + (y - x) * share)
+        out.append(F.when(changed, again("frames", size, k + size - n, mixed)).otherwise(F.col("frames")).alias("frames"))
+    return rows.select("utt", "step", *out)

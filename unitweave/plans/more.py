@@ -292,21 +292,27 @@ def segments_concatenated(spark, d):
     return waves.concatenated(_bounds(spark, d), samples, 4).select("utt", "pos", _r(F.col("value")).alias("value"))
 
 
-@_query()
+@_query(
+    f"WITH RECURSIVE {_TR}, f AS (SELECT utt, ix AS frame, ix // 12 AS seg, f0 * 5 AS f0 FROM t), r AS (SELECT *, sum(CASE WHEN f0 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY utt, seg ORDER BY frame) AS up, sum(CASE WHEN f0 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY utt, seg ORDER BY frame DESC) AS down FROM f),"
+    " s AS (SELECT utt, seg, median(f0) FILTER (WHERE f0 > 0 AND up BETWEEN 2 AND 5) AS head, median(f0) FILTER (WHERE f0 > 0 AND down BETWEEN 2 AND 5) AS tail, min(frame) FILTER (WHERE f0 > 0) AS a, max(frame) FILTER (WHERE f0 > 0) AS b, count(*) FILTER (WHERE f0 > 0) AS n, min(f0) FILTER (WHERE frame > seg * 12) AS low, max(f0) FILTER (WHERE frame > seg * 12) AS high FROM r GROUP BY utt, seg),"
+    " g(utt, seg, tail, b, n, factor) AS (SELECT utt, seg, tail, b, n, CAST(1 AS DOUBLE) FROM s WHERE seg = 0 UNION ALL SELECT utt, seg, tail * factor, b, n, factor FROM (SELECT s.utt, s.seg, s.tail, s.b, s.n, CAST(CASE WHEN NOT coalesce(g.n >= 5 AND s.n >= 5 AND s.a - g.b < 8, FALSE) THEN 1 WHEN s.head > g.tail THEN CASE WHEN coalesce(s.low / round_even(s.head / g.tail, 0) > 48, TRUE) THEN 1 / round_even(s.head / g.tail, 0) ELSE 1 END WHEN coalesce(s.high * round_even(g.tail / s.head, 0) < 420, TRUE) THEN round_even(g.tail / s.head, 0) ELSE 1 END AS DOUBLE) AS factor FROM g JOIN s ON s.utt = g.utt AND s.seg = g.seg + 1)),"
+    " m AS (SELECT utt, arg_min(factor, (-n, factor)) AS common FROM (SELECT utt, factor, sum(n) AS n FROM g WHERE n > 0 GROUP BY utt, factor) GROUP BY utt)"
+    " SELECT f.utt, f.frame, round(CASE WHEN f0 > 0 THEN f0 * factor / common ELSE f0 END, 6) AS f0, round(CASE WHEN f0 > 0 THEN factor / common ELSE 1 END, 6) AS factor FROM f JOIN g USING (utt, seg) LEFT JOIN m USING (utt)"
+)
 def octaves_joined(spark, d):
-    """F0 moved by octaves between segments; each depends on the one before, so no SQL (tested by hand)."""
+    """F0 moved by octaves between segments of twelve frames; each factor depends on the one before."""
     t = _tracks(spark, d).select("utt", F.col("ix").alias("frame"), F.floor(F.col("ix") / 12).alias("segment"), (F.col("f0") * 5).alias("f0"))
     return waves.transposed(t).select("utt", "frame", _r(F.col("f0")).alias("f0"), _r(F.col("factor")).alias("factor"))
 
 
 @_query(
     f"WITH {_E}, u AS (SELECT vec_id // 25 AS utt, vec_id % 25 AS step, list_transform(v[1:8], lambda x: CASE WHEN x > 0 THEN 100 + 300 * x ELSE 0.0 END) AS f, 30.0 + label AS ms, 0.5 AS c FROM e), a AS (SELECT *, list_sum(list_transform(range(8), lambda i: CASE WHEN f[i + 1] <= 0 THEN 5.0 WHEN i > 0 THEN 1000.0 / f[i + 1] ELSE 0 END)) AS dur, min(step) OVER (PARTITION BY utt) AS s0, max(step) OVER (PARTITION BY utt) AS s1 FROM u),"
-    " b AS (SELECT *, CAST(floor(8 * ((1 - c) * dur + c * ms) / dur) AS BIGINT) AS k FROM a), g AS (SELECT utt, step, CASE WHEN step >= s0 + 2 AND step <> s1 AND k > 0 THEN list_transform(range(k), lambda i: f[CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1] + (f[least(CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1, 7) + 1] - f[CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1]) * (coalesce(i * 7.0 / nullif(k - 1, 0), 0) - floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)))) ELSE f END AS f FROM b)"
-    " SELECT utt, step, CAST(len(f) AS INTEGER) AS n, round(list_sum(f), 4) AS total FROM g"
+    " b AS (SELECT *, CAST(floor(8 * ((1 - c) * dur + c * ms) / dur) AS BIGINT) AS k FROM a), g AS (SELECT utt, step, CASE WHEN step >= s0 + 2 AND step <> s1 AND k > 0 THEN list_transform(range(k), lambda i: f[CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1] + (f[least(CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1, 7) + 1] - f[CAST(floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)) AS BIGINT) + 1]) * (coalesce(i * 7.0 / nullif(k - 1, 0), 0) - floor(coalesce(i * 7.0 / nullif(k - 1, 0), 0)))) ELSE f END AS f, step >= s0 + 2 AND step <> s1 AND k > 0 AS changed FROM b), h AS (SELECT utt, step, CASE WHEN changed THEN list_transform(f, lambda x: CASE WHEN x < 100 THEN 0.0 ELSE x END) ELSE f END AS f FROM g)"
+    " SELECT utt, step, CAST(len(f) AS INTEGER) AS n, round(list_sum(f), 4) AS total, CAST(len(f) + 4 AS INTEGER) AS n_frames FROM h"
 )
 def imposed_durations(spark, d):
-    u = _vectors(spark, d).select(F.floor(F.col("vec_id") / 25).alias("utt"), (F.col("vec_id") % 25).alias("step"), F.transform(vectors.stream_slice(F.col("v"), 0, 8), lambda x: F.when(x > 0, 100 + 300 * x).otherwise(F.lit(0.0))).alias("f0"), (F.col("label") + 30.0).alias("target_ms"), F.lit(0.5).alias("confidence"))
-    return waves.durations_imposed(u).select("utt", "step", F.size("f0").alias("n"), _r(vectors.total(F.col("f0")), 4).alias("total"))
+    u = _vectors(spark, d).select(F.floor(F.col("vec_id") / 25).alias("utt"), (F.col("vec_id") % 25).alias("step"), F.transform(vectors.stream_slice(F.col("v"), 0, 8), lambda x: F.when(x > 0, 100 + 300 * x).otherwise(F.lit(0.0))).alias("f0"), (F.col("label") + 30.0).alias("target_ms"), F.lit(0.5).alias("confidence"), F.array_repeat(vectors.stream_slice(F.col("v"), 8, 4), 12).alias("frames"))
+    return waves.durations_imposed(u).select("utt", "step", F.size("f0").alias("n"), _r(vectors.total(F.col("f0")), 4).alias("total"), F.size("frames").alias("n_frames"))
 
 
 # --- searches, walks and joins to judge -------------------------------------------------------------------------
@@ -397,8 +403,10 @@ def largest_users(spark, d):
 
 @_query("WITH s AS (SELECT user_id, count(*) AS n, median(value) AS mid, (array_agg(event_type ORDER BY c DESC, event_type))[1] AS often FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS c FROM events) GROUP BY user_id) SELECT user_id, n, round(mid, 6) AS mid, often FROM s")
 def median_and_mode(spark, d):
-    e = _t(spark, d, "events").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("user_id", "event_type")))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), _r(F.median("value")).alias("mid"), F.min(F.struct((-F.col("c")).alias("c"), "event_type"))["event_type"].alias("often"))
+    """From ranks and counts: a user of many events is no single task's."""
+    e = _t(spark, d, "events")
+    mid = select.group_medians(e, "user_id", "value").select("user_id", "n", _r(F.col("median")).alias("mid"))
+    return mid.join(select.group_modes(e, "user_id", "event_type").withColumnRenamed("mode", "often"), "user_id")
 
 
 @_query(f"WITH {_E} SELECT label AS utt, round(sqrt(sum(pow(v[1] - v[2], 2))), 6) AS error FROM e GROUP BY label")
