@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from unitweave.plans import catalog, more  # noqa: F401
+from unitweave.plans import catalog, files, more  # noqa: F401
 
 DATA = Path(os.environ.get("TESTDATA", "/root/testdata")) / "sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
