@@ -192,12 +192,6 @@ def test_tuning():
     assert losses[-1] < losses[0] and weights[0] > weights[1]
 
 
-def test_tiling_and_walks(spark):
-    units = spark.createDataFrame([(i, [0.0], [float(i)], [0.0]) for i in range(50)], "unit_id long, prev array<double>, target array<double>, cur array<double>")
-    walk = search.random_walk(units, 10, 12)
-    assert walk == search.random_walk(units, 10, 12) and len(walk) == 12
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.f0").write_bytes(b"\0" * 12 + files.floats(1, 2, 3, 4))
     (tmp_path / "b.bad").write_bytes(files.floats(1, 2, 3))

@@ -122,7 +122,7 @@ JOINT = "unit_id long, prev array<double>, target array<double>, cur array<doubl
 def test_natural_resynthesis_gives_the_units_back(spark, limit):
     prev, target, cur = speech()
     units = spark.createDataFrame([(i, p.tolist(), t.tolist(), c.tolist()) for i, (p, t, c) in enumerate(zip(prev, target, cur))], JOINT)
-    chunks = {"a": range(0, 2), "b": range(40, 43), "c": range(118, 120)}
+    chunks = {"a": range(0, 2), "b": range(40, 42), "c": range(118, 120)}
     rows = [(utt, s, target[u].tolist(), prev[r[0]].tolist()) for utt, r in chunks.items() for s, u in enumerate(r)]
     targets = spark.createDataFrame(rows, "utt string, step long, target array<double>, begin array<double>")
     found = sorted((r.utt, r.step, r.unit_id, r.cost) for r in search.greedy_search(units, targets, limit=limit).collect())
@@ -192,3 +192,35 @@ def test_shortest_paths_in_segments(spark, segment, last_resort):
     want = {u: p for u, own in lattices.items() if (p := plain_path(own, arcs, last_resort))}
     assert {u: sorted(p, key=lambda r: r[0]) for u, p in found.items()} == want and ("gap" in want) == last_resort
     assert search.viterbi(candidates.limit(0), costs).count() == 0
+
+
+def test_walks_of_many_starts(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(90, 3))
+    units = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v) if i != 40], "unit_id long, v array<double>")
+    starts = spark.createDataFrame([("a", 0), ("b", 39), ("c", 89), ("d", 5), ("gone", 40)], "walk string, unit_id long")
+    got = {}
+    for r in search.random_walks(units, starts, 2, k=3, span=4).collect():
+        got.setdefault(r.walk, {})[r.step] = r.unit_id
+    assert sorted(got) == ["a", "b", "c", "d"] and all(sorted(w) == [0, 1, 2] for w in got.values())
+    for w in got.values():
+        for n in (1, 2):
+            at = w[n - 1]
+            near = [j for j in np.lexsort((np.arange(90), ((v - v[at]) ** 2).sum(1))) if not at - 4 <= j <= at and j not in (39, 40, 89)][:3]
+            assert w[n] - 1 in near
+
+
+def test_samples_follow_the_last_ones(spark):
+    rng = np.random.default_rng(10)
+    context, target, sample = rng.normal(size=(70, 2)), rng.normal(size=(70, 3)), rng.normal(size=70)
+    units = spark.createDataFrame([(i, c.tolist(), t.tolist(), float(x)) for i, (c, t, x) in enumerate(zip(context, target, sample))], "unit_id long, context array<double>, target array<double>, sample double")
+    wanted = rng.normal(size=(2, 2, 3))
+    frames = spark.createDataFrame([(u, s, wanted[u, s].tolist()) for u in range(2) for s in range(2)], "utt long, step long, target array<double>")
+    rows = {(r.utt, r.step): (r.unit_id, r["sample"]) for r in search.next_samples(units, frames, 2).collect()}
+    for u in range(2):
+        last = np.zeros(2)
+        for s in range(2):
+            best = int((((context - last) ** 2).sum(1) + ((target - wanted[u, s]) ** 2).sum(1)).argmin())
+            assert rows[u, s] == (best, sample[best])
+            last = np.r_[last[1:], sample[best]]
+    assert search.next_samples(units, frames.limit(0), 2).count() == 0

@@ -53,16 +53,6 @@ def test_balance_gives_groups_equal_shares():
     assert np.allclose(base * weights, [3, 1.5, 1.5], atol=0.05) and losses[-1] < losses[0]
 
 
-def test_tables_too_large_are_refused_before_they_are_collected(spark, monkeypatch):
-    units = spark.createDataFrame([(i, [0.0] * 4, [1.0], [0.0], 0.5) for i in range(50)], "unit_id long, context array<double>, target array<double>, cur array<double>, sample double")
-    frames = spark.createDataFrame([("u", 0, [1.0])], "utt string, step int, target array<double>")
-    assert search.next_samples(units, frames, 4, k=3).count() == 1
-    monkeypatch.setattr(search, "BROADCAST_BYTES", 100)
-    monkeypatch.setattr(search, "pd", None)
-    with pytest.raises(ValueError):
-        search.next_samples(units, frames, 4)
-
-
 def test_ranks_do_not_depend_on_how_rows_lie(spark):
     rows = spark.range(0, 1000).select((F.col("id") * 7919 % 1000 / 10).cast("int").alias("a"), "id")
     one = {r.id: r["rank"] for r in select.ranked_globally(rows, ["a", "id"]).collect()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,13 +24,6 @@ from unitweave.sources.scratch import drop, fresh_path, kept
 BROADCAST_BYTES = 256 << 20
 
 
-def _fits(units: DataFrame, *vectors: str) -> None:
-    """Raises, before anything is collected, where the vectors of a unit table are too large for the driver."""
-    size = units.agg(*(F.sum(F.size(v)).alias(v) for v in vectors)).first()
-    if 8 * sum(x or 0 for x in size) > BROADCAST_BYTES:
-        raise ValueError(f"the unit table is larger than {BROADCAST_BYTES} bytes")
-
-
 def _arrays(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     pdf = units.select("unit_id", F.col("prev").cast("array<double>").alias("prev"), F.col("target").cast("array<double>").alias("target"), F.col("cur").cast("array<double>").alias("cur")).toPandas().sort_values("unit_id")
     grid = lambda c: np.stack(pdf[c].to_numpy()).astype(float)
@@ -84,38 +77,52 @@ def _greedy_local(units: DataFrame, targets: DataFrame, begin: list[float], eps:
     return targets.groupBy("utt").applyInPandas(run, schema)
 
 
-def _greedy_steps(units: DataFrame, targets: DataFrame, begin: list[float], eps: float, index: knn.Index | None) -> DataFrame:
-    """All utterances take a step together: their queries meet the index, and the chosen units' cur is the next state.
-    States and results are tables; the driver counts steps. A step reads the ids and cur of the units once."""
-    spark = units.sparkSession
-    more = [c for c in ("held", "begin") if c in targets.columns]
+def _draw(seed: int, *parts: str) -> Column:
+    """A number below 2**32 that follows from the seed and columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _together(targets: DataFrame, first: Column, units: DataFrame, index: knn.Index, k: int, place: Column, after: Column, eps: float = 0.0) -> DataFrame:
+    """All utterances of targets (utt, step, target[, held], ...) take a step together; a row (utt, step, unit_id, cost,
+    and the columns of ``units``) for each step that found something.
+
+    Their queries (state, target) meet the index, ``place`` (of x, the k nearest, and the columns utt and step) says
+    which of these is taken, and ``after`` is the next state, of ``state`` and the columns of ``units``. States and
+    results are tables; the driver counts steps. A step reads the units' columns once."""
+    spark = targets.sparkSession
+    held = ["held"] if "held" in targets.columns else []
     order = F.row_number().over(Window.partitionBy("utt").orderBy("step")) - 1
-    targets = targets.select("utt", F.col("step").cast("long").alias("step"), F.col("target").cast("array<double>").alias("target"), *more)
-    targets = kept(targets.withColumn("_n", order).sortWithinPartitions("_n"), "targets")
+    targets = kept(targets.withColumn("_n", order).withColumn("_first", first).select("utt", F.col("step").cast("long").alias("step"), F.col("target").cast("array<double>").alias("target"), "_n", "_first", *held).sortWithinPartitions("_n"), "targets")
+    units = kept(units, "units")
+    state = kept(targets.where("_n = 0").select("utt", F.col("_first").alias("state")), "state")
+    path, steps, schema = fresh_path(spark, "steps"), targets.agg(F.max("_n")).first()[0], None
+    for n in range(0 if steps is None else steps + 1):
+        now = targets.where(F.col("_n") == n)
+        queries = now.join(state, "utt").select(F.col("utt").alias("q"), F.lit("").alias("c"), F.concat("state", "target").alias("v"), *held)
+        found = knn.search(queries, index, k, eps)
+        best = found.where(F.size("x") > 0).withColumnRenamed("q", "utt").join(now.select("utt", "step"), "utt").withColumn("x", F.get("x", place))
+        new = kept(best.select("utt", "step", F.col("x.u").alias("unit_id"), F.col("x.dist2").alias("cost")).join(units, "unit_id"), "new")
+        new.write.mode("append").parquet(path)
+        schema = new.schema
+        done = state.join(new.drop("step", "cost", "unit_id"), "utt", "left").select("utt", F.coalesce(after, "state").alias("state"))
+        done = kept(done, "state")
+        drop(found, new, state)
+        state = done
+    drop(state, targets, units)
+    if schema is None:
+        return spark.createDataFrame([], T.StructType([targets.schema["utt"], T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType()), *(f for f in units.schema.fields if f.name != "unit_id")]))
+    return spark.read.schema(schema).parquet(path)
+
+
+def _greedy_steps(units: DataFrame, targets: DataFrame, begin: list[float], eps: float, index: knn.Index | None) -> DataFrame:
     first = F.array(*(F.lit(float(x)) for x in begin))
-    if "begin" in more:
+    if "begin" in targets.columns:
         first = F.coalesce(F.col("begin").cast("array<double>"), first)
     if index is None:
-        most = targets.agg(F.max(F.array_size("held"))).first()[0] if "held" in more else 0
+        most = targets.agg(F.max(F.array_size("held"))).first()[0] if "held" in targets.columns else 0
         index = joint_index(units, most or 0)
-    ends = kept(units.select("unit_id", F.col("cur").cast("array<double>").alias("cur")), "ends")
-    state = kept(targets.where("_n = 0").select("utt", first.alias("state")), "state")
-    schema = f"utt {targets.schema['utt'].dataType.simpleString()}, step long, unit_id long, cost double"
-    path = fresh_path(spark, "greedy")
-    steps = targets.agg(F.max("_n")).first()[0]
-    for n in range(0 if steps is None else steps + 1):
-        now = targets.where(F.col("_n") == n).join(state, "utt")
-        queries = now.select(F.col("utt").alias("q"), F.lit("").alias("c"), F.concat("state", "target").alias("v"), *(x for x in more if x == "held"))
-        found = knn.search(queries, index, 1, eps)
-        best = kept(found.select(F.col("q").alias("utt"), F.col("x")[0]["u"].alias("unit_id"), F.col("x")[0]["dist2"].alias("cost")), "best")
-        few = best.count() * 64 <= BROADCAST_BYTES // 8
-        new = kept(ends.join(F.broadcast(best) if few else best, "unit_id"), "new")
-        targets.where(F.col("_n") == n).select("utt", "step").join(new, "utt").select("utt", "step", "unit_id", "cost").write.mode("append").parquet(path)
-        after = kept(state.join(new.select("utt", "cur"), "utt", "left").select("utt", F.coalesce("cur", "state").alias("state")), "state")
-        drop(found, best, new, state)
-        state = after
-    drop(state, ends, targets)
-    return spark.read.schema(schema).parquet(path) if steps is not None else spark.createDataFrame([], schema)
+    ends = units.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("cur").cast("array<double>").alias("cur"))
+    return _together(targets, first, ends, index, 1, F.lit(0), F.col("cur"), eps).select("utt", "step", "unit_id", "cost")
 
 
 def candidate_pairs(candidates: DataFrame, n_units: int | None = None, repeats: bool = True, regressions: bool = True) -> DataFrame:
@@ -317,47 +324,47 @@ def nearest_by_level(targets: DataFrame, codes: list[DataFrame], key: str) -> Da
     return reduce(DataFrame.unionAll, found).groupBy(key).agg(F.min(F.struct("level", "position")).alias("m")).select(key, "m.level", "m.position")
 
 
-def random_walk(units: DataFrame, start: int, steps: int, k: int = 10, seed: int = 1234, span: int = 5) -> list[int]:
-    """Unit ids of a walk: from a unit to the one after a neighbour of it, chosen by a seeded draw among the k nearest
-    that are not within ``span`` before it. Sequential; the unit table has to fit the driver (``BROADCAST_BYTES``)."""
-    _fits(units, "prev", "target", "cur")
-    ids, _, target, _ = _arrays(units)
-    rng, at, out = np.random.default_rng(seed), start, []
-    place = {int(u): i for i, u in enumerate(ids)}
-    for _ in range(steps):
-        i = place[at]
-        d = ((target - target[i]) ** 2).sum(1)
-        near = [int(ids[j]) for j in np.lexsort((ids, d)) if not at - span <= ids[j] <= at][:k]
-        near = [u for u in near if u + 1 in place]
-        if not near:
-            break
-        at = near[int(rng.integers(len(near)))] + 1
-        out.append(at)
-    return out
+def random_walks(units: DataFrame, starts: DataFrame, steps: int, k: int = 10, seed: int = 1234, span: int = 5, index: knn.Index | None = None) -> DataFrame:
+    """(walk, step, unit_id): walks from starts (walk, unit_id), all a step at a time: to the unit after one of the k
+    nearest units to the present one, by a seeded draw; the ``span`` units before it and itself are none of them, nor are
+    units without a next one. units (unit_id, v). A walk ends where there is nothing to go to. ``index``: ``walk_index``
+    of the units."""
+    index = index or walk_index(units, k, span)
+    at = F.col("unit_id").cast("long")
+    v = kept(units.select(at.alias("unit_id"), F.col("v").cast("array<double>").alias("v")), "units")
+    now, path = kept(starts.select("walk", at.alias("unit_id")).join(v, "unit_id"), "walks"), fresh_path(units.sparkSession, "walks")
+    schema = now.select("walk", F.lit(0).cast("long").alias("step"), "unit_id").schema
+    now.select("walk", F.lit(0).cast("long").alias("step"), "unit_id").write.parquet(path)
+    for n in range(1, steps + 1):
+        held = F.sequence(F.col("unit_id") - span, F.col("unit_id"))
+        found = knn.search(now.select(F.col("walk").alias("q"), F.lit("").alias("c"), "v", held.alias("held")), index, k)
+        taken = F.get("x", (_draw(seed, "q", "_n") % F.size("x")).cast("int"))["u"] + 1
+        after = found.where(F.size("x") > 0).withColumn("_n", F.lit(n)).select(F.col("q").alias("walk"), taken.alias("unit_id"))
+        old, now = now, kept(after.join(v, "unit_id").select("unit_id", "walk", "v"), "walks")
+        now.select("walk", F.lit(n).cast("long").alias("step"), "unit_id").write.mode("append").parquet(path)
+        drop(found, old)
+    drop(now, v)
+    return units.sparkSession.read.schema(schema).parquet(path)
 
 
-def next_samples(units: DataFrame, frames: DataFrame, context: int, k: int = 1, seed: int = 1234) -> DataFrame:
+def walk_index(units: DataFrame, k: int = 10, span: int = 5, path: str | None = None) -> knn.Index:
+    """The index of the units that have a next one."""
+    after = units.select((F.col("unit_id") - 1).alias("unit_id"))
+    return knn.build(units.join(after, "unit_id", "left_semi").select(F.col("unit_id").alias("u"), "v"), copies=k + span + 1, path=path)
+
+
+def next_samples(units: DataFrame, frames: DataFrame, context: int, k: int = 1, seed: int = 1234, index: knn.Index | None = None) -> DataFrame:
     """(utt, step, unit_id, sample): autoregressive sample selection. The nearest unit to (the last ``context``
     samples, the frame) gives the next sample, or one of the ``k`` nearest by a seeded draw; units (unit_id, context,
-    target, sample), frames (utt, step, target). The unit table goes to every task, up to ``BROADCAST_BYTES``."""
-    _fits(units, "context", "target")
-    pdf = units.select("unit_id", F.col("context").cast("array<double>").alias("context"), F.col("target").cast("array<double>").alias("target"), F.col("sample").cast("double").alias("sample")).toPandas().sort_values("unit_id")
-    grid = np.hstack([np.stack(pdf.context.to_numpy()), np.stack(pdf.target.to_numpy())])
-    held = frames.sparkSession.sparkContext.broadcast((pdf.unit_id.to_numpy(), grid, pdf["sample"].to_numpy()))
-    schema = T.StructType([T.StructField("utt", frames.schema["utt"].dataType), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("sample", T.DoubleType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, grid, sample = held.value
-        last, out = np.zeros(context), []
-        rng = np.random.default_rng([seed, *str(rows.utt.iloc[0]).encode()])
-        for row in rows.sort_values("step").itertuples():
-            d = ((grid - np.r_[last, np.asarray(row.target, float)]) ** 2).sum(1)
-            i = int(d.argmin()) if k == 1 else int(np.lexsort((ids, d))[:k][rng.integers(min(k, len(d)))])
-            out.append((row.utt, row.step, ids[i], sample[i]))
-            last = np.r_[last[1:], sample[i]]
-        return pd.DataFrame(out, columns=schema.names)
-
-    return frames.groupBy("utt").applyInPandas(run, schema)
+    target, sample), frames (utt, step, target); zeros come before the first sample. All utterances take a step
+    together, over ``index`` (``knn.build`` of (context, target), with k copies)."""
+    doubles = lambda c: F.col(c).cast("array<double>")
+    index = index or knn.build(units.select(F.col("unit_id").alias("u"), F.concat(doubles("context"), doubles("target")).alias("v")), copies=k)
+    given = units.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("sample").cast("double").alias("sample"))
+    place = (_draw(seed, "utt", "step") % F.size("x")).cast("int") if k > 1 else F.lit(0)
+    after = F.when(F.col("sample").isNotNull(), F.concat(F.slice("state", 2, context - 1), F.array("sample")) if context > 1 else F.slice(F.array("sample"), 1, context))
+    rows = _together(frames.select("utt", "step", "target"), F.array_repeat(F.lit(0.0), context), given, index, k, place, after)
+    return rows.select("utt", "step", "unit_id", "sample")
 
 
 def every_nth_unit(spark, n: int, size: int = 1) -> DataFrame:

@@ -318,6 +318,33 @@ def imposed_durations(spark, d):
 # --- searches, walks and joins to judge -------------------------------------------------------------------------
 
 
+@_query(
+    f"WITH RECURSIVE {_E}, u AS (SELECT vec_id, v[1:16] AS v FROM e WHERE vec_id + 1 IN (SELECT vec_id FROM e)), w(walk, step, id) AS (SELECT vec_id, CAST(0 AS BIGINT), vec_id FROM e WHERE vec_id % 100 = 0"
+    " UNION ALL SELECT walk, step + 1, near[1 + CAST('0x' || substr(md5('1234:' || walk || ':' || (step + 1)), 1, 8) AS BIGINT) % len(near)] + 1 FROM (SELECT w.walk, w.step, list(u.vec_id ORDER BY list_distance(u.v, c.v[1:16]), u.vec_id)[1:4] AS near FROM w JOIN e c ON c.vec_id = w.id JOIN u ON u.vec_id < w.id - 2 OR u.vec_id > w.id WHERE w.step < 3 GROUP BY w.walk, w.step))"
+    " SELECT walk, step, id AS unit_id FROM w"
+)
+def random_walks(spark, d):
+    """Walks from every hundredth unit: to the unit after one of the four nearest ones, by a seeded draw."""
+    u = _vectors(spark, d).select(F.col("vec_id").alias("unit_id"), vectors.stream_slice(F.col("v"), 0, 16).alias("v"))
+    starts = u.where("unit_id % 100 = 0").select(F.col("unit_id").alias("walk"), "unit_id")
+    return search.random_walks(u, starts, 3, k=4, span=2)
+
+
+@_query(
+    f"WITH RECURSIVE {_E}, u AS (SELECT vec_id AS id, v[1] AS c1, v[2] AS c2, v[3:10] AS t, v[11] AS sample FROM e), tg AS (SELECT vec_id // 3 AS utt, vec_id % 3 AS step, v[20:27] AS t FROM e),"
+    " path(utt, step, x, a, b) AS (SELECT DISTINCT utt, CAST(-1 AS BIGINT), NULL::STRUCT(id BIGINT, sample DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM tg"
+    " UNION ALL SELECT utt, step, x, b, x.sample FROM (SELECT utt, step, b, near[1 + CAST('0x' || substr(md5('1234:' || utt || ':' || step), 1, 8) AS BIGINT) % len(near)] AS x FROM (SELECT p.utt, tg.step, p.b, list({'id': u.id, 'sample': u.sample} ORDER BY pow(list_distance(u.t, tg.t), 2) + pow(u.c1 - p.a, 2) + pow(u.c2 - p.b, 2), u.id)[1:3] AS near FROM path p JOIN tg ON tg.utt = p.utt AND tg.step = p.step + 1, u GROUP BY p.utt, tg.step, p.b)))"
+    " SELECT utt, step, x.id AS unit_id, round(x.sample, 6) AS sample FROM path WHERE step >= 0"
+)
+def sampled_frames(spark, d):
+    """Autoregressive selection of samples: one of the three nearest to the last two samples and the frame."""
+    e = _vectors(spark, d)
+    part = lambda a, n: vectors.stream_slice(F.col("v"), a, n)
+    units = e.select(F.col("vec_id").alias("unit_id"), part(0, 2).alias("context"), part(2, 8).alias("target"), F.col("v")[10].alias("sample"))
+    frames = e.select(F.floor(F.col("vec_id") / 3).alias("utt"), (F.col("vec_id") % 3).alias("step"), part(19, 8).alias("target"))
+    return search.next_samples(units, frames, 2, k=3).select("utt", "step", "unit_id", _r(F.col("sample")).alias("sample"))
+
+
 @_query(f"WITH {_E}, p AS (SELECT vec_id // 25 AS utt, vec_id % 25 AS step, (vec_id * 7) % (SELECT count(*) FROM e) AS unit_id FROM e), x AS (SELECT p.utt, p.step, a.v AS v, lead(a.v) OVER (PARTITION BY p.utt ORDER BY p.step) AS w FROM p JOIN e a ON a.vec_id = p.unit_id), y AS (SELECT utt, step, list_transform(range(1, 65), lambda i: pow(v[i] - w[i], 2)) AS s FROM x WHERE w IS NOT NULL) SELECT utt, step, round(list_sum(s[1:24]), 6) AS cost_mag, round(list_sum(s[25:44]), 6) AS cost_real, round(list_sum(s[45:63]), 6) AS cost_imag, round(s[64], 6) AS cost_lf0 FROM y")
 def join_costs_of_path(spark, d):
     e = _vectors(spark, d)
