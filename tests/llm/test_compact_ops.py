@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,10 +111,14 @@ def test_language_model_against_a_trie(spark, monkeypatch):
 def test_language_model_windows_and_totals(monkeypatch):
     monkeypatch.setattr(language_model, "WINDOW", 7)
     text = "Ab  cdé fgh\nijklmnopqrstuv w ".encode()
-    assert [w for p in language_model.words(text) for w in p] == text.lower().split()
-    coded = [(int(g).to_bytes(6, "big"), int(d)) for code, doc in language_model.grams([text, b"", b"xy"]) for g, d in zip(code, doc)]
-    rows = [(b"\xff" * 5 + t + b"\xfe", d) for d, t in enumerate([text, b"", b"xy"])]
-    assert coded == [(s[i : i + 6], d) for s, d in rows for i in range(len(s) - 5)]
+    texts = [text, b"", b" \x0b", b"xy"]
+    cut = [(row, part.to_pylist(), language_model.words(part)[0].to_pylist()) for row, part in language_model.slices(pa.array(texts, pa.binary()))]
+    assert [row for row, _, _ in cut] == [0, 1] and [t for _, p, _ in cut for t in p] == texts
+    assert [w for _, _, p in cut for w in p] == [w for t in texts for w in t.lower().split()]
+    flat, n = language_model.words(pa.array(texts, pa.binary()))
+    assert flat.to_pylist() == [w for t in texts for w in t.lower().split()] and n.tolist() == [len(t.split()) for t in texts]
+    coded = [(done + i, int(g).to_bytes(6, "big")) for done, code in language_model.grams(texts) for i, g in enumerate(code)]
+    assert coded == list(enumerate(s[i : i + 6] for s in (b"\xff" * 5 + t + b"\xfe" for t in texts) for i in range(len(s) - 5)))
     trie = language_model.Trie(2)
     for t in (b"abracadabra", b"abc", b""):
         trie.coded(t, score=False)
