@@ -123,8 +123,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with repetition (1, 2), size (words of the
-    document), taken (words of this repetition), source_size and target. The one repetition in part of a source is cut
-    after its words, and n_chars, where there is such a column, follows."""
+    document), taken (words of this repetition), source_size and target; columns of ``docs`` with one of these names give
+    way to them. The one repetition in part of a source is cut after its words, and n_chars, where there is such a
+    column, follows."""
+    docs = docs.drop(*({"repetition", "size", "taken", "source_size", "target"} - {id_col, text_col, source_col}))
     sizes = stored(sized(docs, id_col, text_col, source_col, seed), "sizes")
     extra = sized(docs.withColumn("_row", F.struct(*docs.columns)), id_col, text_col, source_col, seed, "_row")
     done = _decided(extra, sizes, docs.schema[source_col].dataType, share, max_epochs, weights)

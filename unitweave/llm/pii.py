@@ -174,18 +174,20 @@ def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span in ``text_col`` replaced by its kind in brackets; overlapping spans merge into the first
-    (the longer of two that begin together), null texts stay null."""
-    columns = df.columns
-    found = with_spans(df, text_col, "_pii_")
-    spans = F.array_sort(F.concat(*(F.col(f"_pii_{k}") for k in KINDS)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    (the longer of two that begin together), null texts stay null; other columns stay, whatever their names."""
+    columns, own = df.columns, "_pii_"
+    while any(c.startswith(own) for c in columns):
+        own = "_" + own
+    found = with_spans(df, text_col, own)
+    spans = F.array_sort(F.concat(*(F.col(f"{own}{k}") for k in KINDS)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     def step(a: Column, s: Column) -> Column:
         gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
         return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate(F.col("_pii_spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    found = found.withColumn("_pii_spans", spans)
-    return found.withColumn(text_col, F.when(F.size("_pii_spans") > 0, done).otherwise(text)).select(*columns)
+    done = F.aggregate(F.col(f"{own}spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    found = found.withColumn(f"{own}spans", spans)
+    return found.withColumn(text_col, F.when(F.size(f"{own}spans") > 0, done).otherwise(text)).select(*columns)
 
 
 def _sql() -> str:

@@ -244,13 +244,18 @@ def _order(row) -> tuple[int, str, str]:
 
 def drawn(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> DataFrame:
     """The rows (id, text, other columns), one of each id (that of the least text), by a hash of the id, as long as their
-    texts have ``most`` bytes in all. rows: of a bounded number of ids; ids and sizes alone come to the driver."""
+    texts have ``most`` bytes in all; a text that does not fit is passed over, and the next ones are tried. rows: of a
+    bounded number of ids; ids and sizes alone come to the driver."""
     more = [c for c in rows.columns if c not in (id_col, text_col)]
     one = stored(rows.groupBy(id_col, *more).agg(F.min(text_col).alias(text_col)), "sample").select(id_col, text_col, *more)
     sizes = one.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"), *more).collect()
     sizes.sort(key=_order)
-    last = int(np.searchsorted(np.cumsum([r[1] for r in sizes]), most, "right"))
-    return one if last >= len(sizes) else one.join(F.broadcast(one.sparkSession.createDataFrame([(r[0],) for r in sizes[:last]], one.select(id_col).schema)), id_col, "left_semi")
+    fit, left = [], most
+    for r in sizes:
+        if r[1] <= left:
+            fit.append((r[0],))
+            left -= r[1]
+    return one if len(fit) == len(sizes) else one.join(F.broadcast(one.sparkSession.createDataFrame(fit, one.select(id_col).schema)), id_col, "left_semi")
 
 
 def bounded(rows: DataFrame, id_col: str, text_col: str, most: int = MAX_BYTES) -> list:
