@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from unitweave.functions import labels, scalars, vectors
-from unitweave.operators import assemble, diagnostics, features, joins, search, select, series, waves
+from unitweave.operators import assemble, diagnostics, features, graphs, joins, search, select, series, waves
 from unitweave.plans.catalog import _E, _TR, STREAMS, _candidates, _CANDIDATES, _query, _r, _t, _tracks, _vectors
 
 _IX = "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1"
@@ -318,6 +318,48 @@ def imposed_durations(spark, d):
 # --- searches, walks and joins to judge -------------------------------------------------------------------------
 
 
+_GRAPH = (
+    f"{_CANDIDATES}, tok AS (SELECT vec_id // 25 AS doc, vec_id AS ix, 'p' || label AS w FROM e WHERE label IS NOT NULL UNION ALL SELECT vec_id // 25, max(vec_id) + 1, '</s>' FROM e WHERE label IS NOT NULL GROUP BY 1),"
+    " g3 AS (SELECT a || ' ' || b AS h, w, count(*) AS c FROM (SELECT lag(w, 2, '<s>') OVER (PARTITION BY doc ORDER BY ix) AS a, lag(w, 1, '<s>') OVER (PARTITION BY doc ORDER BY ix) AS b, w FROM tok) GROUP BY ALL),"
+    " g2 AS (SELECT split_part(h, ' ', 2) AS h, w, sum(c) AS c FROM g3 GROUP BY ALL), g1 AS (SELECT '' AS h, w, sum(c) AS c FROM g2 GROUP BY w),"
+    " arcs AS (SELECT h, w, CASE WHEN w = '</s>' THEN w ELSE split_part(h, ' ', 2) || ' ' || w END AS n, -ln((c - 0.5) / sum(c) OVER (PARTITION BY h)) AS cost FROM g3 UNION ALL SELECT h, w, CASE WHEN w = '</s>' THEN w ELSE h || ' ' || w END, -ln((c - 0.5) / sum(c) OVER (PARTITION BY h)) FROM g2 UNION ALL SELECT h, w, w, -ln(c / sum(c) OVER ()) FROM g1),"
+    " down3 AS (SELECT h, split_part(h, ' ', 2) AS v, -ln(0.5 * count(*) / sum(c)) AS cost FROM g3 GROUP BY h), down2 AS (SELECT h, '' AS v, -ln(0.5 * count(*) / sum(c)) AS cost FROM g2 GROUP BY h),"
+    " ways AS (SELECT DISTINCT h, h AS v, CAST(0 AS DOUBLE) AS cost FROM arcs UNION ALL SELECT * FROM down3 UNION ALL SELECT * FROM down2 UNION ALL SELECT a.h, b.v, a.cost + b.cost FROM down3 a JOIN down2 b ON b.h = a.v),"
+    " lat AS (SELECT c.utt, c.step, c.id, 'p' || label AS w, tc FROM c JOIN e ON e.vec_id = c.id WHERE step < 3 AND label IS NOT NULL), lat2 AS (SELECT * FROM lat UNION ALL SELECT utt, max(step) + 1, NULL, '</s>', 0 FROM lat GROUP BY utt)"
+)
+
+
+def _composed(spark, d):
+    e = _vectors(spark, d).where("label IS NOT NULL")
+    token = F.concat(F.lit("p"), F.col("label").cast("string"))
+    graph = graphs.ngram_graph(e.select(F.floor(F.col("vec_id") / 25).alias("doc"), F.col("vec_id").alias("ix"), token.alias("token")))
+    lattice = _candidates(spark, d).where("step < 3").join(e.select(F.col("vec_id").alias("unit_id"), token.alias("token")), "unit_id")
+    return graphs.composed(graph, lattice)
+
+
+@_query(
+    f"WITH RECURSIVE {_GRAPH}, best(utt, step, state, total, path) AS (SELECT DISTINCT utt, CAST(-1 AS BIGINT), '<s> <s>', CAST(0 AS DOUBLE), CAST([] AS BIGINT[]) FROM lat UNION ALL SELECT * FROM (SELECT b.utt, b.step + 1 AS step, a.n AS state, min(total + y.cost + a.cost + l.tc) AS total, arg_min(list_append(path, l.id), total + y.cost + a.cost + l.tc) AS path FROM best b JOIN ways y ON y.h = b.state JOIN lat2 l ON l.utt = b.utt AND l.step = b.step + 1 JOIN arcs a ON a.h = y.v AND a.w = l.w GROUP BY b.utt, b.step, a.n))"
+    " SELECT utt, i - 1 AS step, path[i] AS unit_id, round(total, 6) AS total FROM best, unnest(range(1, len(path))) AS u(i) WHERE state = '</s>'"
+)
+def graph_paths(spark, d):
+    """Best paths of candidates through an n-gram graph with backoff over their labels (the first three steps)."""
+    return graphs.best_paths(_composed(spark, d)).select("utt", "step", "unit_id", _r(F.col("total")).alias("total"))
+
+
+@_query(
+    f"WITH RECURSIVE {_GRAPH}, reach(utt, step, state) AS (SELECT DISTINCT utt, CAST(0 AS BIGINT), '<s> <s>' FROM lat UNION SELECT r.utt, r.step + 1, a.n FROM reach r JOIN ways y ON y.h = r.state JOIN lat2 l ON l.utt = r.utt AND l.step = r.step JOIN arcs a ON a.h = y.v AND a.w = l.w),"
+    " edge AS (SELECT r.utt, r.step, r.state, l.id, a.n, sum(exp(-(y.cost + a.cost + l.tc))) AS w FROM reach r JOIN ways y ON y.h = r.state JOIN lat2 l ON l.utt = r.utt AND l.step = r.step JOIN arcs a ON a.h = y.v AND a.w = l.w GROUP BY ALL),"
+    " b3 AS (SELECT utt, state, id, n, w FROM edge WHERE step = 3), s3 AS (SELECT utt, state, sum(w) AS t FROM b3 GROUP BY ALL), b2 AS (SELECT x.utt, x.state, id, n, w * CASE WHEN n = '</s>' THEN 1 ELSE t END AS w FROM edge x LEFT JOIN s3 ON s3.utt = x.utt AND s3.state = x.n WHERE step = 2 AND (n = '</s>' OR t IS NOT NULL)), s2 AS (SELECT utt, state, sum(w) AS t FROM b2 GROUP BY ALL),"
+    " b1 AS (SELECT x.utt, x.state, id, n, w * CASE WHEN n = '</s>' THEN 1 ELSE t END AS w FROM edge x LEFT JOIN s2 ON s2.utt = x.utt AND s2.state = x.n WHERE step = 1 AND (n = '</s>' OR t IS NOT NULL)), s1 AS (SELECT utt, state, sum(w) AS t FROM b1 GROUP BY ALL), b0 AS (SELECT x.utt, x.state, id, n, w * CASE WHEN n = '</s>' THEN 1 ELSE t END AS w FROM edge x LEFT JOIN s1 ON s1.utt = x.utt AND s1.state = x.n WHERE step = 0 AND (n = '</s>' OR t IS NOT NULL)),"
+    " every AS (SELECT 0 AS step, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3), cum AS (SELECT *, sum(w) OVER (PARTITION BY utt, step, state ORDER BY id NULLS FIRST, n) AS until, sum(w) OVER (PARTITION BY utt, step, state) AS total FROM every),"
+    " walk(utt, sample, step, state, id) AS (SELECT DISTINCT utt, s, CAST(0 AS BIGINT), '<s> <s>', CAST(NULL AS BIGINT) FROM b0, range(2) AS r(s) UNION ALL SELECT utt, sample, step + 1, m.n, m.id FROM (SELECT k.utt, k.sample, k.step, arg_min({'id': c.id, 'n': c.n}, c.until) AS m FROM walk k JOIN cum c ON c.utt = k.utt AND c.step = k.step AND c.state = k.state WHERE c.until > CAST('0x' || substr(md5('1234:' || k.utt || ':' || k.sample || ':' || k.step), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * c.total GROUP BY k.utt, k.sample, k.step))"
+    " SELECT utt, CAST(sample AS INTEGER) AS sample, step - 1 AS step, id AS unit_id FROM walk WHERE id IS NOT NULL"
+)
+def graph_samples(spark, d):
+    """Two seeded paths of each utterance through the same graph, drawn by their weights."""
+    return graphs.sampled_paths(_composed(spark, d), 2)
+
+
 @_query(
     f"WITH RECURSIVE {_E}, u AS (SELECT vec_id, v[1:16] AS v FROM e WHERE vec_id + 1 IN (SELECT vec_id FROM e)), w(walk, step, id) AS (SELECT vec_id, CAST(0 AS BIGINT), vec_id FROM e WHERE vec_id % 100 = 0"
     " UNION ALL SELECT walk, step + 1, near[1 + CAST('0x' || substr(md5('1234:' || walk || ':' || (step + 1)), 1, 8) AS BIGINT) % len(near)] + 1 FROM (SELECT w.walk, w.step, list(u.vec_id ORDER BY list_distance(u.v, c.v[1:16]), u.vec_id)[1:4] AS near FROM w JOIN e c ON c.vec_id = w.id JOIN u ON u.vec_id < w.id - 2 OR u.vec_id > w.id WHERE w.step < 3 GROUP BY w.walk, w.step))"
