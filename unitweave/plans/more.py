@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from unitweave.functions import labels, scalars, vectors
-from unitweave.operators import assemble, diagnostics, features, graphs, joins, search, select, series, waves
+from unitweave.operators import assemble, diagnostics, features, graphs, joins, pitchsync, search, select, series, waves
 from unitweave.plans.catalog import _E, _TR, STREAMS, _candidates, _CANDIDATES, _query, _r, _t, _tracks, _vectors
 
 _IX = "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1"
@@ -315,6 +315,81 @@ def imposed_durations(spark, d):
     return waves.durations_imposed(u).select("utt", "step", F.size("f0").alias("n"), _r(vectors.total(F.col("f0")), 4).alias("total"), F.size("frames").alias("n_frames"))
 
 
+# --- frames at marks --------------------------------------------------------------------------------------------
+
+
+def _line(x: str, y: str, t: str) -> str:
+    """SQL for the line through the points of two lists at t, beyond its ends as well."""
+    k = f"greatest(1, least(len({x}) - 1, len(list_filter({x}, lambda q: q <= {t}))))"
+    return f"(CASE WHEN len({x}) = 1 THEN {y}[1] ELSE {y}[{k}] + ({y}[{k} + 1] - {y}[{k}]) * ({t} - {x}[{k}]) / ({x}[{k} + 1] - {x}[{k}]) END)"
+
+
+_UNEVEN = f"{_SIG}, mk AS (SELECT utt, pos AS frame, pos * 5 + vec_id % 3 + 7 AS mpos, v, vec_id FROM s)"
+
+
+def _uneven_marks(spark, d) -> DataFrame:
+    """A mark about every five samples for each vector of a label."""
+    return _indexed(spark, d).select("utt", F.col("pos").alias("frame"), (F.col("pos") * 5 + F.col("vec_id") % 3 + 7).alias("pos"), "v")
+
+
+@_query(
+    f"WITH {_UNEVEN}, sh AS (SELECT *, mpos - coalesce(lag(mpos) OVER (PARTITION BY utt ORDER BY frame), 0) AS l FROM mk), sr AS (SELECT *, coalesce(lead(l) OVER (PARTITION BY utt ORDER BY frame), l) AS r FROM sh), x AS (SELECT utt, mpos + i - 6 AS pos, v[i + 1] * CASE WHEN i = 6 THEN 1 ELSE 0.5 + 0.5 * cos(pi() * (i - 6) / CASE WHEN i < 6 THEN l ELSE r END) END AS x, abs(i - 6) <= CASE WHEN i < 6 THEN l ELSE r END AS inside FROM sr, unnest(range(12)) AS u(i))"
+    " SELECT utt, pos, round(sum(x), 6) AS value FROM x WHERE inside AND pos >= 0 GROUP BY ALL"
+)
+def pitch_synchronous(spark, d):
+    """Frames of twelve samples overlapped and added at marks of variable distance."""
+    m = _uneven_marks(spark, d)
+    out = pitchsync.pitch_overlap_added(m.select("utt", "frame", vectors.stream_slice(F.col("v"), 0, 12).alias("samples")), m)
+    return out.select("utt", "pos", _r(F.col("value")).alias("value"))
+
+
+@_query(
+    f"WITH {_SIG}, cu AS (SELECT utt, pos AS step, pos AS a, pos + 3 AS m, pos + 7 + vec_id % 2 AS b FROM s WHERE pos % 4 = 0), fr AS (SELECT cu.*, i, coalesce(s.value, 0) AS x FROM cu, unnest(range(0, 9)) AS u(i) LEFT JOIN s ON s.utt = cu.utt AND s.pos = cu.a + i WHERE a + i <= b)"
+    " SELECT utt, step, i, round(x * CASE WHEN i < 3 THEN 0.5 - 0.5 * cos(2 * pi() * i / 5) ELSE 0.5 - 0.5 * cos(2 * pi() * (i - 3 + b + 1 - m) / (2 * (b + 1 - m) - 1)) END, 6) AS value FROM fr"
+)
+def epoch_fragments(spark, d):
+    """Fragments from a mark before to a mark after a middle, fading over both sides of it."""
+    s = _indexed(spark, d)
+    cuts = s.where("pos % 4 = 0").select("utt", F.col("pos").alias("step"), F.col("utt").alias("src"), F.col("pos").alias("start"), (F.col("pos") + 3).alias("middle"), (F.col("pos") + 7 + F.col("vec_id") % 2).alias("end"))
+    out = pitchsync.cut_fragments(cuts, s.select(F.col("utt").alias("src"), "pos", "value"))
+    return out.select("utt", "step", "i", _r(F.col("value")).alias("value"))
+
+
+@_query(
+    f"WITH {_UNEVEN}, li AS (SELECT utt, list(CAST(mpos AS DOUBLE) ORDER BY mpos) AS x, list(v[1] ORDER BY mpos) AS y, list(v[2] ORDER BY mpos) AS z FROM mk GROUP BY utt), g AS (SELECT *, k, k * 4.0::DOUBLE AS t FROM li, unnest(range(1, 100000)) AS u(k) WHERE k * 4 < x[-1] AND k * 4 >= x[1])"
+    f" SELECT utt, k, round({_line('x', 'y', 't')}, 6) AS first, round({_line('x', 'z', 't')}, 6) AS second FROM g"
+)
+def constant_rate(spark, d):
+    """Vectors at marks, read every four samples."""
+    out = pitchsync.constant_rate(_uneven_marks(spark, d).select("utt", "pos", vectors.stream_slice(F.col("v"), 0, 2).alias("v")), 1000, 0.004)
+    return out.select("utt", "k", _r(F.col("v")[0]).alias("first"), _r(F.col("v")[1]).alias("second"))
+
+
+@_query(
+    f"WITH RECURSIVE {_SIG}, li AS (SELECT utt, list((pos + 1) * 4.0::DOUBLE ORDER BY pos) AS x, list(3 + abs(v[1]) * 4 ORDER BY pos) AS y, list(v[2] ORDER BY pos) AS z FROM s GROUP BY utt), mk(utt, x, y, z, n, pos) AS (SELECT utt, x, y, z, 0, x[-1] FROM li UNION ALL SELECT utt, x, y, z, n + 1, p FROM (SELECT *, pos - {_line('x', 'y', 'pos')} AS p FROM mk) WHERE p >= x[1])"
+    f" SELECT utt, max(n) OVER (PARTITION BY utt) - n AS mark, round(pos, 6) AS pos, round({_line('x', 'z', 'pos')}, 6) AS value FROM mk"
+)
+def variable_rate(spark, d):
+    """Shifts known every four samples become marks, each read at the place reached, and frames are read at these."""
+    s = _indexed(spark, d)
+    k = (F.col("pos") + 1).alias("k")
+    marks = pitchsync.marks_from_shifts(s.select("utt", k, (3 + F.abs(F.col("value")) * 4).alias("shift")), 1000, 0.004)
+    out = pitchsync.variable_rate(s.select("utt", k, vectors.stream_slice(F.col("v"), 1, 1).alias("v")), marks, 1000, 0.004)
+    return out.select("utt", "mark", _r(F.col("pos")).alias("pos"), _r(F.col("v")[0]).alias("value"))
+
+
+@_query(
+    f"WITH {_TR}, li AS (SELECT utt, count(*) AS n, list(ix * 3.0::DOUBLE ORDER BY ix) AS x, list(CAST(ix % 7 AS DOUBLE) ORDER BY ix) AS a, list(f0 ORDER BY ix) AS f, coalesce(list(ix * 3.0::DOUBLE ORDER BY ix) FILTER (WHERE f0 > 0), []) AS vx, coalesce(list(f0 ORDER BY ix) FILTER (WHERE f0 > 0), []) AS vy FROM t GROUP BY utt), g AS (SELECT *, CAST(k AS BIGINT) AS pos, k * 1.0::DOUBLE AS t FROM li, unnest(range(0, 100000)) AS u(k) WHERE k < 3 * n)"
+    f" SELECT utt, pos, round({_line('x', 'a', 't')}, 6) AS ramp, round(CASE WHEN f[least(n, CAST(ceil(pos / 3.0 - 0.5) AS BIGINT) + 1)] > 0 THEN {_line('vx', 'vy', 't')} ELSE -1000 END, 6) AS f0 FROM g"
+)
+def upsampled_frames(spark, d):
+    """A ramp and F0 for each of three samples a frame; F0 is held apart from voicing."""
+    t = _tracks(spark, d)
+    lengths = t.groupBy("utt").agg((F.count(F.lit(1)) * 3).alias("n"))
+    out = pitchsync.upsampled(t.select("utt", "ix", F.array((F.col("ix") % 7).cast("double"), "f0").alias("v")), lengths, 300, 0.01, f0=1)
+    return out.select("utt", "pos", _r(F.col("v")[0]).alias("ramp"), _r(F.col("v")[1]).alias("f0"))
+
+
 # --- searches, walks and joins to judge -------------------------------------------------------------------------
 
 
