@@ -185,13 +185,6 @@ def test_units(spark):
     assert column(out, "frame", "frame") == list(range(25)) and column(out, "v", "frame")[2][0] == 0.0
 
 
-def test_tuning():
-    assert tuning.ternary_search(lambda x: (x - 0.3) ** 2, 0, 1, 1e-5) == pytest.approx(0.3, abs=1e-4)
-    assert tuning.simplex_search(lambda w: float(((w - [1, -2]) ** 2).sum()), [0, 0]) == pytest.approx([1, -2], abs=1e-3)
-    weights, losses = tuning.balance(lambda w: w * np.array([1.0, 3.0]), [0.5, 0.5])
-    assert losses[-1] < losses[0] and weights[0] > weights[1]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.f0").write_bytes(b"\0" * 12 + files.floats(1, 2, 3, 4))
     (tmp_path / "b.bad").write_bytes(files.floats(1, 2, 3))

@@ -46,13 +46,6 @@ def test_segments_stay_inside_the_source(spark):
     assert waves.concatenated(bounds, samples, 5).count() == 61 + 71 + 61 - 2 * 5
 
 
-def test_balance_gives_groups_equal_shares():
-    start = np.ones(3)
-    base = np.array([4.0, 1.0, 1.0])
-    weights, losses = tuning.balance(lambda w: base * w, start, ["join", "target", "target"])
-    assert np.allclose(base * weights, [3, 1.5, 1.5], atol=0.05) and losses[-1] < losses[0]
-
-
 def test_ranks_do_not_depend_on_how_rows_lie(spark):
     rows = spark.range(0, 1000).select((F.col("id") * 7919 % 1000 / 10).cast("int").alias("a"), "id")
     one = {r.id: r["rank"] for r in select.ranked_globally(rows, ["a", "id"]).collect()}

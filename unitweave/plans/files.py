@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.plans.catalog import _E, _query, _r, _t, _vectors
+from unitweave.functions import vectors
+from unitweave.operators import joins, knn, tuning
+from unitweave.plans.catalog import _CANDIDATES, _E, STREAMS, _candidates, _query, _r, _t, _targets, _vectors
 from unitweave.sources import files, formats, tables
-from unitweave.sources.scratch import fresh_path
+from unitweave.sources.scratch import fresh_path, kept
 
 
 def _numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -140,3 +142,70 @@ def database_round_trip(spark, d):
     joined = whole.groupBy(F.col("utt").alias("label")).agg(F.count(F.lit(1)).alias("complete"), _r(F.sum(F.col("mag")[0] + F.col("real")[0]), 4).alias("total"))
     counts = base.read("units", "label").groupBy("label").agg(F.count(F.lit(1)).alias("units"))
     return counts.join(joined, "label", "left").select(F.col("label").cast("int").alias("label"), "units", F.coalesce("complete", F.lit(0)).alias("complete"), "total")
+
+
+@_query(
+    f"WITH {_E}, near AS (SELECT a.vec_id AS f, b.vec_id AS t, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a, e b), every AS (SELECT f, t FROM near WHERE r <= 3 UNION ALL SELECT a.vec_id, a.vec_id + 1 FROM e a SEMI JOIN e b ON b.vec_id = a.vec_id + 1)"
+    " SELECT f AS from_index, count(*) AS n, count(DISTINCT t) AS n_different, count(*) FILTER (WHERE t = f + 1) AS n_natural, count(*) FILTER (WHERE f % 100 = 0) AS n_looked_up FROM every GROUP BY f"
+)
+def transition_lists(spark, d):
+    """Two lists of transitions appended to one stored table, scanned, and looked up for every hundredth unit."""
+    e = _vectors(spark, d)
+    table = tables.TransitionTable(spark, fresh_path(spark, "transitions"))
+    near = knn.k_nearest(e.select(F.col("vec_id").alias("q"), "v"), e.select(F.col("vec_id").alias("u"), "v"), 3)
+    table.append(near.select(F.col("q").alias("from_index"), F.col("u").alias("to_index")))
+    table.append(joins.successors(e, "vec_id").select(F.col("from_id").alias("from_index"), F.col("to_id").alias("to_index")))
+    counts = table.scan().groupBy("from_index").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("to_index").alias("n_different"), F.count_if("natural").alias("n_natural"))
+    looked = table.of_all(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("unit_id"))).groupBy(F.col("from_index").alias("f")).agg(F.count(F.lit(1)).alias("n_looked_up"))
+    out = counts.join(looked, F.col("from_index") == F.col("f"), "left")
+    return out.select(F.col("from_index").cast("long").alias("from_index"), "n", "n_different", "n_natural", F.coalesce("n_looked_up", F.lit(0)).alias("n_looked_up"))
+
+
+_ORDERED = "n AS (SELECT label AS utt, vec_id AS frame, v, substr(md5('1234:' || label || ':' || vec_id), 1, 14) AS o, CAST('0x' || substr(md5('1234:' || label), 1, 8) AS BIGINT) < CAST(0.2 * 4294967296 AS BIGINT) AS held FROM e WHERE label IS NOT NULL)"
+
+
+@_query(
+    f"WITH {_E}, {_ORDERED}, p AS (SELECT x.epoch, utt, frame, v, row_number() OVER (PARTITION BY x.epoch ORDER BY substr(md5(x.epoch || ':' || o), 1, 14), utt, frame) - 1 AS r FROM n, (SELECT unnest([0, 1]) AS epoch) x WHERE NOT held AND frame % 9 <> 0)"
+    " SELECT CAST(epoch AS INTEGER) AS epoch, r // 16 AS batch, r % 16 AS row, frame, round(v[1] + v[64], 6) AS total FROM p WHERE epoch = 0 OR r // 16 >= 2"
+)
+def mini_batches(spark, d):
+    """Batches of two epochs of the training part, each in an order of its own; the second resumes at its third batch."""
+    e = _vectors(spark, d).where("label IS NOT NULL").select(F.col("label").alias("utt"), F.col("vec_id").alias("frame"), "v")
+    train, _ = tables.split(e, "utt", 0.2)
+    streams = {"mag": train, "lf0": train.where("frame % 9 <> 0").withColumn("v", F.slice("v", 64, 1))}
+    parts = [tables.mini_batches(streams, 16, epoch, first=first).withColumn("epoch", F.lit(epoch)) for epoch, first in ((0, 0), (1, 2))]
+    return parts[0].unionByName(parts[1]).select("epoch", "batch", "row", "frame", _r(F.col("mag")[0] + F.col("lf0")[0]).alias("total"))
+
+
+def _epoch_sql(k: int) -> str:
+    """One pass of balancing: costs under the weights w{k}, then the state of the next pass."""
+    return (
+        f"x{k} AS (SELECT w.cand, c.item, c.id, c.stream, c.cost * w.weight AS x FROM sc c JOIN w{k} w ON w.stream = c.stream), a{k} AS (SELECT cand, item, id, sum(x) AS s FROM x{k} GROUP BY ALL), b{k} AS (SELECT cand, item, arg_min(id, (round(s, 9), id)) AS id FROM a{k} GROUP BY ALL),"
+        f" m{k} AS (SELECT x.cand, x.stream, coalesce(avg(x) FILTER (WHERE x > 0), 0) AS cost FROM x{k} x JOIN b{k} b ON b.cand = x.cand AND b.item = x.item AND b.id = x.id GROUP BY ALL),"
+        f" g{k} AS (SELECT w.*, m.cost, coalesce(w.goal, sum(m.cost) OVER (PARTITION BY w.cand) / 2 / count(*) OVER (PARTITION BY w.cand, w.grp)) AS target FROM w{k} w JOIN m{k} m USING (cand, stream)),"
+        f" l{k} AS (SELECT *, sum(abs(cost - target)) OVER (PARTITION BY cand) AS loss, CAST(sign(target - cost) AS DOUBLE) AS dir FROM g{k}), n{k} AS (SELECT *, least(greatest(step * CASE WHEN dir * direction > 0 THEN 1.2 WHEN dir * direction < 0 THEN 0.5 ELSE 1 END, 1e-6), 50) AS nstep FROM l{k}),"
+        f" w{k + 1} AS (SELECT cand, stream, grp, greatest(weight + dir * nstep, 0) AS weight, nstep AS step, dir AS direction, target AS goal FROM n{k})"
+    )
+
+
+@_query(
+    f"WITH {_CANDIDATES}, sc AS (SELECT utt * 25 + step AS item, c.id, s.stream, list_sum(list_transform(range(s.a, s.b), lambda i: pow(tg.t[i + 1] - e.v[i + 1], 2))) AS cost FROM c JOIN tg USING (utt, step) JOIN e ON e.vec_id = c.id, (VALUES ('mag', 0, 24), ('real', 24, 44), ('imag', 44, 63), ('lf0', 63, 64)) AS s(stream, a, b)),"
+    " w0 AS (SELECT cand, stream, CASE WHEN stream IN ('mag', 'lf0') THEN 'join' ELSE 'target' END AS grp, CAST(1 + cand * 0.5 AS DOUBLE) AS weight, CAST(0.1 AS DOUBLE) AS step, CAST(1 AS DOUBLE) AS direction, CAST(NULL AS DOUBLE) AS goal FROM (VALUES (0), (1), (2)) AS k(cand), (VALUES ('mag'), ('real'), ('imag'), ('lf0')) AS s(stream)),"
+    f" {', '.join(map(_epoch_sql, range(3)))}"
+    " SELECT cand, CAST(epoch AS INTEGER) AS epoch, stream, round(weight, 6) AS weight, round(cost, 6) AS cost, round(target, 6) AS goal, round(loss, 6) AS loss FROM (SELECT 0 AS epoch, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2)"
+)
+def balanced_weights(spark, d):
+    """Three epochs of balancing three sets of weights at once, each epoch one pass over the candidates."""
+    targets = _targets(spark, d)
+    units = _vectors(spark, d).select(F.col("vec_id").alias("unit_id"), "v")
+    rows = _candidates(spark, d).select("utt", "step", "unit_id").join(targets, ["utt", "step"]).join(units, "unit_id")
+    each, at = [], 0
+    for name, width in STREAMS:
+        part = lambda c, a=at, n=width: vectors.stream_slice(F.col(c), a, n)
+        each.append(F.struct(F.lit(name).alias("stream"), vectors.dist2(part("target"), part("v")).alias("cost")))
+        at += width
+    costs = kept(rows.select((F.col("utt") * 25 + F.col("step")).alias("item"), "unit_id", F.explode(F.array(*each)).alias("x")).select("item", "unit_id", "x.*"), "costs")
+    streams = [(c, s, "join" if s in ("mag", "lf0") else "target", 1 + c * 0.5) for c in range(3) for s, _ in STREAMS]
+    start = spark.createDataFrame(streams, "cand int, stream string, group string, weight double")
+    out = tuning.balanced(start, lambda w: tuning.chosen_costs(w, costs), 3)
+    return out.select("cand", "epoch", "stream", *(_r(F.col(c)).alias(c) for c in ("weight", "cost", "goal", "loss")))
