@@ -76,3 +76,23 @@ def test_searches_try_points_together(spark):
     assert tuning.coordinate_search(many, [0, 0], -5, 5, 1e-4) == pytest.approx([1, -2], abs=1e-3)
     loss = tuning.table_losses(spark, ["x", "y"], lambda w: w.groupBy("cand").agg(F.sum((F.col("weight") - F.when(F.col("stream") == "x", 1.0).otherwise(-2.0)) ** 2).alias("loss")))
     assert loss([np.array([1.0, -2.0]), np.array([0.0, 0.0])]) == [0.0, 5.0]
+
+
+def test_only_what_changed_is_made_anew(spark, tmp_path):
+    from unitweave.plans.config import Project, Settings
+
+    def run(**settings):
+        project = Project(spark, str(tmp_path), Settings(**settings))
+        project.table("units", ["n_train"], [], lambda: spark.range(5).toDF("u"))
+        project.table("weighted", ["join_cost_weight"], ["units"], lambda u: u.withColumn("w", F.lit(project.settings.join_cost_weight)))
+        project.table("candidates", ["candidates"], ["weighted"], lambda u: u.limit(project.settings.candidates))
+        return project
+
+    first, again, other, back = run(), run(), run(join_cost_weight=0.25), run()
+    assert first.built == ["units", "weighted", "candidates"] and again.built == back.built == []
+    assert other.built == ["weighted", "candidates"] and other.paths["units"] == first.paths["units"] and other.paths["weighted"] != first.paths["weighted"]
+    assert run(candidates=2).built == ["candidates"]
+    (tmp_path / first.paths["units"].rpartition("/")[2] / "_SUCCESS").unlink()
+    assert run().built == ["units"]
+    with pytest.raises(ValueError):
+        first.table("x", ["nothing"], [], lambda: spark.range(1))

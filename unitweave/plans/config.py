@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, fields
 
+from pyspark.sql import DataFrame, SparkSession
+
 from unitweave.sources.tables import condition_name
 
 
@@ -61,3 +64,29 @@ def stale(old: Settings, new: Settings) -> list[str]:
     order = list(STALE)
     first = next((i for i, t in enumerate(order) if STALE[t] & changed), len(order))
     return order[first:]
+
+
+class Project:
+    """Stored tables that are made anew only where something they depend on has changed.
+
+    A table's folder is named after the values of the settings it depends on and after the folders of the tables it is
+    made from, so that a changed setting leads to other folders for what follows from it, and back to the old ones when it
+    is changed back. A folder without the mark of a finished write is written again. ``built`` lists what was written."""
+
+    def __init__(self, spark: SparkSession, root: str, settings: Settings):
+        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        self.paths: dict[str, str] = {}
+        self.built: list[str] = []
+
+    def table(self, name: str, depends: Sequence[str], inputs: Sequence[str], build: Callable[..., DataFrame]) -> DataFrame:
+        """The table ``name``: ``build`` of the tables ``inputs``, which have been asked for before, under the settings
+        ``depends``."""
+        if unknown := set(depends) - {f.name for f in fields(Settings)}:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        key = condition_name({"settings": {d: getattr(self.settings, d) for d in sorted(depends)}, "inputs": [self.paths[i] for i in inputs]})
+        path = self.paths[name] = f"{self.root}/{name}-{key}"
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            build(*(self.spark.read.parquet(self.paths[i]) for i in inputs)).write.mode("overwrite").parquet(path)
+            self.built.append(name)
+        return self.spark.read.parquet(path)

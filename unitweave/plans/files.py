@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from unitweave.functions import vectors
 from unitweave.operators import joins, knn, tuning
+from unitweave.plans import config
 from unitweave.plans.catalog import _CANDIDATES, _E, STREAMS, _candidates, _query, _r, _t, _targets, _vectors
 from unitweave.sources import files, formats, tables
 from unitweave.sources.scratch import fresh_path, kept
@@ -209,3 +210,22 @@ def balanced_weights(spark, d):
     start = spark.createDataFrame(streams, "cand int, stream string, group string, weight double")
     out = tuning.balanced(start, lambda w: tuning.chosen_costs(w, costs), 3)
     return out.select("cand", "epoch", "stream", *(_r(F.col(c)).alias(c) for c in ("weight", "cost", "goal", "loss")))
+
+
+@_query(
+    f"WITH {_E}, r(run, weight, keep, units_built, weighted_built, near_built) AS (VALUES (0, 0.5, 3, TRUE, TRUE, TRUE), (1, 0.25, 3, FALSE, TRUE, TRUE), (2, 0.25, 2, FALSE, FALSE, TRUE), (3, 0.5, 3, FALSE, FALSE, FALSE)), d AS (SELECT r.*, e.vec_id, row_number() OVER (PARTITION BY run, label ORDER BY v[1] * weight + v[64] * (1 - weight) DESC, vec_id) AS k, v[1] * weight + v[64] * (1 - weight) AS score FROM r, e WHERE label IS NOT NULL)"
+    " SELECT run, units_built, weighted_built, near_built, count(*) AS n, round(sum(score), 6) AS total FROM d WHERE k <= keep GROUP BY ALL"
+)
+def rebuilt_tables(spark, d):
+    """Units, their weighted scores, and the best of each label, under four settings in turn: what is stored is read."""
+    root, runs = fresh_path(spark, "project"), [(0.5, 3), (0.25, 3), (0.25, 2), (0.5, 3)]
+    out = None
+    for run, (weight, keep) in enumerate(runs):
+        project = config.Project(spark, root, config.Settings(join_cost_weight=weight, candidates=keep))
+        project.table("units", ["streams"], [], lambda: _vectors(spark, d).where("label IS NOT NULL"))
+        project.table("weighted", ["join_cost_weight"], ["units"], lambda u, w=weight: u.select("vec_id", "label", (F.col("v")[0] * w + F.col("v")[63] * (1 - w)).alias("score")))
+        order = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+        near = project.table("near", ["candidates"], ["weighted"], lambda u, k=keep, order=order: u.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k))
+        row = near.agg(F.count(F.lit(1)).alias("n"), _r(F.sum("score")).alias("total")).select(F.lit(run).alias("run"), *(F.lit(x in project.built).alias(f"{x}_built") for x in ("units", "weighted", "near")), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
