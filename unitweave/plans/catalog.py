@@ -417,6 +417,41 @@ def greedy_search(spark, d):
     return search.greedy_search(_joint_units(spark, d), _targets(spark, d)).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
 
 
+def _chunks(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Units, and chunks of consecutive ones as targets that begin as their first unit does."""
+    units = _joint_units(spark, d)
+    first = units.where(F.col("unit_id") % STEPS == 0).select(F.floor(F.col("unit_id") / STEPS).alias("utt"), F.col("prev").alias("begin"))
+    targets = units.select(F.floor(F.col("unit_id") / STEPS).alias("utt"), (F.col("unit_id") % STEPS).alias("step"), "target").join(first, "utt")
+    return units, targets
+
+
+@_query(f"SELECT vec_id // {STEPS} AS utt, vec_id % {STEPS} AS step, vec_id AS unit_id, CAST(0 AS DOUBLE) AS cost FROM embeddings")
+def natural_resynthesis(spark, d):
+    """Chunks of consecutive units, searched for from their own start: the units come back."""
+    units, targets = _chunks(spark, d)
+    return search.greedy_search(units, targets).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
+
+
+_HELD_OUT = (
+    _greedy_sql(STEPS).replace("list_concat(v[33:64], v[1:32]) AS t", "v AS t").replace("list_sum(list_transform(u.prev, lambda x: x * x))", "pow(list_distance(u.prev, z.prev), 2)")
+    .replace("FROM tg, u WHERE step = 0", f"FROM tg JOIN u z ON z.id = tg.utt * {STEPS}, u WHERE step = 0 AND u.id // {STEPS} <> utt").replace("JOIN u c ON c.id = p.id, u GROUP BY", f"JOIN u c ON c.id = p.id, u WHERE u.id // {STEPS} <> p.utt GROUP BY")
+)
+
+
+@_query(_HELD_OUT)
+def held_out_resynthesis(spark, d):
+    """The same chunks without their own units."""
+    units, targets = _chunks(spark, d)
+    own = F.sequence(F.col("utt") * STEPS, F.col("utt") * STEPS + (STEPS - 1))
+    return search.greedy_search(units, targets.withColumn("held", own)).select("utt", "step", "unit_id", _r(F.col("cost")).alias("cost"))
+
+
+@_query("SELECT k AS step, k * 7 AS unit_id FROM (SELECT unnest(range((SELECT count(*) + 6 FROM embeddings) // 7)) AS k)")
+def adjacent_units(spark, d):
+    """A path of every seventh unit, to check assembly with."""
+    return search.every_nth_unit(spark, _vectors(spark, d).count(), 7)
+
+
 @_query(_greedy_sql(2))
 def greedy_in_place(spark, d):
     """The same search of utterances of two steps, over an index of units that stay in place."""
