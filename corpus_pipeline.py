@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows its predecessor kept and its
 decisions take effect. All but the last return the columns of documents. ``run`` applies them to documents, with a
 stored table between two stages.
+
+Rows: decisions go by the id. Rows that repeat an id go together; a row without an id is not removed by near-duplicates
+and decontamination. Null texts are near to nothing, empty ones are copies of each other, of which one stays; neither
+holds benchmark windows or personal data. Without labels, or without toxic ones among them, the first stage keeps all; without benchmark items so
+does the third; empty tables give no rows. Further columns of documents are not carried. n_chars follows the text, and
+stays as it is where that is null.
 """
 
 from __future__ import annotations

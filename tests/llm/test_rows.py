@@ -43,3 +43,21 @@ def test_redaction_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cc now", "kept", "too")], "doc_id long, text string, _pii_email string, __pii_x string")
     got = pii.redacted(docs).first()
     assert got.asDict() == {"doc_id": 1, "text": "mail [EMAIL] now", "_pii_email": "kept", "__pii_x": "too"}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, None), (3, ""), (4, ""), (None, "a few plain words here"), (5, "some other text that stands alone"), (6, "x@y.org writes to y@z.org again and again")]])
+def test_pipeline_without_labels_and_benchmark(spark, tmp_path, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows], DOCS).withColumn("size", F.lit("clash")).withColumn("gone", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+    shown = {6: "[EMAIL] writes to [EMAIL] again and again"}
+    want = [(i, 7 if t is None else len(shown.get(i, t))) for i, t in rows if i != 4]  # the second empty text is a copy
+    assert sorted(((r.doc_id, r.n_chars) for r in at.collect()), key=str) == sorted(want, key=str)
+    mix = pipeline.run(spark, str(tmp_path))
+    assert mix.columns[:5] == pipeline.COLUMNS and len(set(mix.columns)) == len(mix.columns)
+    assert (mix.agg(F.sum("taken")).first()[0] or 0) == round(1.5 * sum(len((t or "").split()) for _, t in rows))
