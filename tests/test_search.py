@@ -224,3 +224,26 @@ def test_samples_follow_the_last_ones(spark):
             assert rows[u, s] == (best, sample[best])
             last = np.r_[last[1:], sample[best]]
     assert search.next_samples(units, frames.limit(0), 2).count() == 0
+
+
+def test_queries_travel_to_shelves_not_to_cells(spark, monkeypatch):
+    """Where nothing can be pruned a query travels once to each shelf, however many cells there are."""
+    v = np.random.default_rng(12).normal(size=(300, 24))
+    units = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "u long, v array<double>")
+    index = knn.build(units, copies=3, size=16)
+    assert index.cells.count() > 18
+    sent, meet = [], knn.meet
+
+    def counted(left, *args, **more):
+        sent.append(left.count())
+        return meet(left, *args, **more)
+
+    monkeypatch.setattr(knn, "meet", counted)
+    q = units.withColumnRenamed("u", "q")
+    assert got(knn.k_nearest(q, units, 2, exclude_self=True, index=index)) == plain(v, 2, lambda i, j: i != j)
+    assert sum(sent) <= 4 * len(v)  # to homes, of which small ones are not enough, and to the only shelf
+    sent.clear()
+    counts = knn.radius_counts(q, units, 6.0, index=index)
+    d = ((v[:, None] - v) ** 2).sum(2)
+    assert {r.q: r.n for r in counts.collect()} == {i: int((d[i] <= 36).sum()) for i in range(len(v))}
+    assert sum(sent) <= len(v)
