@@ -247,3 +247,24 @@ def test_queries_travel_to_shelves_not_to_cells(spark, monkeypatch):
     d = ((v[:, None] - v) ** 2).sum(2)
     assert {r.q: r.n for r in counts.collect()} == {i: int((d[i] <= 36).sum()) for i in range(len(v))}
     assert sum(sent) <= len(v)
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.5])
+def test_many_queries_at_once(eps):
+    """A block of queries finds what each of them finds alone, held units and ties included."""
+    rng = np.random.default_rng(13)
+    v = np.vstack([rng.normal(size=(200, 5)), np.repeat(rng.normal(size=(3, 5)), 20, axis=0)])
+    ids = rng.permutation(1000)[: len(v)]
+    index = knn.LocalIndex(ids, v)
+    q = np.vstack([v[::7], rng.normal(size=(40, 5))])
+    held = [None if i % 3 == 0 else rng.choice(ids, 30).tolist() + [5000] for i in range(len(q))]
+    held[1] = ids.tolist()
+    rows, dist = index.nearest_of_all(q, held, eps)
+    assert rows[1] == -1
+    for i, x in enumerate(q):
+        free = ~np.isin(index.ids, held[i] or [])
+        d = np.where(free, ((index.v - x) ** 2).sum(1), np.inf)
+        if i != 1:
+            assert free[rows[i]] and dist[i] == d[rows[i]] and dist[i] <= (1 + eps) ** 2 * d.min() + 1e-12
+            assert eps or rows[i] == d.argmin()
+    assert len(knn.LocalIndex(ids[:0], v[:0]).nearest_of_all(q)[0]) == len(q)

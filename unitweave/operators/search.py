@@ -1,8 +1,8 @@
 """Sequence search: greedy joint search, shortest paths through candidate lattices, tiling, walks.
 
 Greedy search is sequential along an utterance and runs side by side over utterances, by the pruned neighbour index of
-``knn``: a unit table up to ``BROADCAST_BYTES`` goes to every task as cells in memory and an utterance is one group; a
-larger one stays in a stored index, and all utterances take their next step together. Shortest paths are min-plus
+``knn``: a unit table up to ``BROADCAST_BYTES`` goes to every task as cells in memory, where ``TOGETHER`` utterances take
+their next step at once; a larger one stays in a stored index, and all utterances take their next step together. Shortest paths are min-plus
 products of dense step matrices, cut into segments where utterances are long.
 """
 
@@ -22,12 +22,13 @@ from unitweave.sources.scratch import drop, fresh_path, kept
 
 #: Doubles of a unit table that goes to every task, in bytes.
 BROADCAST_BYTES = 256 << 20
+#: Utterances that a task takes through the units at once.
+TOGETHER = 128
 
 
 def _arrays(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    pdf = units.select("unit_id", F.col("prev").cast("array<double>").alias("prev"), F.col("target").cast("array<double>").alias("target"), F.col("cur").cast("array<double>").alias("cur")).toPandas().sort_values("unit_id")
-    grid = lambda c: np.stack(pdf[c].to_numpy()).astype(float)
-    return pdf.unit_id.to_numpy(), grid("prev"), grid("target"), grid("cur")
+    t = units.select("unit_id", F.col("prev").cast("array<double>").alias("prev"), F.col("target").cast("array<double>").alias("target"), F.col("cur").cast("array<double>").alias("cur")).toArrow().sort_by("unit_id")
+    return t["unit_id"].to_numpy(), knn.matrix(t["prev"]), knn.matrix(t["target"]), knn.matrix(t["cur"])
 
 
 def greedy_search(units: DataFrame, targets: DataFrame, start: list[float] | None = None, limit: int = BROADCAST_BYTES, eps: float = 0.0, index: knn.Index | None = None) -> DataFrame:
@@ -58,23 +59,37 @@ def joint_index(units: DataFrame, held: int = 0, size: int | None = None, path:
 def _greedy_local(units: DataFrame, targets: DataFrame, begin: list[float], eps: float) -> DataFrame:
     ids, prev, target, cur = _arrays(units)
     held = targets.sparkSession.sparkContext.broadcast((knn.LocalIndex(ids, np.hstack([prev, target])), cur[np.argsort(ids, kind="stable")]))
+    del prev, target, cur
     keep_out, own = "held" in targets.columns, "begin" in targets.columns
-    utt = targets.schema["utt"].dataType
-    schema = T.StructType([T.StructField("utt", utt), T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType())])
+    schema = T.StructType([targets.schema["utt"], T.StructField("step", T.LongType()), T.StructField("unit_id", T.LongType()), T.StructField("cost", T.DoubleType())])
+    want = to_arrow_schema(schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(t: pa.Table) -> pa.Table:
         index, cur = held.value
-        pdf = pdf.sort_values("step")
-        given = pdf.begin.iloc[0] if own else None
-        state, out = np.array(begin if given is None else given, float), []
-        for row in pdf.itertuples():
-            found = index.nearest(np.r_[state, np.asarray(row.target, float)], row.held if keep_out else None, eps)
-            if found:
-                out.append((row.utt, row.step, index.ids[found[0]], found[1]))
-                state = cur[found[0]]
-        return pd.DataFrame(out, columns=schema.names)
-
-    return targets.groupBy("utt").applyInPandas(run, schema)
+        t = t.append_column("_u", t["utt"].combine_chunks().dictionary_encode().indices).sort_by([("_u", "ascending"), ("step", "ascending")])
+        number = t["_u"].to_numpy()
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        length = np.diff(np.r_[start, len(number)])
+        wanted = knn.matrix(t["target"])
+        given = t["begin"].take(pa.array(start)).to_pylist() if own else [None] * len(start)
+        state = np.array([begin if x is None else x for x in given], float)
+        chosen, cost = np.full(len(number), -1), np.zeros(len(number))
+        for n in range(int(length.max())):
+            now = np.flatnonzero(length > n)
+            at = start[now] + n
+            out = t["held"].take(pa.array(at)).to_pylist() if keep_out else None
+            chosen[at], cost[at] = index.nearest_of_all(np.hstack([state[now], wanted[at]]), out, eps)
+            some = chosen[at] >= 0
+            state[now[some]] = cur[chosen[at[some]]]
+        found = np.flatnonzero(chosen >= 0)
+        some = t.take(pa.array(found))
+        return pa.table([some["utt"], some["step"], pa.array(index.ids[chosen[found]]), pa.array(cost[found])], names=want.names).cast(want)
+
+    # Utterances of a group take their steps together.
+    numbers = targets.select("utt").distinct()
+    groups = max(1, -(-numbers.count() // TOGETHER))
+    rows = targets.select("utt", F.col("step").cast("long").alias("step"), F.col("target").cast("array<double>").alias("target"), *(["held"] if keep_out else []), *([F.col("begin").cast("array<double>").alias("begin")] if own else []))
+    return rows.groupBy(F.pmod(F.xxhash64("utt"), F.lit(groups)).alias("_g")).applyInArrow(run, schema)
 
 
 def _draw(seed: int, *parts: str) -> Column:
