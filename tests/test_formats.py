@@ -112,3 +112,22 @@ def test_written_waves_are_waves(known, tmp_path):
     formats.by_utterance(df, "part").drop("part").write.format("speech-wave").option("suffix", ".wav").mode("append").save(str(tmp_path / "w"))
     with wave.open(str(tmp_path / "w/a.wav")) as w:
         assert w.getframerate() == 8000 and np.frombuffer(w.readframes(9), "<i2").tolist() == [0, 32767, 1, 32767, 2]
+
+
+def test_many_small_files_share_tasks(known, tmp_path):
+    """A task reads many small files; filters and bad files hold there, too."""
+    n = formats.MANY + 60
+    for k in range(n):
+        (tmp_path / f"u{k}.bin").write_bytes(np.full((k % 5, 3), k, "<f4").tobytes())
+    df = loaded(known, tmp_path, dim=3)
+    assert df.rdd.getNumPartitions() <= formats.MANY
+    assert sorted((r.utt, r.frame, r.v[2]) for r in df.collect()) == sorted((f"u{k}", i, float(k)) for k in range(n) for i in range(k % 5))
+    assert {r.frame for r in df.where("frame >= 1 AND frame < 3").collect()} == {1, 2}
+    assert df.where("utt = 'u9'").count() == 4
+    (tmp_path / "big.bin").write_bytes(np.zeros((50, 3), "<f4").tobytes())
+    assert loaded(known, tmp_path, dim=3, range_bytes=120).where("utt = 'big'").count() == 50
+    assert loaded(known, tmp_path, dim=3, range_bytes=120).count() == sum(k % 5 for k in range(n)) + 50
+    (tmp_path / "bad.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="no rows of 3"):
+        loaded(known, tmp_path, dim=3).count()
+    assert loaded(known, tmp_path, dim=3, skip_bad="true").count() == sum(k % 5 for k in range(n)) + 50

@@ -1,7 +1,8 @@
 """Raw matrices and waves as data sources of Spark: ``spark.read.format("speech-matrix")`` and ``("speech-wave")``.
 
 A large file is cut into byte ranges of whole rows, a task each; files are checked against their sizes and headers when
-they are listed, before any task runs. Filters on the utterance leave files out, and those on the frame or position
+they are listed, before any task runs. Of more than ``MANY`` files those of at most a range are only listed: tasks get
+many of them, and check and read them. Filters on the utterance leave files out, and those on the frame or position
 leave byte ranges out. Batches are Arrow. The writer takes rows of one utterance in one task (``by_utterance``), writes
 under a name of the attempt, and the commit moves whole files into place, so that a lost or repeated task leaves nothing.
 
@@ -17,6 +18,7 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a range, and rows of a batch.
 RANGE, BATCH = 32 << 20, 8192
+#: Files from which on small ones share tasks, and files of a task at most.
+MANY, FILES = 256, 4096
+#: Files that the driver moves at once.
+MOVES = 16
 #: Samples of a row of the wave source.
 SAMPLES = 4096
 HTK_HEADER = 12
@@ -55,6 +61,13 @@ class ByteRange(InputPartition):
     channels: int = 1
 
 
+@dataclass
+class Files(InputPartition):
+    """Whole small files (path, size), not yet looked into."""
+
+    files: list[tuple[str, int]]
+
+
 class _Ranges(DataSourceReader):
     """Lists files, applies filters on the utterance and on the row's number, and cuts what is left into ranges."""
 
@@ -97,22 +110,52 @@ class _Ranges(DataSourceReader):
     def row_bytes(self, whole: ByteRange) -> int:
         raise NotImplementedError
 
-    def partitions(self) -> list[ByteRange]:
+    def cut(self, fs: pafs.FileSystem, info: pafs.FileInfo, whole_file: bool = False) -> list[ByteRange]:
+        try:
+            whole = self.about(fs, info)
+        except ValueError:
+            if self.skip_bad:
+                return []
+            raise
+        step = max(1, int(self.options.get("range_bytes", RANGE)) // self.row_bytes(whole))
+        first, last = max(whole.first, self.low), whole.last if self.high is None else min(whole.last, self.high)
+        step = max(1, last - first) if whole_file else step
+        return [ByteRange(whole.path, whole.utt, whole.start, a, min(a + step, last), whole.rate, whole.channels) for a in range(first, last, step)]
+
+    def partitions(self) -> list[InputPartition]:
         fs, _ = opened(self.path)
-        out = []
-        for info in self.files():
-            if self.utts is not None and _stem(info.path) not in self.utts:
-                continue
-            try:
-                whole = self.about(fs, info)
-            except ValueError:
-                if self.skip_bad:
-                    continue
-                raise
-            step = max(1, int(self.options.get("range_bytes", RANGE)) // self.row_bytes(whole))
-            first, last = max(whole.first, self.low), whole.last if self.high is None else min(whole.last, self.high)
-            out += [ByteRange(whole.path, whole.utt, whole.start, a, min(a + step, last), whole.rate, whole.channels) for a in range(first, last, step)]
-        return out
+        found = [f for f in self.files() if self.utts is None or _stem(f.path) in self.utts]
+        edge = min(RANGE, int(self.options.get("range_bytes", RANGE))) if len(found) > MANY else -1
+        small = [f for f in found if f.size <= edge]
+        count, packs, size = min(FILES, -(-len(small) // MANY)), [], 0
+        for f in small:
+            if not packs or len(packs[-1].files) >= count or size + f.size > RANGE:
+                packs.append(Files([]))
+                size = 0
+            packs[-1].files.append((f.path, f.size))
+            size += f.size
+        return [*packs, *(r for f in found if f.size > edge for r in self.cut(fs, f))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, Files):
+            yield from self.batches(partition)
+            return
+        fs, _ = opened(self.path)
+        held, rows = [], 0
+        for path, size in partition.files:
+            for part in self.cut(fs, pafs.FileInfo(path, pafs.FileType.File, size=size), whole_file=True):
+                for batch in self.batches(part):
+                    held.append(batch)
+                    rows += max(batch.num_rows, part.last - part.first)
+            if rows >= BATCH:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def batches(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        """The rows of a range."""
+        raise NotImplementedError
 
     def rows(self, part: ByteRange, kind: np.dtype, width: int) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the first row, rows) of a range, a batch at a time."""
@@ -140,7 +183,7 @@ class MatrixReader(_Ranges):
             raise ValueError(f"{info.path}: {info.size} bytes are no rows of {self.dim}")
         return ByteRange(info.path, _stem(info.path), self.header, 0, rows)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def batches(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         kind, arrow = KINDS[self.kind]
         for first, rows in self.rows(partition, kind, self.dim):
             n = len(rows)
@@ -176,7 +219,7 @@ class WaveReader(_Ranges):
                 at += 8 + size + size % 2
         raise ValueError(f"{info.path}: no data")
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def batches(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         for first, rows in self.rows(partition, np.dtype("<i2"), partition.channels):
             x = np.ascontiguousarray(rows[:, 0])
             cuts = np.r_[np.arange(0, len(x), SAMPLES), len(x)].astype(np.int32)
@@ -243,12 +286,12 @@ class _FileWriter(DataSourceArrowWriter):
         moves = [x for m in messages if m is not None for x in m.files]
         finals = [b for _, b in moves]
         twice = len(finals) != len(set(finals))
-        there = [] if self.overwrite else [b for b in finals if fs.get_file_info(b).type != pafs.FileType.NotFound]
+        there = [] if self.overwrite or not finals else [i.path for i in fs.get_file_info(finals) if i.type != pafs.FileType.NotFound]
         if twice or there:
             self.abort(messages)
             raise ValueError("an utterance came from two tasks" if twice else f"{there[0]} exists")
-        for a, b in moves:
-            fs.move(a, b)
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda x: fs.move(*x), moves))
         self._clear(fs)
 
     def abort(self, messages: list[Written | None]) -> None:
