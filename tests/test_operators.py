@@ -271,3 +271,21 @@ def test_edges_levels_and_records(spark, tmp_path):
 
 def test_hann_of_one():
     assert vectors.hann(1) == [1.0] and math.isclose(sum(vectors.window_weights("bartlett", 3)), 1.0)
+
+
+def test_next_values_take_one_pass(spark):
+    """No frame ends with the track: Spark would go through it anew for each row."""
+    from unitweave.operators import features, joins, pitchsync, series
+
+    t = spark.createDataFrame([("a", i, float(i % 3)) for i in range(9)], "utt string, ix long, f0 double")
+    v = t.select("utt", F.col("ix").cast("double").alias("pos"), F.array("f0").alias("v"))
+    grid = t.select("utt", (F.col("ix") + 0.5).alias("pos"))
+    phones = t.select("utt", F.col("ix").alias("start"), (F.col("ix") + 1).alias("end"), F.lit("x").alias("phone"))
+    plans = [
+        joins.nearest(t, t.where("ix % 2 = 0").withColumnRenamed("f0", "m"), "utt", "ix", ["m"]), joins.binned_clipped(t, t.withColumn("z", F.col("ix")), "utt", "ix", "z", ["f0"]),
+        pitchsync.read_between(v, grid, "pos", "v", "extend"), series.resampled(v.select("utt", "pos", F.col("v")[0].alias("y")), grid, "utt", "pos", "y"), series.gap_filled(t, "utt", "ix", "f0"),
+        series.edges_replaced(t, "utt", "ix", "f0", F.col("f0") <= 0, -1.0), series.voiced_interpolated(t, "utt", "ix", "f0", F.col("f0") > 0), features.silence_restored(v.select("utt", F.col("pos").alias("frame"), "v"), phones, 1),
+    ]
+    for df in plans:
+        assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert plans[2].orderBy("pos").first().v == [0.5]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from unitweave.functions import vectors as V
+from unitweave.functions.windows import ahead
 
 
 def composed(streams: DataFrame, order: Sequence[str], f0_streams: Sequence[str] = ("f0", "lf0"), skip: Sequence[str] = ("triphone",)) -> DataFrame:
@@ -75,7 +76,7 @@ def silence_restored(frames: DataFrame, labels: DataFrame, width: int, silence:
     v) are those between, counted from 0."""
     w = Window.partitionBy("utt").orderBy("start")
     loud = labels.withColumn("_loud", (~F.col("phone").isin(list(silence))).cast("int"))
-    loud = loud.withColumns({"_before": F.sum("_loud").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.sum("_loud").over(w.rowsBetween(0, Window.unboundedFollowing))})
+    loud = loud.withColumns({"_before": F.sum("_loud").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.sum("_loud").over(ahead("utt", "start"))})
     lead = loud.groupBy("utt").agg(F.coalesce(F.sum(F.when(F.col("_before") == 0, F.col("end") - F.col("start"))), F.lit(0)).alias("_lead"), F.coalesce(F.sum(F.when((F.col("_after") == 0) & (F.col("_before") > 0), F.col("end") - F.col("start"))), F.lit(0)).alias("_tail"))
     n = frames.groupBy("utt").agg(F.count(F.lit(1)).alias("_n")).join(lead, "utt")
     moved = frames.join(lead, "utt").select("utt", (F.col("frame") + F.col("_lead")).cast("long").alias("frame"), V.as_doubles(F.col("v")).alias("v"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from unitweave.functions.windows import ahead
+
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:
     """``left`` with the values of the row of ``right`` whose time is nearest in the same key (the earlier of equally
@@ -19,7 +21,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequen
     first = Window.partitionBy("_k", "_t").orderBy("_m")
     marks = marks.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     both = marks.unionByName(rows)
-    both = both.withColumn("_p", F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_p", F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_m", True).over(ahead("_k", "_t", "_side")))
     t = F.col("_t")
     earlier = F.col("_n").isNull() | (F.col("_p").isNotNull() & (t - F.col("_p._x") <= F.col("_n._x") - t))
     got = F.when(earlier, F.col("_p")).otherwise(F.col("_n"))
@@ -88,7 +90,7 @@ def binned_clipped(points: DataFrame, bins: DataFrame, key: str, at: str, end: s
     b = bins.select(F.col(key).alias("_k"), F.col(end).alias("_t"), F.struct(*values).alias("_m"), F.lit(1).alias("_side"), F.lit(None).cast(points.schema.simpleString()).alias("_row"))
     p = points.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(b.schema["_m"].dataType).alias("_m"), F.lit(0).alias("_side"), F.struct(*points.columns).alias("_row"))
     w = Window.partitionBy("_k").orderBy("_t", "_side")
-    both = b.unionByName(p).withColumns({"_n": F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_p": F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    both = b.unionByName(p).withColumns({"_n": F.last("_m", True).over(ahead("_k", "_t", "_side")), "_p": F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return both.where("_side = 0").select("_row.*", *(F.coalesce("_n", "_p")[v].alias(v) for v in values))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from unitweave.functions import vectors as V
+from unitweave.functions.windows import ahead
 
 
 def side_window(offset: Column, left: Column, right: Column) -> Column:
@@ -85,7 +86,7 @@ def read_between(values: DataFrame, grid: DataFrame, at: str, v: str, beyond: st
     known = known.withColumns({"_before": F.lag("_q").over(w), "_after": F.lead("_q").over(w)})
     known = known.select("utt", "_x", "_g", F.struct("_q", "_before", "_after").alias("_k"), *(F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in other))
     rows = known.unionByName(grid.select("utt", F.col(at).cast("double").alias("_x"), F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_k"].dataType).alias("_k"), *other))
-    rows = rows.withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_k", True).over(ahead("utt", "_x", "_g")))
     p, n, x = F.col("_p"), F.col("_n"), F.col("_x")
 
     def line(a: Column, b: Column) -> Column:

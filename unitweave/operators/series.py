@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from unitweave.functions.vectors import UNVOICED
 from unitweave.functions.vectors import literal as V_literal
+from unitweave.functions.windows import ahead
 
 
 def _track(utt: str, order: str):
@@ -30,8 +31,8 @@ def gap_filled(df: DataFrame, utt: str, ix: str, value: str, ends: str = "extrap
     utterance with no voiced value keeps its values; with one, it is held.
     """
     w, voiced = _track(utt, ix), F.when(F.col(value) > 0, F.struct(F.col(ix).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("_v", voiced).withColumn("_p", F.last("_v", True).over(back)).withColumn("_n", F.first("_v", True).over(ahead))
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_v", voiced).withColumn("_p", F.last("_v", True).over(back)).withColumn("_n", F.last("_v", True).over(ahead(utt, ix)))
     # The second voiced value from each end of the utterance.
     every = Window.partitionBy(utt)
     rank = F.count("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -164,7 +165,7 @@ def resampled(values: DataFrame, grid: DataFrame, utt: str, at: str, value: str,
     w = Window.partitionBy(utt).orderBy("_x", "_g")
     point = F.when(F.col("_g") == 0, F.struct("_x", "_y"))
     rows = rows.withColumn("_q", point)
-    rows = rows.withColumn("_p", F.last("_q", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_q", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_p", F.last("_q", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_q", True).over(ahead(utt, "_x", "_g")))
     p, n, x = F.col("_p"), F.col("_n"), F.col("_x")
     if nearest:
         between = F.when(x - p["_x"] <= n["_x"] - x, p["_y"]).otherwise(n["_y"])
@@ -204,7 +205,7 @@ def edges_replaced(df: DataFrame, utt: str, ix: str, value: str, marked: Column,
     """Marked rows that lead or end an utterance get another value; those between stay."""
     w = _track(utt, ix)
     other = (~marked).cast("int")
-    before, after = F.sum(other).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(other).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = F.sum(other).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(other).over(ahead(utt, ix))
     return df.withColumn(name, F.when((before == 0) | (after == 0), F.lit(by)).otherwise(F.col(value)))
 
 
@@ -220,7 +221,7 @@ def voiced_interpolated(df: DataFrame, utt: str, ix: str, value: str, voiced: Co
     without a voiced row is 0."""
     w = _track(utt, ix)
     rows = df.withColumn("_v", F.when(voiced, F.struct(F.col(ix).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
-    rows = rows.withColumn("_p", F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_v", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_p", F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_v", True).over(ahead(utt, ix)))
     p, n = F.col("_p"), F.col("_n")
     between = p["y"] + F.try_divide(n["y"] - p["y"], n["x"] - p["x"]) * (F.col(ix) - p["x"])
     got = F.when(F.col("_v").isNotNull(), F.col("_v")["y"]).when(p.isNull(), F.coalesce(n["y"], F.lit(0.0))).when(n.isNull(), p["y"]).otherwise(between)
