@@ -220,6 +220,22 @@ def test_embeddings(spark, monkeypatch, limits):
     assert sum(r.component_id != label[r.vec_id] for r in rows) <= 4
 
 
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_buckets_lose_no_candidates(spark, monkeypatch, bucket):
+    """Over the limit or not, what a bucket holds is chained as all of its pairs would chain it."""
+    monkeypatch.setattr(embeddings, "BUCKET", bucket)
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
+    code[:4] = [0, 63, 3, 15]  # 0 - 3 - 15 - 63: a chain of two bits a step
+    code[600:900] = code[300:600] ^ np.uint64(1)  # pairs
+    code[900:950] = code[250:300]  # equal ones
+    rows = spark.createDataFrame([(7, i, c) for i, c in enumerate(code.view(np.int64).tolist())], "key long, rep long, code long")
+    got = graph.connected_components(embeddings.candidate_edges(rows, 2)).collect()
+    label = embeddings._stars(np.bitwise_count(code[:, None] ^ code) <= 2)
+    alone = np.bincount(label, minlength=len(code))[label] == 1
+    assert {r.id: r.component for r in got} == {i: int(label[i]) for i in np.flatnonzero(~alone)}
+
+
 def test_embeddings_of_odd_rows(spark):
     odd = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (5, [1.0, 2.0]), (None, [1.0, 2.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (8, []), (9, [1.0, 2.0001]), (10, [float("inf"), 1.0]), (11, [-0.0, -1.0]), (12, [0.0, -1.0])]
     df = spark.createDataFrame(odd, "vec_id long, embedding array<float>")

@@ -9,7 +9,7 @@ compared by cosine in double precision, in blocks of bounded size: exact links,
 
 How long substrings are follows from the number of vectors, and how many rotations there are from the chance that a
 pair at the threshold shares a bucket (``TARGET``; chains find more). A bucket with more than ``BUCKET`` vectors is
-salted; a few of its vectors go to all salts and hold them together.
+cut into blocks, and every two blocks of it meet.
 
 Rows: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with
 nothing, as do rows without an id. Rows of the same id are one node of the graph; each counts its own links. An empty
@@ -35,7 +35,9 @@ ITERATIONS, MAX_BITS, TARGET = 40, 64, 0.985
 #: Vectors whose mean squared distance from their centre is below this are not centred: it would part near ones.
 LEAST_SPREAD = 0.3
 #: Vectors of a bucket, and of a side of a block, that are compared at once.
-BUCKET, LEADERS, BLOCK = 4096, 32, 1024
+BUCKET, BLOCK = 4096, 1024
+#: Codes of a group whose matrix is made whole, and codes that meet all others of a larger group at once.
+SMALL, FRONTIER = 1024, 256
 #: Buckets over the limit up to which their list goes to every task; a longer one is joined by a shuffle.
 BROADCAST_HOT = 100_000
 
@@ -167,20 +169,39 @@ def _stars(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _chained(code: np.ndarray, most: int) -> np.ndarray:
+    """For each code the first of those that it is joined with by chains of codes that differ in ``most`` bits at most.
+    A code that was reached meets those that were not, so a group costs half its square at most, in small blocks."""
+    label, left = np.arange(len(code)), np.arange(len(code))
+    while len(left):
+        first, reached, left = left[0], left[:1], left[1:]
+        while len(reached) and len(left):
+            now, reached = reached[:FRONTIER], reached[FRONTIER:]
+            near = (np.bitwise_count(code[now][:, None] ^ code[left]) <= most).any(0)
+            label[left[near]] = first
+            reached, left = np.concatenate([reached, left[near]]), left[~near]
+    return label
+
+
 def candidate_edges(codes: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) that chain the candidates of each bucket."""
+    """Edges (a, b) that chain the candidates of each bucket. A bucket over the limit is cut into blocks, of which every
+    two meet; its equal codes are one before."""
     spark = codes.sparkSession
-    hot = codes.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("k"), F.ceil(F.col("count") / (BUCKET // 2)).alias("salts"))
-    hot = stored(hot, "hot")
+    hot = stored(codes.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("k")), "hot")
     n_hot = hot.count()
-    rows = codes.withColumn("salt", F.lit(0).cast("long"))
+    rows, same = codes.withColumn("salt", F.lit(0).cast("long")), None
     if n_hot:
         near = F.broadcast if n_hot <= BROADCAST_HOT else lambda x: x
-        marked = codes.join(near(hot), F.col("key") == F.col("k"), "left").drop("k")
-        rows = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("salts")), F.lit(0)))
-        # Some vectors of each salted bucket (about LEADERS, by another hash) stand in all its salts.
-        lead = marked.where(F.col("salts").isNotNull() & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("salts") * (BUCKET // 2)) < LEADERS))
-        rows = rows.drop("salts").unionByName(lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts"))
+        rows = codes.join(near(hot), F.col("key") == F.col("k"), "left_anti").withColumn("salt", F.lit(0).cast("long"))
+        many = codes.join(near(hot), F.col("key") == F.col("k"), "left_semi")
+        ones = stored(many.groupBy("key", "code").agg(F.min("rep").alias("first")), "different codes")
+        same = many.join(ones, ["key", "code"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+        blocks = ones.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("n")).where("n > 1")
+        own = F.coalesce(F.pmod(F.xxhash64("first", F.lit(1)), F.col("n")), F.lit(0))
+        other = F.when(F.col("n").isNull(), F.array("own")).otherwise(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.array("own")))
+        placed = ones.join(blocks, "key", "left").withColumn("own", own).withColumn("other", F.explode(other))
+        pair = F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")
+        rows = rows.select("key", "salt", "rep", "code").unionByName(placed.select("key", pair.alias("salt"), F.col("first").alias("rep"), "code"))
     sorted_ = rows.repartition(_partitions(spark), "key", "salt").sortWithinPartitions("key", "salt").select("key", "salt", "rep", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,27 +212,15 @@ def candidate_edges(codes: DataFrame, most: int) -> DataFrame:
             code = t.column(3).to_numpy()[at].view(np.uint64)
             if len(rep) < 2:
                 return None
-            if len(rep) <= 1024:
-                label = _stars(np.bitwise_count(code[:, None] ^ code) <= most)
-            else:  # leaders: each vector joins all leaders near it, or becomes one
-                label, leaders = np.arange(len(rep)), []
-                left = np.arange(len(rep))
-                while len(left):
-                    leader = left[0]
-                    near = np.bitwise_count(code ^ code[leader]) <= most
-                    leaders.append((leader, np.flatnonzero(near)))
-                    left = left[~near[left]]
-                for leader, near in leaders:
-                    label[near] = label[near].min()
-                edges = [(rep[leader], rep[i]) for leader, near in leaders for i in near if i != leader]
-                return [e[0] for e in edges], [e[1] for e in edges]
+            label = _stars(np.bitwise_count(code[:, None] ^ code) <= most) if len(rep) <= SMALL else _chained(code, most)
             far = label != np.arange(len(rep))
             return (rep[label[far]], rep[far]) if far.any() else None
 
         for out in _batched(grouped(batches, 2, group)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]), pa.int64()), pa.array(np.concatenate([x[1] for x in out]), pa.int64())], ["a", "b"])
 
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    edges = sorted_.mapInArrow(run, "a long, b long")
+    return (edges if same is None else edges.unionByName(same)).distinct()
 
 
 def _batched(items: Iterator, size: int = 2000) -> Iterator[list]:
