@@ -132,6 +132,28 @@ def test_time_joins(spark):
     assert got[("u", -5)] is None and got[("u", 10 - 4)] == "m0" and got[("u", 15)] == "m10" and got[("u", 99)] == "m20"
 
 
+@pytest.mark.parametrize("names", [50_000, 0])
+def test_backoff_of_a_name_that_all_targets_have(spark, monkeypatch, names):
+    """Targets are not dealt by their names; rows of one target and missing names count as before."""
+    monkeypatch.setattr(joins, "NAMES", names, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        units = spark.createDataFrame([(i, f"n{i % 7}", "same") for i in range(40)] + [(99, None, None)], "unit_id long, long_ string, short string")
+        targets = spark.createDataFrame([(t, f"n{t % 9}", "same") for t in range(50)] + [(3, "n5", None), (77, None, "none")], "t long, long_ string, short string")
+        out = joins.backoff(targets, units, "t", [(F.col(c), F.col(c)) for c in ("long_", "short")], "unit_id", 8)
+        got = sorted(out.select("t", "rank", "unit_id", "level").collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for t in range(50):
+        exact = {i for i in range(40) if i % 7 == t % 9 or t == 3 and i % 7 == 5}
+        best = sorted((0 if i in exact else 1, i) for i in range(40))[:8]
+        want += [(t, r + 1, i, level) for r, (level, i) in enumerate(best)]
+    assert got == want
+    assert names == 0 or "SortMergeJoin" not in plan
+
+
 def test_backoff(spark):
     units = spark.createDataFrame([(0, "aa", "a"), (1, "ab", "a"), (2, "aa", "a"), (3, "c", "c")], "unit_id long, long_ string, short string")
     targets = spark.createDataFrame([("x", "aa", "a"), ("y", "q", "q")], "t string, long_ string, short string")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from unitweave.functions.windows import ahead
+from unitweave.sources.scratch import kept
+
+#: Names of a level that go to every task, each with a short list of units.
+NAMES = 50_000
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, values: Sequence[str]) -> DataFrame:
@@ -37,17 +41,35 @@ def interval_joined(points: DataFrame, intervals: DataFrame, key: str, at: str,
     return both.where("_side = 1").select("_row.*", *(F.col("_got")[v].alias(v) for v in values))
 
 
+def _marked(ids: Column, level: int) -> Column:
+    return F.transform(ids, lambda u: F.struct(F.lit(level).alias("level"), u.alias("unit")))
+
+
 def backoff(targets: DataFrame, units: DataFrame, target_key: str, levels: Sequence[tuple[Column, Column]], unit_id: str, k: int, fallback: int | None = None, repeats: bool = False) -> DataFrame:
     """(target_key, rank, unit_id, level): up to k units for each target, exact names first and then by ever shorter
     ones; within a level by unit id. levels: (target's name, unit's name) from the longest on. Without ``repeats`` a
     unit counts once for a target. Targets without any match get the fallback unit at level -1.
 
-    Only the first k units of each name can be taken, so no more of them enter the join."""
-    index = units.select(unit_id, F.explode(F.array(*(F.struct(F.lit(i).alias("level"), u.alias("form")) for i, (_, u) in enumerate(levels)))).alias("e")).select(unit_id, "e.*")
+    Only the first k units of each name can be taken, so a name is one row with a short list. Each target reads the
+    lists of its own names, and no more than k units of it are shuffled: what a frequent name has comes to no single
+    task. Names of a level are broadcast up to ``NAMES`` of them."""
+    index = units.select(unit_id, F.explode(F.array(*(F.struct(F.lit(i).alias("level"), u.alias("form")) for i, (_, u) in enumerate(levels)))).alias("e")).select(F.col(unit_id).alias("_u"), "e.*").where("form IS NOT NULL")
     keep = k * (1 if repeats else len(levels))
-    index = index.withColumn("_r", F.row_number().over(Window.partitionBy("level", "form").orderBy(unit_id))).where(F.col("_r") <= keep).drop("_r")
-    wanted = targets.select(target_key, F.explode(F.array(*(F.struct(F.lit(i).alias("level"), t.alias("form")) for i, (t, _) in enumerate(levels)))).alias("e")).select(target_key, "e.*")
-    found = wanted.join(index, ["level", "form"]).select(target_key, "level", unit_id)
+    index = index.withColumn("_r", F.row_number().over(Window.partitionBy("level", "form").orderBy("_u"))).where(F.col("_r") <= keep)
+    index = kept(index.groupBy("level", "form").agg(F.array_sort(F.collect_list("_u")).alias("_ids")), "names")
+    names = {r.level: r["n"] for r in index.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each level
+    rows, none = targets.select(target_key, *(t.alias(f"_form{i}") for i, (t, _) in enumerate(levels))), F.array().cast(index.schema["_ids"].dataType)
+    for i in range(len(levels)):
+        own = index.where(F.col("level") == i).select(F.col("form").alias(f"_form{i}"), F.col("_ids").alias(f"_ids{i}"))
+        rows = rows.join(F.broadcast(own) if names.get(i, 0) <= NAMES else own, f"_form{i}", "left")
+    lists, before = [], none
+    for i in range(len(levels)):
+        ids = F.coalesce(f"_ids{i}", none)
+        lists.append(_marked(ids if repeats else F.array_except(ids, before), i))
+        before = F.concat(before, ids)
+    # A target that has several rows takes the best of all.
+    found = rows.select(target_key, F.slice(F.concat(*lists), 1, k).alias("_x")).where(F.size("_x") > 0).repartition(target_key)
+    found = found.select(target_key, F.explode("_x").alias("_x")).select(target_key, F.col("_x.level").alias("level"), F.col("_x.unit").alias(unit_id))
     if not repeats:
         found = found.groupBy(target_key, unit_id).agg(F.min("level").alias("level"))
     w = Window.partitionBy(target_key).orderBy("level", unit_id)
