@@ -112,3 +112,11 @@ def test_upsampling(spark, convention, first):
     want = np.where(f0[nearest] > 0, line(x[f0 > 0], f0[f0 > 0], at), -1000.0)
     assert np.allclose([v[1] for _, v in got], want)
     assert sorted((r.pos, r.v) for r in rows if r.utt == "one") == [(i, [1.0, -1000.0]) for i in range(3)] and len(rows) == 78
+
+
+def test_upsampled_reads_all_in_one_pass(spark):
+    """Vectors, F0 and voicing without a join, so that samples are sorted once in each direction."""
+    frames = spark.createDataFrame([("a", i, [float(i), float(i % 3)]) for i in range(6)] + [("b", 0, [1.0, 0.0])], "utt string, ix long, v array<double>")
+    out = pitchsync.upsampled(frames, spark.createDataFrame([("a", 20), ("b", 3), ("c", 2)], "utt string, n long"), 300, 0.01, f0=1)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("utt = 'a'").count() == 20 and {tuple(r.v) for r in out.where("utt = 'b'").collect()} == {(1.0, -1000.0)} and out.where("utt = 'c'").count() == 0

@@ -75,19 +75,8 @@ def cut_fragments(cuts: DataFrame, samples: DataFrame, taper: int = 0) -> DataFr
     return got.select("utt", "step", i.alias("i"), (F.coalesce("value", F.lit(0.0)) * weight).alias("value"))
 
 
-def read_between(values: DataFrame, grid: DataFrame, at: str, v: str, beyond: str = "hold") -> DataFrame:
-    """The grid (utt, at, ...) with the vectors ``v`` of values (utt, at, v), each coefficient linear between neighbours in
-    ``at``. Beyond the ends: ``hold`` the last value, ``extend`` the line through the last two, or leave the row out
-    (``drop``). One union and windows over a track; no join."""
-    other = [c for c in grid.columns if c not in ("utt", at)]
-    point = F.struct(F.col(at).cast("double").alias("x"), F.col(v).cast("array<double>").alias("y"))
-    w = Window.partitionBy("utt").orderBy("_x", "_g")
-    known = values.where(F.col(at).isNotNull() & F.col(v).isNotNull()).select("utt", F.col(at).cast("double").alias("_x"), F.lit(0).alias("_g"), point.alias("_q"))
-    known = known.withColumns({"_before": F.lag("_q").over(w), "_after": F.lead("_q").over(w)})
-    known = known.select("utt", "_x", "_g", F.struct("_q", "_before", "_after").alias("_k"), *(F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in other))
-    rows = known.unionByName(grid.select("utt", F.col(at).cast("double").alias("_x"), F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_k"].dataType).alias("_k"), *other))
-    rows = rows.withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_k", True).over(ahead("utt", "_x", "_g")))
-    p, n, x = F.col("_p"), F.col("_n"), F.col("_x")
+def _read(p: Column, n: Column, x: Column, beyond: str) -> Column:
+    """The vector at x from the points before (or at) and after it, each (_q, _before, _after): itself and its neighbours."""
 
     def line(a: Column, b: Column) -> Column:
         share = F.coalesce(F.try_divide(x - a["x"], b["x"] - a["x"]), F.lit(0.0))
@@ -100,8 +89,23 @@ def read_between(values: DataFrame, grid: DataFrame, at: str, v: str, beyond: st
         late = F.when(p["_before"].isNull(), p["_q"]["y"]).otherwise(line(p["_before"], p["_q"]))
     else:
         early, late = n["_q"]["y"], p["_q"]["y"]
-    if beyond != "drop":
-        inside = F.coalesce(inside, F.when(p.isNull(), early).otherwise(late))
+    return inside if beyond == "drop" else F.coalesce(inside, F.when(p.isNull(), early).otherwise(late))
+
+
+def read_between(values: DataFrame, grid: DataFrame, at: str, v: str, beyond: str = "hold") -> DataFrame:
+    """The grid (utt, at, ...) with the vectors ``v`` of values (utt, at, v), each coefficient linear between neighbours in
+    ``at``. Beyond the ends: ``hold`` the last value, ``extend`` the line through the last two, or leave the row out
+    (``drop``). One union and windows over a track; no join."""
+    other = [c for c in grid.columns if c not in ("utt", at)]
+    point = F.struct(F.col(at).cast("double").alias("x"), F.col(v).cast("array<double>").alias("y"))
+    w = Window.partitionBy("utt").orderBy("_x", "_g")
+    known = values.where(F.col(at).isNotNull() & F.col(v).isNotNull()).select("utt", F.col(at).cast("double").alias("_x"), F.lit(0).alias("_g"), point.alias("_q"))
+    known = known.withColumns({"_before": F.lag("_q").over(w), "_after": F.lead("_q").over(w)})
+    known = known.select("utt", "_x", "_g", F.struct("_q", "_before", "_after").alias("_k"), *(F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in other))
+    rows = known.unionByName(grid.select("utt", F.col(at).cast("double").alias("_x"), F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_k"].dataType).alias("_k"), *other))
+    rows = rows.withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last("_k", True).over(ahead("utt", "_x", "_g")))
+    x = F.col("_x")
+    inside = _read(F.col("_p"), F.col("_n"), x, beyond)
     return rows.where("_g = 1").select("utt", x.alias(at), inside.alias(v), *other).where(F.col(v).isNotNull())
 
 
@@ -149,17 +153,27 @@ def upsampled(frames: DataFrame, lengths: DataFrame, rate: int, hop_seconds: flo
     """(utt, pos, v): a vector for each sample of an utterance (utt, n) from frames (utt, ix, v) at their centres, linear
     between and beyond them. The coefficient ``f0`` is linear over voiced frames alone, and ``UNVOICED`` where the nearest
     frame (the earlier of equal ones) is unvoiced."""
-    from unitweave.operators.series import frame_centres, resampled
+    from unitweave.operators.series import frame_centres
 
     centre = (frame_centres(F.col("ix"), hop_seconds, convention) * rate).alias("pos")
     at = frames.select("utt", centre, F.col("v").cast("array<double>").alias("v"))
     grid = lengths.where("n > 0").select("utt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("pos")).select("utt", F.col("pos").cast("double").alias("pos"))
-    out = read_between(at, grid, "pos", "v", "extend")
-    if f0 is not None:
-        value = F.col("v")[f0]
-        voiced = read_between(at.where(value > 0).select("utt", "pos", F.array(value).alias("v")), grid, "pos", "v", "extend").withColumnRenamed("v", "_f")
-        flag = resampled(at.select("utt", "pos", (value > 0).cast("double").alias("_flag")), grid, "utt", "pos", "_flag", nearest=True)
-        out = out.join(flag, ["utt", "pos"]).join(voiced, ["utt", "pos"], "left")
-        own = F.when(F.col("_flag") > 0, F.col("_f")[0]).otherwise(F.lit(V.UNVOICED))
-        out = out.withColumn("v", F.transform("v", lambda x, i: F.when(i == f0, own).otherwise(x)))
-    return out.select("utt", F.col("pos").cast("long").alias("pos"), "v")
+    if f0 is None:
+        return read_between(at, grid, "pos", "v", "extend").select("utt", F.col("pos").cast("long").alias("pos"), "v")
+    # The vector, the F0 of voiced frames and voicing are read in one pass over frames and samples.
+    value, x = F.col("v")[f0], F.col("_x")
+    to, after = Window.partitionBy("utt").orderBy("_x", "_g").rowsBetween(Window.unboundedPreceding, 0), ahead("utt", "_x", "_g")
+    before = Window.partitionBy("utt").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("utt").orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, -1)
+    known = at.where("pos IS NOT NULL").withColumnRenamed("pos", "_x").withColumn("_g", F.lit(0)).withColumn("_flag", F.struct(x.alias("x"), F.coalesce(value > 0, F.lit(False)).alias("voiced")))
+    known = known.withColumns({"_v": F.when(F.col("v").isNotNull(), F.struct(x.alias("x"), F.col("v").alias("y"))), "_f": F.when(value > 0, F.struct(x.alias("x"), F.array(value).alias("y")))})
+    known = known.withColumns({f"{c}{side}": F.last(c, True).over(w) for c in ("_v", "_f") for side, w in (("b", before), ("a", behind))})
+    point = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("_q"), F.col(f"{c}b").alias("_before"), F.col(f"{c}a").alias("_after"))).alias(c)
+    known = known.select("utt", "_x", "_g", "_flag", point("_v"), point("_f"))
+    rows = known.unionByName(grid.select("utt", F.col("pos").alias("_x"), F.lit(1).alias("_g"), *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("_flag", "_v", "_f"))))
+    rows = rows.withColumns({f"{c}p": F.last(c, True).over(to) for c in ("_flag", "_v", "_f")}).withColumns({f"{c}n": F.last(c, True).over(after) for c in ("_flag", "_v", "_f")}).where("_g = 1")
+    p, n = F.col("_flagp"), F.col("_flagn")
+    voiced = F.when(n.isNull() | (p.isNotNull() & (x - p["x"] <= n["x"] - x)), p["voiced"]).otherwise(n["voiced"])
+    own = F.when(voiced, _read(F.col("_fp"), F.col("_fn"), x, "extend")[0]).otherwise(F.lit(V.UNVOICED))
+    out = rows.select("utt", x.cast("long").alias("pos"), _read(F.col("_vp"), F.col("_vn"), x, "extend").alias("v"), own.alias("_own")).where("v IS NOT NULL")
+    return out.select("utt", "pos", F.transform("v", lambda y, i: F.when(i == f0, F.col("_own")).otherwise(y)).alias("v"))
