@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from unitweave.functions.vectors import EMERGENCY
@@ -249,6 +251,32 @@ def test_queries_travel_to_shelves_not_to_cells(spark, monkeypatch):
     assert sum(sent) <= len(v)
 
 
+def test_small_meetings_keep_all_cores_busy(spark):
+    """The rows of one key are some meetings for each core, in tasks of their own, however few bytes they have."""
+    n = 6 * knn.BLOCK
+    left = spark.range(n).select(F.lit("").alias("c"), F.col("id").alias("q"))
+    right = spark.range(5).select(F.lit("").alias("c"), F.col("id").alias("u"))
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        return pa.table({"task": [TaskContext.get().partitionId()], "rows": [x.num_rows], "others": [y.num_rows]})
+
+    met = knn.meet(left, right, ["c"], "q", work, "task int, rows long, others long", chunk=1 << 16).collect()
+    assert sum(r.rows for r in met) == n and {r.others for r in met} == {5}
+    assert len(met) > 1 and len({r.task for r in met}) > 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shelves_within_are_those_of_the_nodes_within(seed):
+    rng = np.random.default_rng(seed)
+    table = pa.table({"cell": np.arange(60), "v": pa.array(rng.normal(size=(60, 4)).tolist()), "shelf": rng.permutation(60) // 7 * 5, "radius": rng.random(60), "n": np.ones(60, int)})
+    x = pa.table({"q": np.arange(40), "v": pa.array(rng.normal(size=(40, 4)).tolist()), "bound": rng.random(40)})
+    nodes = knn.Nodes(table)
+    rows, at, _ = nodes.within(knn.matrix(x["v"]), x["bound"].to_numpy())
+    found = knn._shelves_within(x, nodes)
+    assert list(zip(found["q"].to_pylist(), found["shelf"].to_pylist())) == sorted({(r, s) for r, s in zip(rows.tolist(), nodes.shelf[at].tolist())})
+    assert knn._shelves_within(x, knn.Nodes(table.slice(0, 0))).num_rows == 0
+
+
 @pytest.mark.parametrize("eps", [0.0, 0.5])
 def test_many_queries_at_once(eps):
     """A block of queries finds what each of them finds alone, held units and ties included."""
