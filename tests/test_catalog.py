@@ -40,3 +40,11 @@ def test_query(spark, duck, name):
     assert sorted(out.columns) == columns
     at = [out.columns.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in out.fetchall()), key=repr)
+
+
+def test_partitions_of_frames_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_ROWS", 500)
+    d = str(DATA)
+    n = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    out = catalog.QUERIES["compose_streams"](spark, d)
+    assert out.rdd.getNumPartitions() >= n // 500 > 4
