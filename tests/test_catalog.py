@@ -6,6 +6,7 @@ import math
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from unitweave.plans import catalog, files, more  # noqa: F401
@@ -48,3 +49,17 @@ def test_partitions_of_frames_grow_with_the_rows(spark, monkeypatch):
     n = spark.read.parquet(f"{d}/lineitem.parquet").count()
     out = catalog.QUERIES["compose_streams"](spark, d)
     assert out.rdd.getNumPartitions() >= n // 500 > 4
+
+
+def test_samples_of_the_graph_go_to_the_ends_of_utterances(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    ids = [*range(9), *range(25, 30)]
+    rows = [(i, rng.normal(size=catalog.DIM).tolist(), None if i == 4 else i % 4) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.utt, r.sample, r.step): r.unit_id for r in catalog.QUERIES["graph_samples"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i // 25, s, i % 25) for i in ids for s in (0, 1)}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = c.sql(f"SELECT utt, sample, step, unit_id FROM ({catalog.SQL['graph_samples']})").fetchall()
+    assert len(out) == len(got) and got == {r[:3]: r[3] for r in out}
